@@ -70,3 +70,47 @@ def carry_forward(main: DataFrame, sparse: DataFrame, blocks: DataFrame,
     out = filled.join(carry, keys, "left")
     return out.select(*[c for c in filled.columns if not c.startswith("_run_")],
                       *[F.coalesce(F.col(f"_run_{n}"), F.col(f"_cin_{n}")).alias(n) for n in values])
+
+
+def previous_in_series(df: DataFrame, series_cols: Sequence[str], ts_col: str,
+                       block_minutes: int = 1440, payload: Sequence[str] = ()) -> DataFrame:
+    """Previous row (by ``ts_col``) of the same series for irregular rows,
+    block-parallel: in-block ``lag`` seeded by the last row of the nearest
+    earlier non-empty block (a one-row-per-block table). Adds ``prev_<ts>``
+    and ``prev_<col>`` for each payload column."""
+    s = list(series_cols)
+    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    step = int(block_minutes) * 60_000_000
+    d = df.select("*", ((us - F.pmod(us, F.lit(step))) / F.lit(step)).cast("long").alias("_pblk"),
+                  us.alias("_pus"))
+    last_in_blk = d.groupBy(*s, "_pblk").agg(
+        F.max(F.struct(F.col("_pus").alias("u"), *[F.col(c).alias(c) for c in payload],
+                       F.col(ts_col).alias("t"))).alias("_lst"))
+    wb = Window.partitionBy(*s).orderBy("_pblk")
+    seed = last_in_blk.select(*s, "_pblk", F.lag("_lst").over(wb).alias("_seed"))
+    w = Window.partitionBy(*s, "_pblk").orderBy("_pus")
+    prev = F.lag(F.struct(F.col("_pus").alias("u"), *[F.col(c).alias(c) for c in payload],
+                          F.col(ts_col).alias("t"))).over(w)
+    x = d.select("*", prev.alias("_prv")).join(seed, s + ["_pblk"], "left")
+    p = F.coalesce(F.col("_prv"), F.col("_seed"))
+    return x.select(*df.columns, p.getField("t").alias(f"prev_{ts_col}"),
+                    *[p.getField(c).alias(f"prev_{c}") for c in payload])
+
+
+def series_positions(df: DataFrame, series_cols: Sequence[str], ts_col: str,
+                     block_minutes: int = 1440, tie_cols: Sequence[str] = ()) -> DataFrame:
+    """0-based row position and row count per series, block-parallel:
+    counts per (series, block) -> running offset over blocks -> in-block
+    ``row_number``. Adds ``_pos`` and ``_len``."""
+    s = list(series_cols)
+    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    step = int(block_minutes) * 60_000_000
+    d = df.select("*", ((us - F.pmod(us, F.lit(step))) / F.lit(step)).cast("long").alias("_sblk"),
+                  us.alias("_sus"))
+    cnt = d.groupBy(*s, "_sblk").agg(F.count("*").alias("_c"))
+    wb = Window.partitionBy(*s).orderBy("_sblk").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.select(*s, "_sblk", F.coalesce(F.sum("_c").over(wb), F.lit(0)).alias("_off"),
+                     F.sum("_c").over(Window.partitionBy(*s)).alias("_len"))
+    w = Window.partitionBy(*s, "_sblk").orderBy("_sus", *tie_cols)
+    x = d.join(off, s + ["_sblk"], "inner")
+    return x.select(*df.columns, (F.row_number().over(w) - 1 + F.col("_off")).alias("_pos"), "_len")

@@ -32,41 +32,55 @@ INPUT_COLS = ("glucose_mg_dl", "trend_arrow_encoded", "iob_units", "bolus_units"
 NON_FEATURE_COLS = ("timestamp", "target_30m", "target_60m")
 
 
-def feature_names() -> list[str]:
-    """The 44 model inputs in table order."""
+LAG_STEPS = tuple(m // GRID_MINUTES for m in LAG_MINUTES)
+DELTA_STEPS = tuple(m // GRID_MINUTES for m in DELTA_MINUTES)
+ROLLING_STEPS = tuple(m // GRID_MINUTES for m in ROLLING_MINUTES)
+SUM_STEPS = tuple(m // GRID_MINUTES for m in SUM_MINUTES)
+HORIZON_STEPS = tuple(m // GRID_MINUTES for m in HORIZONS_MIN)
+
+
+def feature_names(grid_minutes: int = GRID_MINUTES) -> list[str]:
+    """The 44 model inputs in table order (P14). Windows are defined in grid
+    steps; names show steps x ``grid_minutes`` (the reference grid is 5)."""
+    g = grid_minutes
     names = list(INPUT_COLS)
-    names += [f"glucose_lag_{m}m" for m in LAG_MINUTES]
-    names += [f"glucose_delta_{m}m" for m in DELTA_MINUTES]
-    for m in ROLLING_MINUTES:
-        names += [f"glucose_mean_{m}m", f"glucose_std_{m}m", f"glucose_slope_{m}m"]
-    names += [f"carbs_sum_{m}m" for m in SUM_MINUTES] + ["minutes_since_carbs"]
-    names += [f"bolus_sum_{m}m" for m in SUM_MINUTES] + ["minutes_since_bolus"]
+    names += [f"glucose_lag_{k * g}m" for k in LAG_STEPS]
+    names += [f"glucose_delta_{k * g}m" for k in DELTA_STEPS]
+    for k in ROLLING_STEPS:
+        names += [f"glucose_mean_{k * g}m", f"glucose_std_{k * g}m", f"glucose_slope_{k * g}m"]
+    names += [f"carbs_sum_{k * g}m" for k in SUM_STEPS] + ["minutes_since_carbs"]
+    names += [f"bolus_sum_{k * g}m" for k in SUM_STEPS] + ["minutes_since_bolus"]
     names += ["hour_sin", "hour_cos", "dow", "is_weekend"]
     return names
 
 
+def label_names(grid_minutes: int = GRID_MINUTES) -> list[str]:
+    return [f"target_{k * grid_minutes}m" for k in HORIZON_STEPS]
+
+
 def feature_columns(df: DataFrame, series_cols: Sequence[str] = ()) -> list[str]:
     """Every column except timestamp, labels and the series key."""
-    return [c for c in df.columns if c not in NON_FEATURE_COLS and c not in series_cols]
+    return [c for c in df.columns
+            if c not in NON_FEATURE_COLS and not c.startswith("target_") and c not in series_cols]
 
 
-def _halo_sizes() -> tuple[int, int]:
-    step = GRID_MINUTES
-    lookback = max(max(LAG_MINUTES) // step, max(ROLLING_MINUTES) // step - 1,
-                   int(RECENCY_CAP_MIN) // step)
-    lookahead = max(HORIZONS_MIN) // step
-    return lookback, lookahead
+def _halo_sizes(grid_minutes: int) -> tuple[int, int]:
+    recency = -(-int(RECENCY_CAP_MIN) // grid_minutes)
+    lookback = max(max(LAG_STEPS), max(ROLLING_STEPS) - 1, max(SUM_STEPS) - 1, recency)
+    return lookback, max(HORIZON_STEPS)
 
 
 def build_features(timeline: DataFrame, *, series_cols: Sequence[str] = ("series_id",),
                    ts_col: str = "timestamp", block_bins: int = 864,
-                   with_labels: bool = True) -> DataFrame:
-    """Timeline -> series..., timestamp, 44 features, target_30m, target_60m."""
+                   with_labels: bool = True, grid_minutes: int = GRID_MINUTES) -> DataFrame:
+    """Timeline -> series..., timestamp, 44 features, target_30m, target_60m
+    (label names scale with ``grid_minutes``)."""
     s = list(series_cols)
-    step = GRID_MINUTES
-    lookback, lookahead = _halo_sizes()
+    g_min = grid_minutes
+    lookback, lookahead = _halo_sizes(g_min)
+    block_bins = max(block_bins, lookback, lookahead)
     b = "_fbin"
-    d = timeline.select(*s, ts_col, *INPUT_COLS, floor_bin(ts_col, step).alias(b))
+    d = timeline.select(*s, ts_col, *INPUT_COLS, floor_bin(ts_col, g_min).alias(b))
     d = with_halo(d, b, block_bins, lookback, lookahead)
     w = block_window(s, b)
     g = F.col("glucose_mg_dl")
@@ -75,30 +89,29 @@ def build_features(timeline: DataFrame, *, series_cols: Sequence[str] = ("series
         return w.rowsBetween(-(n - 1), 0)
 
     cols = {}
-    for m in LAG_MINUTES:
-        cols[f"glucose_lag_{m}m"] = F.lag(g, m // step).over(w)
-    for m in DELTA_MINUTES:
-        cols[f"glucose_delta_{m}m"] = g - F.lag(g, m // step).over(w)
-    for m in ROLLING_MINUTES:
-        n = m // step
+    for k in LAG_STEPS:
+        cols[f"glucose_lag_{k * g_min}m"] = F.lag(g, k).over(w)
+    for k in DELTA_STEPS:
+        cols[f"glucose_delta_{k * g_min}m"] = g - F.lag(g, k).over(w)
+    for n in ROLLING_STEPS:
         gate = F.count(g).over(rows(n)) >= max(2, n // 2)
-        cols[f"glucose_mean_{m}m"] = F.when(gate, F.avg(g).over(rows(n)))
-        cols[f"glucose_std_{m}m"] = F.when(gate, F.stddev_samp(g).over(rows(n)))
-        cols[f"glucose_slope_{m}m"] = (g - F.lag(g, n - 1).over(w)) / F.lit(float(max(n - 1, 1)))
+        cols[f"glucose_mean_{n * g_min}m"] = F.when(gate, F.avg(g).over(rows(n)))
+        cols[f"glucose_std_{n * g_min}m"] = F.when(gate, F.stddev_samp(g).over(rows(n)))
+        cols[f"glucose_slope_{n * g_min}m"] = (g - F.lag(g, n - 1).over(w)) / F.lit(float(max(n - 1, 1)))
     since_w = w.rowsBetween(Window.unboundedPreceding, 0)
     for src, pfx in (("carbs_g", "carbs"), ("bolus_units", "bolus")):
         v = F.coalesce(F.col(src), F.lit(0.0))
-        for m in SUM_MINUTES:
-            cols[f"{pfx}_sum_{m}m"] = F.sum(v).over(rows(m // step))
+        for n in SUM_STEPS:
+            cols[f"{pfx}_sum_{n * g_min}m"] = F.sum(v).over(rows(n))
         last_bin = F.last(F.when(v > 0, F.col(b)), True).over(since_w)
         cols[f"minutes_since_{pfx}"] = F.least(
             F.lit(RECENCY_CAP_MIN),
-            F.coalesce(((F.col(b) - last_bin) * F.lit(step)).cast("double"), F.lit(RECENCY_NONE_MIN)))
+            F.coalesce(((F.col(b) - last_bin) * F.lit(g_min)).cast("double"), F.lit(RECENCY_NONE_MIN)))
     cal = calendar_columns(F.col(ts_col))
     labels = {}
     if with_labels:
-        for m in HORIZONS_MIN:
-            labels[f"target_{m}m"] = F.lead(g, m // step).over(w)
+        for k, name in zip(HORIZON_STEPS, label_names(g_min)):
+            labels[name] = F.lead(g, k).over(w)
     out = d.select(
         *s, ts_col, HALO_COL,
         g, "trend_arrow_encoded", "iob_units", "bolus_units", "basal_rate",
@@ -110,22 +123,3 @@ def build_features(timeline: DataFrame, *, series_cols: Sequence[str] = ("series
         *[c.alias(n) for n, c in labels.items()],
     )
     return out.filter(~F.col(HALO_COL)).drop(HALO_COL)
-
-
-def grid_regularity(timeline: DataFrame, *, series_cols: Sequence[str] = ("series_id",),
-                    ts_col: str = "timestamp", freq_minutes: int = GRID_MINUTES) -> DataFrame:
-    """Per series, max step between consecutive rows and whether all
-    steps equal the grid step. Consecutive pairs are found by a self-join
-    on the next bin (no per-series window), so any size of series spreads."""
-    s = list(series_cols)
-    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    d = timeline.select(*s, us.alias("_us"))
-    w = Window.partitionBy(*s, F.floor(F.col("_us") / F.lit(86_400_000_000 * 7)))
-    del w
-    step = freq_minutes * 60_000_000
-    nxt = d.select(*s, (F.col("_us") - F.lit(step)).alias("_us"), F.lit(True).alias("_has_next"))
-    j = d.join(nxt, s + ["_us"], "left")
-    return j.groupBy(*s).agg(
-        F.count("*").alias("n_rows"),
-        (F.count("*") - F.count("_has_next")).alias("n_breaks"),
-    )

@@ -68,4 +68,345 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "grid_align_1h": q_grid_align_1h,
 }
 
-del feature_names, F
+
+
+
+# ============================================================ more queries
+from ..functions import scalar as fx  # noqa: E402
+from ..operators import alerts as al  # noqa: E402
+from ..operators import drift as dr  # noqa: E402
+from ..operators import metrics as mt  # noqa: E402
+from ..operators import model as md  # noqa: E402
+from ..operators import quality as qa  # noqa: E402
+from ..operators import whatif as wi  # noqa: E402
+from ..sources import readers as rd  # noqa: E402
+
+NOW = "2024-01-30 00:00:00"
+TRAINED_MAE = 25.0
+
+
+def _tl_cols(spark, sf, freq, cols, where=None):
+    t = timeline(spark, sf, freq_minutes=freq)
+    if where is not None:
+        t = t.filter(where)
+    return finish(t.select(*S, "timestamp", *cols))
+
+
+def q_bin_sum_1h(spark, sf):
+    """A2, A3: bolus units and carbs summed per hour on the grid."""
+    return _tl_cols(spark, sf, 60, ["bolus_units", "carbs_g"])
+
+
+def q_bin_max_ffill_1h(spark, sf):
+    """Reported IOB max per bin, forward filled (or decay)."""
+    return _tl_cols(spark, sf, 60, ["iob_units"])
+
+
+def q_asof_basal_1h(spark, sf):
+    """Latest basal sample at or before each hour."""
+    return _tl_cols(spark, sf, 60, ["basal_rate"])
+
+
+def q_interval_flag_5m(spark, sf):
+    """5-minute bins inside a suspend / loop-action interval."""
+    return _tl_cols(spark, sf, 5, ["is_suspended", "control_iq_active"],
+                    F.col("is_suspended") | F.col("control_iq_active"))
+
+
+def q_decay_projection_1h(spark, sf):
+    """Modelled IOB from boluses (reported IOB ignored)."""
+    r, p, t = timeline_inputs(spark, sf)
+    p = p.withColumn("iob_units", F.lit(None).cast("double"))
+    tl = unified_timeline(r, p, t, series_cols=S, freq_minutes=60)
+    return finish(tl.select(*S, "timestamp", "iob_units"))
+
+
+def _feature_subset(cols):
+    def q(spark, sf):
+        return finish(features(spark, sf).select(*S, "timestamp", *cols))
+    return q
+
+
+LAG_DELTA = [f"glucose_lag_{m}m" for m in (5, 10, 15, 30, 60, 120, 240)] + \
+    [f"glucose_delta_{m}m" for m in (5, 15, 30)]
+ROLLING = [x for m in (15, 30, 60, 120) for x in (f"glucose_mean_{m}m", f"glucose_std_{m}m", f"glucose_slope_{m}m")]
+RECENCY = [f"carbs_sum_{m}m" for m in (15, 30, 60, 120)] + ["minutes_since_carbs"] + \
+    [f"bolus_sum_{m}m" for m in (15, 30, 60, 120)] + ["minutes_since_bolus"]
+CALENDAR = ["hour_sin", "hour_cos", "dow", "is_weekend"]
+LABELS = ["target_30m", "target_60m"]
+
+
+def q_gap_report(spark, sf):
+    """Gaps over 12 h between consecutive readings."""
+    r = st.readings(spark, sf)
+    return finish(qa.find_gaps(r, series_cols=S, threshold_minutes=720.0))
+
+
+def q_grid_regularity(spark, sf):
+    """Step check over the 5-minute bins that hold readings."""
+    m = tumbling_mean(st.readings(spark, sf), series_cols=S, freq_minutes=5)
+    return finish(qa.grid_regularity(m, series_cols=S, freq_minutes=5))
+
+
+def q_time_in_range(spark, sf):
+    """A7 with thresholds scaled to the data (20-80)."""
+    return finish(qa.time_in_range(st.readings(spark, sf), series_cols=S, low=20.0, high=80.0))
+
+
+def q_profile_nulls(spark, sf):
+    """Null profile of the hourly timeline."""
+    return finish(qa.profile(timeline(spark, sf, freq_minutes=60).drop("user_id")))
+
+
+def q_activity_summary(spark, sf):
+    """A9 per series over the hourly timeline."""
+    return finish(qa.activity_summary(timeline(spark, sf, freq_minutes=60), series_cols=S))
+
+
+def q_value_counts(spark, sf):
+    """A10: pump events by type and treatments by source."""
+    r, p, t = timeline_inputs(spark, sf)
+    a = qa.value_counts(p, "event_type").select(F.lit("event_type").alias("field"),
+                                                F.col("event_type").alias("value"), "n")
+    b = qa.value_counts(t, "source").select(F.lit("source").alias("field"), F.col("source").alias("value"), "n")
+    return finish(a.unionByName(b))
+
+
+def q_keep_last_dedupe(spark, sf):
+    """Newest reading per (series, hour)."""
+    r = st.readings(spark, sf).withColumn("hour", F.date_trunc("hour", "timestamp"))
+    return finish(clean.keep_last(r, S + ["hour"], ["timestamp", "seq"]))
+
+
+def q_keep_first_dedupe(spark, sf):
+    """First event per (series, type, day) in ingest order."""
+    ev = st.load_events(spark, sf).withColumn("day", F.to_date("ts"))
+    return finish(clean.keep_first(ev.select("user_id", "event_type", "day", "ts", "value", "event_id"),
+                                   ["user_id", "event_type", "day"], ["ts", "event_id"]))
+
+
+def q_union_sources(spark, sf):
+    """Pump-derived + manual treatments, deduped."""
+    _, _, t = timeline_inputs(spark, sf)
+    return finish(t.drop("seq"))
+
+
+def q_upsert_readings(spark, sf):
+    """K2: re-polled overlapping window (revised values) upserted, new wins."""
+    r = st.readings(spark, sf)
+    old = r.filter(F.col("timestamp") < F.lit("2024-01-20").cast("timestamp"))
+    new = r.filter(F.col("timestamp") >= F.lit("2024-01-15").cast("timestamp")) \
+        .withColumn("glucose_mg_dl", F.col("glucose_mg_dl") + F.lit(1.0))
+    return finish(clean.upsert_latest(old, new, S + ["timestamp"]).drop("seq"))
+
+
+def q_parse_readings(spark, sf):
+    """P1, P2, P3, P5 over string fields."""
+    x = st.raw_strings(spark, sf)
+    return finish(x.select("user_id", "event_id", fx.parse_reading("reading_text").alias("glucose_mg_dl"),
+                           fx.encode_trend("trend_text").alias("trend_from_label"),
+                           fx.rate_to_trend("rate_text").alias("trend_from_rate"),
+                           fx.to_utc("ts_text").alias("timestamp")))
+
+
+def q_encode_trend(spark, sf):
+    """Label encode on EGV-typed rows (case-insensitive type)."""
+    x = st.raw_strings(spark, sf).withColumn(
+        "event_type", F.when(F.col("event_id") % 3 == 0, "egv").when(F.col("event_id") % 3 == 1, "EGV")
+        .otherwise("Calibration"))
+    return finish(x.filter(F.upper("event_type") == "EGV")
+                  .select("user_id", "event_id", "trend_text", fx.encode_trend("trend_text").alias("trend")))
+
+
+def q_chrono_split(spark, sf):
+    """W15 + A18: per series 70/15/15 split of readings; summary per part."""
+    r = st.readings(spark, sf).withColumnRenamed("glucose_mg_dl", "target_30m")
+    sp = md.time_split(r, series_cols=S)
+    return finish(mt.split_summary(sp, series_cols=S))
+
+
+def _persistence_pairs(spark, sf):
+    r = st.readings(spark, sf).select(*S, "timestamp", "glucose_mg_dl")
+    from ..operators.blocked import previous_in_series
+    p = previous_in_series(r, S, "timestamp", payload=["glucose_mg_dl"])
+    return p.select(*S, "timestamp", F.col("glucose_mg_dl").alias("y"), F.col("prev_glucose_mg_dl").alias("yhat"))
+
+
+def q_regression_metrics(spark, sf):
+    """A11 (+A12): persistence forecast (previous reading) vs reading."""
+    return finish(mt.regression_metrics(_persistence_pairs(spark, sf), y_col="y", pred_col="yhat"))
+
+
+def q_hypo_recall(spark, sf):
+    """A12 per series."""
+    return finish(mt.hypo_recall(_persistence_pairs(spark, sf), y_col="y", pred_col="yhat", series_cols=S))
+
+
+def q_alerts(spark, sf):
+    """R1-R4 on every forecast row."""
+    f = st.forecast_rows(spark, sf)
+    return finish(al.detect(f, keep_cols=["user_id", "event_id"], now="now"))
+
+
+def _scored_log(spark, sf):
+    log = dr.dedupe_log(st.prediction_log(spark, sf), series_cols=S)
+    truth = tumbling_mean(st.readings(spark, sf), series_cols=S, freq_minutes=5)
+    return dr.join_with_actuals(log, truth, series_cols=S)
+
+
+def q_forecast_truth_join(spark, sf):
+    """K3 + J7: deduped log joined to truth."""
+    return finish(_scored_log(spark, sf).drop("seq"))
+
+
+def q_trailing_metrics(spark, sf):
+    """A13 at a fixed reference time."""
+    return finish(dr.trailing_metrics(_scored_log(spark, sf), NOW, series_cols=S))
+
+
+def q_rolling_mae_6h(spark, sf):
+    """(t - 6h, t] mean abs error."""
+    return finish(dr.rolling_mae(_scored_log(spark, sf), series_cols=S))
+
+
+def q_drift_status(spark, sf):
+    """C4 against a trained MAE of 25."""
+    m = dr.trailing_metrics(_scored_log(spark, sf), NOW, series_cols=S)
+    return finish(dr.drift_status(m, TRAINED_MAE))
+
+
+def q_backtest_mae(spark, sf):
+    """A14 per series over the scored log."""
+    from ..operators.metrics import backtest_mae
+    return finish(backtest_mae(_scored_log(spark, sf), series_cols=S))
+
+
+SCENARIO_COLS = ["scenario_ix", "scenario", "iob_units", "basal_rate", "is_suspended",
+                 "carbs_sum_15m", "carbs_sum_30m", "carbs_sum_60m", "carbs_sum_120m", "minutes_since_carbs",
+                 "bolus_sum_15m", "bolus_sum_30m", "bolus_sum_60m", "bolus_sum_120m", "minutes_since_bolus"]
+
+
+def q_scenario_rewrite(spark, sf):
+    """Rows with a current reading x the standard action grid."""
+    f = features(spark, sf).filter(F.col("glucose_mg_dl").isNotNull())
+    x = wi.expand_scenarios(f, wi.standard_action_grid())
+    return finish(x.select(*S, "timestamp", *SCENARIO_COLS))
+
+
+COMPLETE_COLS = ["glucose_mg_dl", "iob_units", "basal_rate", "carbs_sum_120m", "minutes_since_bolus"]
+
+
+def q_latest_complete_row(spark, sf):
+    """Newest row per series complete in the given columns."""
+    f = features(spark, sf).select(*S, "timestamp", *COMPLETE_COLS)
+    return finish(md.latest_complete(f, COMPLETE_COLS, series_cols=S))
+
+
+def q_decimate(spark, sf):
+    """Even stride to about 5 points per series."""
+    return finish(qa.decimate(st.readings(spark, sf).drop("seq"), 5, series_cols=S))
+
+
+def q_topk_recent(spark, sf):
+    """Newest 50 readings overall."""
+    r = st.readings(spark, sf)
+    return finish(qa.top_recent(r, 50, tie_cols=["seq"]).drop("seq"))
+
+
+def q_topk_recent_per_series(spark, sf):
+    """T3 per series: newest 3 readings of each series."""
+    return finish(qa.top_per_series(st.readings(spark, sf).drop("seq"), 3, series_cols=S))
+
+
+def q_date_filter(spark, sf):
+    """Readings from 2024-01-10 to 2024-01-12 inclusive."""
+    return finish(qa.date_filter(st.readings(spark, sf), "2024-01-10", "2024-01-12").drop("seq"))
+
+
+def q_event_markers(spark, sf):
+    """Hours with a bolus or a suspension."""
+    t = timeline(spark, sf, freq_minutes=60)
+    return finish(qa.event_markers(t).select(*S, "timestamp", "bolus_units", "is_suspended"))
+
+
+def q_derive_treatments(spark, sf):
+    """Carb-bearing boluses as meal treatments."""
+    return finish(clean.derive_treatments(st.pump_events(spark, sf), S).drop("seq"))
+
+
+def q_union_pump_streams(spark, sf):
+    """Three landed vendor streams normalised and unioned."""
+    b, ba, e = st.pump_streams(spark, sf)
+    return finish(rd.pump_feed(b, ba, e, series_cols=["user_id", "event_id"]))
+
+
+def q_first_truthy(spark, sf):
+    """Q16 alone: bolus dose and carbs by first non-zero candidate."""
+    b, _, _ = st.pump_streams(spark, sf)
+    return finish(b.select("user_id", "event_id",
+                           rd.first_truthy(F.col("insulinDelivered"), F.col("requestedInsulin"), F.lit(0.0)).alias("dose"),
+                           rd.first_truthy(F.col("carbsRequest"), F.col("carbAmount")).alias("carbs_g"),
+                           rd.first_truthy(F.col("bgValue"), F.col("targetBG")).alias("bg")))
+
+
+def q_stage_counters(spark, sf):
+    """Per stage counters in one aggregation per input."""
+    ev = st.load_events(spark, sf)
+    r = st.readings(spark, sf)
+    p = st.pump_events(spark, sf)
+    a = ev.agg(F.lit("raw_events").alias("stage"), F.count("*").alias("rows"),
+               F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
+               F.count_if(F.col("event_type") == "error").alias("carb_tagged"))
+    b = r.agg(F.lit("clean_readings").alias("stage"), F.count("*").alias("rows"),
+              F.min("timestamp").alias("min_ts"), F.max("timestamp").alias("max_ts"),
+              F.lit(0).cast("long").alias("carb_tagged"))
+    c = p.agg(F.lit("pump_events").alias("stage"), F.count("*").alias("rows"),
+              F.min("timestamp").alias("min_ts"), F.max("timestamp").alias("max_ts"),
+              F.count_if((F.col("event_type") == "bolus") & (F.col("carbs_g") > 0)).alias("carb_tagged"))
+    return finish(a.unionByName(b).unionByName(c))
+
+
+QUERIES.update({
+    "bin_sum_1h": q_bin_sum_1h,
+    "bin_max_ffill_1h": q_bin_max_ffill_1h,
+    "asof_basal_1h": q_asof_basal_1h,
+    "interval_flag_5m": q_interval_flag_5m,
+    "decay_projection_1h": q_decay_projection_1h,
+    "lag_delta_features": _feature_subset(LAG_DELTA),
+    "rolling_features": _feature_subset(ROLLING),
+    "recency_features": _feature_subset(RECENCY),
+    "calendar_features": _feature_subset(CALENDAR),
+    "labels": _feature_subset(LABELS),
+    "gap_report": q_gap_report,
+    "grid_regularity": q_grid_regularity,
+    "time_in_range": q_time_in_range,
+    "profile_nulls": q_profile_nulls,
+    "activity_summary": q_activity_summary,
+    "value_counts": q_value_counts,
+    "keep_last_dedupe": q_keep_last_dedupe,
+    "keep_first_dedupe": q_keep_first_dedupe,
+    "union_sources": q_union_sources,
+    "upsert_readings": q_upsert_readings,
+    "parse_readings": q_parse_readings,
+    "encode_trend": q_encode_trend,
+    "chrono_split": q_chrono_split,
+    "regression_metrics": q_regression_metrics,
+    "hypo_recall": q_hypo_recall,
+    "alerts": q_alerts,
+    "forecast_truth_join": q_forecast_truth_join,
+    "trailing_metrics": q_trailing_metrics,
+    "rolling_mae_6h": q_rolling_mae_6h,
+    "drift_status": q_drift_status,
+    "backtest_mae": q_backtest_mae,
+    "scenario_rewrite": q_scenario_rewrite,
+    "latest_complete_row": q_latest_complete_row,
+    "decimate": q_decimate,
+    "topk_recent": q_topk_recent,
+    "topk_recent_per_series": q_topk_recent_per_series,
+    "date_filter": q_date_filter,
+    "event_markers": q_event_markers,
+    "derive_treatments": q_derive_treatments,
+    "union_pump_streams": q_union_pump_streams,
+    "first_truthy": q_first_truthy,
+    "stage_counters": q_stage_counters,
+})
