@@ -410,3 +410,127 @@ QUERIES.update({
     "first_truthy": q_first_truthy,
     "stage_counters": q_stage_counters,
 })
+
+
+# ================================================================ model
+from ..operators import explain as ex  # noqa: E402
+from ..operators.features import feature_columns, label_names  # noqa: E402
+
+MODEL_GRID = 360             # 6-hour grid: dense enough in the stand-in data for labelled test rows
+MODEL_PARAMS = dict(maxIter=30, maxDepth=5)
+_MODELS: dict = {}
+
+
+def model_features(spark, sf):
+    """Timeline + features on a 6-hour grid over the dense stand-in."""
+    r = st.dense_readings(spark, sf)
+    p = st.pump_events(spark, sf)
+    t = clean.union_treatments(clean.derive_treatments(p, S), st.manual_treatments(spark, sf), series_cols=S)
+    tl = unified_timeline(r, p, t, series_cols=S, freq_minutes=MODEL_GRID, block_minutes=MODEL_GRID * 112)
+    return build_features(tl, series_cols=S, grid_minutes=MODEL_GRID)
+
+
+def fitted_model(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        f = model_features(spark, sf)
+        target = label_names(MODEL_GRID)[0]
+        cols = feature_columns(f, S)
+        model, _ = md.fit(f, cols, target_col=target, series_cols=S, params=MODEL_PARAMS)
+        _MODELS[key] = (model, cols, target)
+    return _MODELS[key]
+
+
+def q_gbt_backtest(spark, sf):
+    """M1, M2, M6: fit on the chronological split, score every row."""
+    model, cols, target = fitted_model(spark, sf)
+    f = model_features(spark, sf)
+    return finish(md.predict(model, f, target_col=target, keep_cols=S + ["timestamp", "glucose_mg_dl"]))
+
+
+def q_gbt_latest(spark, sf):
+    """M3 + T2: score the newest complete row of each series."""
+    model, cols, _ = fitted_model(spark, sf)
+    f = model_features(spark, sf)
+    return finish(md.predict_latest(model, f, ["glucose_mg_dl", "iob_units"], series_cols=S))
+
+
+def q_contributions(spark, sf):
+    """M5: per-row additive contributions for every row."""
+    model, cols, _ = fitted_model(spark, sf)
+    f = model_features(spark, sf)
+    c = ex.contributions(spark, model, f, key_cols=S + ["timestamp"])
+    return finish(c.select(*S, "timestamp", "bias", "prediction",
+                           F.aggregate("contribs", F.lit(0.0), lambda a, x: a + x).alias("sum_contribs")))
+
+
+def q_global_importance(spark, sf):
+    """Mean |contribution| per feature over all rows."""
+    model, cols, _ = fitted_model(spark, sf)
+    f = model_features(spark, sf)
+    c = ex.contributions(spark, model, f, key_cols=S + ["timestamp"])
+    return finish(ex.global_importance(c, cols))
+
+
+def q_local_explanation(spark, sf):
+    """T4: top-8 contributions of each series' newest complete row."""
+    model, cols, _ = fitted_model(spark, sf)
+    f = model_features(spark, sf)
+    last = md.latest_complete(f, ["glucose_mg_dl", "iob_units"], series_cols=S)
+    c = ex.contributions(spark, model, last, key_cols=S + ["timestamp"])
+    top = ex.top_k_contributions(c, last, cols, key_cols=S + ["timestamp"], k=8)
+    return finish(top.select(*S, "timestamp", "bias", "prediction", F.inline("top")))
+
+
+def q_explain_sample(spark, sf):
+    """Deterministic 2,000-row sample of complete rows (sampling is the feature)."""
+    f = model_features(spark, sf).dropna(subset=["glucose_mg_dl"])
+    return finish(ex.seeded_sample(f, 2000, key_cols=S + ["timestamp"]).select(*S, "timestamp", "glucose_mg_dl"))
+
+
+def q_whatif_scores(spark, sf):
+    """Baseline + 9 actions scored for each series' newest complete row."""
+    model, cols, _ = fitted_model(spark, sf)
+    f = model_features(spark, sf)
+    last = md.latest_complete(f, ["glucose_mg_dl", "iob_units"], series_cols=S)
+    x = wi.expand_scenarios(last, wi.standard_action_grid())
+    scored = model.transform(x)
+    return finish(wi.score_scenarios(scored, key_cols=S + ["timestamp"]))
+
+
+QUERIES.update({
+    "gbt_backtest": q_gbt_backtest,
+    "gbt_latest": q_gbt_latest,
+    "contributions": q_contributions,
+    "global_importance": q_global_importance,
+    "local_explanation": q_local_explanation,
+    "explain_sample": q_explain_sample,
+    "whatif_scores": q_whatif_scores,
+})
+
+
+# ============================================================ streaming
+def q_stream_equals_batch(spark, sf):
+    """The sensor stand-in streamed through a watermarked 5-minute
+    aggregation (update mode, batch-id keyed upsert); the latest view must
+    equal the batch ``resample_mean_5m``."""
+    import os
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..streaming import refresh as rf
+
+    ev_schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    run = uuid.uuid4().hex
+    store = os.path.join(checkpoint_dir(spark), "stores", f"bins-{run}")
+    raw = spark.readStream.schema(ev_schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = raw.filter(F.col("event_type") == "view").select(
+        "user_id", F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").alias("glucose_mg_dl"),
+        fx.rate_to_trend((F.get_json_object("props", "$.k").try_cast("int") - 50) / F.lit(25.0))
+        .alias("trend_arrow_encoded"))
+    q = rf.stream_bin_means(spark, stream, store, name=f"bins-{run}", series_cols=S)
+    q.awaitTermination()
+    return finish(rf.latest_bins(spark, store, S))
+
+
+QUERIES["stream_equals_batch"] = q_stream_equals_batch

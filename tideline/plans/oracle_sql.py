@@ -637,3 +637,5 @@ for _name, _sql in {
     "stage_counters": COUNTERS_SQL,
 }.items():
     register(_name, _sql)
+
+register("stream_equals_batch", resample_mean_sql(US5))

@@ -110,7 +110,7 @@ def forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event's value as a reading: the densest signal in the data,
-    used by the model queries on a daily grid."""
+    used by the model queries on a 6-hour grid."""
     ev = load_events(spark, sf_dir)
     return ev.select("user_id", F.col("ts").alias("timestamp"), F.col("value").alias("glucose_mg_dl"),
                      rate_to_trend((F.col("k") - 50) / F.lit(25.0)).alias("trend_arrow_encoded"),
