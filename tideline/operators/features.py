@@ -64,7 +64,7 @@ def feature_columns(df: DataFrame, series_cols: Sequence[str] = ()) -> list[str]
             if c not in NON_FEATURE_COLS and not c.startswith("target_") and c not in series_cols]
 
 
-def _halo_sizes(grid_minutes: int) -> tuple[int, int]:
+def halo_sizes(grid_minutes: int) -> tuple[int, int]:
     recency = -(-int(RECENCY_CAP_MIN) // grid_minutes)
     lookback = max(max(LAG_STEPS), max(ROLLING_STEPS) - 1, max(SUM_STEPS) - 1, recency)
     return lookback, max(HORIZON_STEPS)
@@ -73,46 +73,95 @@ def _halo_sizes(grid_minutes: int) -> tuple[int, int]:
 def build_features(timeline: DataFrame, *, series_cols: Sequence[str] = ("series_id",),
                    ts_col: str = "timestamp", block_bins: int = 864,
                    with_labels: bool = True, grid_minutes: int = GRID_MINUTES) -> DataFrame:
-    """Timeline -> series..., timestamp, 44 features, target_30m, target_60m
-    (label names scale with ``grid_minutes``)."""
+    """Any gapless timeline -> series..., timestamp, 44 features, labels
+    (label names scale with ``grid_minutes``). One shuffle: rows are
+    copied into neighbouring blocks as halo, then one windowed select."""
     s = list(series_cols)
-    g_min = grid_minutes
-    lookback, lookahead = _halo_sizes(g_min)
+    lookback, lookahead = halo_sizes(grid_minutes)
     block_bins = max(block_bins, lookback, lookahead)
     b = "_fbin"
-    d = timeline.select(*s, ts_col, *INPUT_COLS, floor_bin(ts_col, g_min).alias(b))
+    d = timeline.select(*s, ts_col, *INPUT_COLS, floor_bin(ts_col, grid_minutes).alias(b))
     d = with_halo(d, b, block_bins, lookback, lookahead)
+    return feature_select(d, s, b, ts_col=ts_col, with_labels=with_labels, grid_minutes=grid_minutes)
+
+
+def timeline_features(readings: DataFrame, pump: DataFrame | None = None, treatments: DataFrame | None = None, *,
+                      series_cols: Sequence[str] = ("series_id",), grid_minutes: int = GRID_MINUTES,
+                      block_minutes: int = 1440, with_labels: bool = True, **timeline_kw) -> DataFrame:
+    """Timeline and features fused: the timeline is built per block with
+    its halo already in place (see ``timeline_blocks``), so the dense grid
+    is never shuffled; only sparse event rows cross the network."""
+    from .timeline import timeline_blocks
+    s = list(series_cols)
+    lookback, lookahead = halo_sizes(grid_minutes)
+    tb = timeline_blocks(readings, pump, treatments, series_cols=s, freq_minutes=grid_minutes,
+                         block_minutes=block_minutes, lookback=lookback, lookahead=lookahead, **timeline_kw)
+    return feature_select(tb, s, "_bin", ts_col="timestamp", with_labels=with_labels, grid_minutes=grid_minutes)
+
+
+def feature_select(d: DataFrame, s: list[str], b: str, *, ts_col: str = "timestamp", with_labels: bool = True,
+                   grid_minutes: int = GRID_MINUTES) -> DataFrame:
+    """All window features over (series, block) ordered by bin, halo rows dropped.
+
+    Rolling sums, counts and means are prefix-sum differences
+    (``run(t) - lag(run, n)``): Spark re-aggregates a sliding frame for
+    every row (O(rows x width)) but keeps running sums incrementally, so
+    two windowed selects over the same spec (one sort) replace the wide
+    frames. Only the sample std keeps a sliding frame.
+    """
+    g_min = grid_minutes
     w = block_window(s, b)
+    run_w = w.rowsBetween(Window.unboundedPreceding, 0)
     g = F.col("glucose_mg_dl")
+    carbs = F.coalesce(F.col("carbs_g"), F.lit(0.0))
+    bolus = F.coalesce(F.col("bolus_units"), F.lit(0.0))
 
     def rows(n):
         return w.rowsBetween(-(n - 1), 0)
 
+    first = {
+        "_cg": F.sum(F.coalesce(g, F.lit(0.0))).over(run_w),
+        "_cn": F.count(g).over(run_w),
+        "_cc": F.sum(carbs).over(run_w),
+        "_cb": F.sum(bolus).over(run_w),
+        "_lc": F.last(F.when(carbs > 0, F.col(b)), True).over(run_w),
+        "_lb": F.last(F.when(bolus > 0, F.col(b)), True).over(run_w),
+    }
+    for k in sorted(set(LAG_STEPS) | set(DELTA_STEPS) | {n - 1 for n in ROLLING_STEPS}):
+        first[f"_lag{k}"] = F.lag(g, k).over(w)
+    for n in ROLLING_STEPS:
+        first[f"_sd{n}"] = F.stddev_samp(g).over(rows(n))
+    if with_labels:
+        for k in HORIZON_STEPS:
+            first[f"_lead{k}"] = F.lead(g, k).over(w)
+    p1 = d.select(*s, FBLK_COL, ts_col, HALO_COL, b, *INPUT_COLS, *[c.alias(n) for n, c in first.items()])
+
+    def window_sum(col: str, n: int):
+        return F.col(col) - F.coalesce(F.lag(col, n).over(w), F.lit(0))
+
     cols = {}
     for k in LAG_STEPS:
-        cols[f"glucose_lag_{k * g_min}m"] = F.lag(g, k).over(w)
+        cols[f"glucose_lag_{k * g_min}m"] = F.col(f"_lag{k}")
     for k in DELTA_STEPS:
-        cols[f"glucose_delta_{k * g_min}m"] = g - F.lag(g, k).over(w)
+        cols[f"glucose_delta_{k * g_min}m"] = g - F.col(f"_lag{k}")
     for n in ROLLING_STEPS:
-        gate = F.count(g).over(rows(n)) >= max(2, n // 2)
-        cols[f"glucose_mean_{n * g_min}m"] = F.when(gate, F.avg(g).over(rows(n)))
-        cols[f"glucose_std_{n * g_min}m"] = F.when(gate, F.stddev_samp(g).over(rows(n)))
-        cols[f"glucose_slope_{n * g_min}m"] = (g - F.lag(g, n - 1).over(w)) / F.lit(float(max(n - 1, 1)))
-    since_w = w.rowsBetween(Window.unboundedPreceding, 0)
-    for src, pfx in (("carbs_g", "carbs"), ("bolus_units", "bolus")):
-        v = F.coalesce(F.col(src), F.lit(0.0))
+        cnt = window_sum("_cn", n)
+        gate = cnt >= max(2, n // 2)
+        cols[f"glucose_mean_{n * g_min}m"] = F.when(gate, window_sum("_cg", n) / cnt)
+        cols[f"glucose_std_{n * g_min}m"] = F.when(gate, F.col(f"_sd{n}"))
+        cols[f"glucose_slope_{n * g_min}m"] = (g - F.col(f"_lag{n - 1}")) / F.lit(float(max(n - 1, 1)))
+    for src, pfx, last in (("_cc", "carbs", "_lc"), ("_cb", "bolus", "_lb")):
         for n in SUM_STEPS:
-            cols[f"{pfx}_sum_{n * g_min}m"] = F.sum(v).over(rows(n))
-        last_bin = F.last(F.when(v > 0, F.col(b)), True).over(since_w)
+            cols[f"{pfx}_sum_{n * g_min}m"] = window_sum(src, n)
         cols[f"minutes_since_{pfx}"] = F.least(
             F.lit(RECENCY_CAP_MIN),
-            F.coalesce(((F.col(b) - last_bin) * F.lit(g_min)).cast("double"), F.lit(RECENCY_NONE_MIN)))
+            F.coalesce(((F.col(b) - F.col(last)) * F.lit(g_min)).cast("double"), F.lit(RECENCY_NONE_MIN)))
     cal = calendar_columns(F.col(ts_col))
     labels = {}
     if with_labels:
         for k, name in zip(HORIZON_STEPS, label_names(g_min)):
-            labels[name] = F.lead(g, k).over(w)
-    out = d.select(
+            labels[name] = F.col(f"_lead{k}")
+    out = p1.select(
         *s, ts_col, HALO_COL,
         g, "trend_arrow_encoded", "iob_units", "bolus_units", "basal_rate",
         F.col("is_suspended").cast("byte").alias("is_suspended"),

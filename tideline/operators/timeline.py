@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from ..functions.scalar import (IOB_HORIZON_MIN, IOB_TAU_MIN, MICROS_PER_MINUTE,
                                 bin_ceil_of_micros, bin_to_ts, block_of, ceil_bin,
                                 floor_bin, micros)
-from .blocked import carry_forward
 
 BIN, BLK = "_bin", "_blk"
+FBLK, HALO = "_fblk", "_halo"
 
 
 def _shuffle_partitions(df: DataFrame) -> int:
@@ -85,93 +85,173 @@ def gapless_grid(readings: DataFrame, pump: DataFrame | None = None, *,
     return g.select(*series_cols, bin_to_ts(BIN, freq_minutes).alias("timestamp"))
 
 
-def _expand_intervals(df: DataFrame, series_cols, lo: Column, hi: Column, bins_per_block: int,
-                      payload: dict[str, Column]) -> DataFrame:
-    """Bins lo..hi (inclusive) per row; empty when hi < lo. Long intervals are
-    split by block first so no row explodes into an unbounded array."""
+def _segments(df: DataFrame, series_cols, lo: Column, hi: Column, bins_per_block: int,
+              lookback: int, lookahead: int, payload: dict[str, Column]) -> DataFrame:
+    """Block-level rows for bins lo..hi (inclusive; none when hi < lo).
+
+    A bin x is needed by block f when f*B - lookback <= x <= f*B + B - 1 +
+    lookahead (its own block plus the halos of its neighbours), so one
+    input row becomes one row per such block, clipped to that range. Rows
+    stay sparse: bins are generated only after the shuffle.
+    """
+    B = bins_per_block
     d = df.select(*series_cols, lo.alias("_ilo"), hi.alias("_ihi"),
                   *[c.alias(n) for n, c in payload.items()]).filter("_ihi >= _ilo")
-    d = d.select("*", F.explode(F.sequence(block_of("_ilo", bins_per_block),
-                                           block_of("_ihi", bins_per_block))).alias(BLK))
-    start = F.greatest(F.col("_ilo"), F.col(BLK) * F.lit(bins_per_block))
-    stop = F.least(F.col("_ihi"), F.col(BLK) * F.lit(bins_per_block) + F.lit(bins_per_block - 1))
-    return d.select(*series_cols, BLK, F.explode(F.sequence(start, stop)).alias(BIN), *payload)
-
-
-def event_contributions(readings: DataFrame, pump: DataFrame | None, treatments: DataFrame | None, *,
-                        series_cols: Sequence[str], freq_minutes: int, bins_per_block: int,
-                        bin_mode: str = "floor", tau_min: float = IOB_TAU_MIN,
-                        horizon_min: int = IOB_HORIZON_MIN, seq_col: str | None = "seq",
-                        ts_col: str = "timestamp") -> DataFrame:
-    """Long table of per-bin contributions, aggregated once per (series, blk, bin)."""
+    d = d.select("*", F.explode(F.sequence(block_of(F.col("_ilo") - F.lit(lookahead), B),
+                                           block_of(F.col("_ihi") + F.lit(lookback), B))).alias(FBLK))
+    start = F.greatest(F.col("_ilo"), F.col(FBLK) * F.lit(B) - F.lit(lookback))
+    stop = F.least(F.col("_ihi"), F.col(FBLK) * F.lit(B) + F.lit(B - 1 + lookahead))
+    return d.select(*series_cols, FBLK, start.alias("_s0"), stop.alias("_s1"), *payload) \
+        .filter(F.col("_s0") <= F.col("_s1"))
+
+
+def _basal_points(pump: DataFrame, series_cols, freq_minutes: int, seq_col, ts_col) -> DataFrame:
+    """Newest basal sample per (series, ceil bin); ties by ``seq``. A
+    NULL-valued newest sample stays NULL (struct max keeps the row)."""
+    ts = F.col(ts_col)
+    seq = F.col(seq_col) if seq_col and seq_col in pump.columns else F.lit(0).cast("long")
+    bas = pump.filter(F.col("event_type") == "basal").select(
+        *series_cols, ceil_bin(ts, freq_minutes).alias(BIN),
+        F.struct(micros(ts).alias("us"), seq.alias("seq"), F.col("value").alias("v")).alias("_m"))
+    return bas.groupBy(*series_cols, BIN).agg(F.max("_m").alias("_m")) \
+        .select(*series_cols, BIN, F.col("_m.v").alias("basal_v"), F.lit(True).alias("basal_p"))
+
+
+def timeline_blocks(readings: DataFrame, pump: DataFrame | None = None,
+                    treatments: DataFrame | None = None, *,
+                    series_cols: Sequence[str] = ("series_id",), freq_minutes: int = 5,
+                    block_minutes: int = 1440, bin_mode: str = "floor",
+                    tau_min: float = IOB_TAU_MIN, horizon_min: int = IOB_HORIZON_MIN,
+                    seq_col: str | None = "seq", ts_col: str = "timestamp",
+                    lookback: int = 0, lookahead: int = 0) -> DataFrame:
+    """The unified timeline keyed (series, _fblk, _bin) with halo rows
+    (``_halo``) around each block, partitioned by (series, _fblk).
+
+    Only sparse rows are shuffled: grid extents, events and intervals as
+    block-level segments go through ONE repartition by (series, block);
+    bins are generated, aggregated and forward-filled inside each block.
+    """
     s = list(series_cols)
+    B = max(1, block_minutes // freq_minutes)
+    L, H = int(lookback), int(lookahead)
     fb = floor_bin if bin_mode == "floor" else ceil_bin
+    ts = F.col(ts_col)
+    n_parts = _shuffle_partitions(readings)
 
-    def keyed(df, b):
-        return df.select("*", b.alias(BIN)).withColumn(BLK, block_of(BIN, bins_per_block))
+    def seg(df, lo, hi, payload):
+        return _segments(df, s, lo, hi, B, L, H, payload)
 
-    ts = F.col(ts_col)
-    parts = []
-    # A1: readings, mean per bin (sum + count, nulls skipped)
-    r = keyed(readings, fb(ts, freq_minutes))
-    parts.append(r.select(*s, BLK, BIN,
-                          F.col("glucose_mg_dl").alias("g_sum"),
-                          F.col("glucose_mg_dl").isNotNull().cast("long").alias("g_cnt"),
-                          F.col("trend_arrow_encoded").alias("t_sum"),
-                          F.col("trend_arrow_encoded").isNotNull().cast("long").alias("t_cnt")))
-    if pump is not None:
+    def point(df, b, payload):
+        return seg(df, b, b, payload)
+
+    # Grid extent per series -> one segment per series
+    extent = grid_extent(readings, pump, s, ts_col)
+    parts = [seg(extent, floor_bin("lo_ts", freq_minutes), ceil_bin("hi_ts", freq_minutes),
+                 {"_grid": F.lit(True), "has_real_iob": F.col("has_real_iob")})]
+    # A1 readings (mean = sum / count, NULLs skipped)
+    g, t = F.col("glucose_mg_dl"), F.col("trend_arrow_encoded")
+    parts.append(point(readings, fb(ts, freq_minutes), {
+        "g_sum": g, "g_cnt": g.isNotNull().cast("long"), "t_sum": t, "t_cnt": t.isNotNull().cast("long")}))
+    has_pump = pump is not None
+    if has_pump:
         et = F.col("event_type")
-        seq = F.col(seq_col) if seq_col and seq_col in pump.columns else F.lit(0).cast("long")
-        # P8 split by type
         bol = pump.filter(et == "bolus")
-        # A2 bolus units per bin (NULL dose counts 0); A4 reported IOB max per bin
-        b = keyed(bol, fb(ts, freq_minutes))
-        parts.append(b.select(*s, BLK, BIN, F.coalesce("value", F.lit(0.0)).alias("bolus_sum"),
-                              F.col("iob_units").alias("iob_max")))
-        # J6 decay projection: every bin with 0 <= bin - floor_minute(ts) <= horizon
+        # A2 bolus units (NULL dose counts 0) and A4 reported IOB max, floor bins
+        parts.append(point(bol, fb(ts, freq_minutes), {
+            "bolus_sum": F.coalesce(F.col("value"), F.lit(0.0)), "iob_max": F.col("iob_units")}))
+        # J6 decay projection: bins with 0 <= bin - floor_minute(ts) <= horizon
         ts_min = F.floor(micros(ts) / F.lit(MICROS_PER_MINUTE)).cast("long")
         dose = F.coalesce(F.col("value"), F.lit(0.0))
-        lo = bin_ceil_of_micros(ts_min * F.lit(MICROS_PER_MINUTE), freq_minutes)
-        hi = F.floor((ts_min + F.lit(horizon_min)) / F.lit(freq_minutes)).cast("long")
-        proj = _expand_intervals(bol.filter(dose > 0), s, lo, hi, bins_per_block,
-                                 {"_dose": dose, "_tmin": ts_min})
-        elapsed = F.col(BIN) * F.lit(freq_minutes) - F.col("_tmin")
-        parts.append(proj.select(*s, BLK, BIN,
-                                 (F.col("_dose") * F.exp(-elapsed / F.lit(float(tau_min)))).alias("iob_decay")))
-        # J3 basal samples: latest sample at or before each grid time (ceil bin),
-        # kept as a struct so a NULL-valued newest sample stays NULL
-        # (pre-aggregated on the sparse basal rows: a struct max cannot use the
-        # hash aggregate, and the dense merge below must stay hash based)
-        bas = keyed(pump.filter(et == "basal"), ceil_bin(ts, freq_minutes))
-        bas = bas.groupBy(*s, BLK, BIN).agg(
-            F.max(F.struct(micros(ts).alias("us"), seq.alias("seq"), F.col("value").alias("v"))).alias("_m"))
-        parts.append(bas.select(*s, BLK, BIN, F.col("_m.v").alias("basal_v"), F.lit(True).alias("basal_p")))
-        # J4 / J5 interval flags: grid ts in [start, start + dur), dur <= 0 or NULL -> 5 min
+        parts.append(seg(bol.filter(dose > 0),
+                         bin_ceil_of_micros(ts_min * F.lit(MICROS_PER_MINUTE), freq_minutes),
+                         F.floor((ts_min + F.lit(horizon_min)) / F.lit(freq_minutes)).cast("long"),
+                         {"_dose": dose, "_tmin": ts_min}))
+        # J3 basal samples (ceil bin: grid time >= sample time)
+        bas = _basal_points(pump, s, freq_minutes, seq_col, ts_col)
+        parts.append(point(bas, F.col(BIN), {"basal_v": F.col("basal_v"), "basal_p": F.col("basal_p")}))
+        # J4 / J5 interval flags: grid time in [start, start + dur); dur <= 0 or NULL -> 5 min
         dur = F.col("duration_minutes")
         dur = F.when(dur.isNull() | (dur <= 0), F.lit(5.0)).otherwise(dur)
         start_us = micros(ts)
         end_us = start_us + (dur * F.lit(float(MICROS_PER_MINUTE))).cast("long")
         for kind, name in (("suspend", "susp"), ("control_iq_action", "ciq")):
-            ev = pump.filter(et == kind)
-            lo = bin_ceil_of_micros(start_us, freq_minutes)
-            hi = bin_ceil_of_micros(end_us, freq_minutes) - 1
-            x = _expand_intervals(ev, s, lo, hi, bins_per_block, {})
-            parts.append(x.select(*s, BLK, BIN, F.lit(True).alias(name)))
+            parts.append(seg(pump.filter(et == kind), bin_ceil_of_micros(start_us, freq_minutes),
+                             bin_ceil_of_micros(end_us, freq_minutes) - 1, {name: F.lit(True)}))
     if treatments is not None:
-        t = keyed(treatments, fb(ts, freq_minutes))
-        parts.append(t.select(*s, BLK, BIN, F.coalesce("carbs_g", F.lit(0.0)).alias("carbs_sum")))
+        parts.append(point(treatments, fb(ts, freq_minutes),
+                           {"carbs_sum": F.coalesce(F.col("carbs_g"), F.lit(0.0))}))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p, allowMissingColumns=True)
-    return u.groupBy(*s, BLK, BIN).agg(
-        F.sum("g_sum").alias("g_sum"), F.sum("g_cnt").alias("g_cnt"),
-        F.sum("t_sum").alias("t_sum"), F.sum("t_cnt").alias("t_cnt"),
-        *([F.sum("bolus_sum").alias("bolus_sum"), F.max("iob_max").alias("iob_max"),
-           F.sum("iob_decay").alias("iob_decay"), F.max("basal_v").alias("basal_v"),
-           F.bool_or("basal_p").alias("basal_p"),
-           F.bool_or("susp").alias("susp"), F.bool_or("ciq").alias("ciq")] if pump is not None else []),
-        *([F.sum("carbs_sum").alias("carbs_sum")] if treatments is not None else []),
-    )
+    u = u.repartition(n_parts, *s, FBLK)
+    x = u.select("*", F.explode(F.sequence("_s0", "_s1")).alias(BIN))
+    decay = F.col("_dose") * F.exp(-(F.col(BIN) * F.lit(freq_minutes) - F.col("_tmin")) / F.lit(float(tau_min)))
+    aggs = [F.bool_or("_grid").alias("_grid"), F.bool_or("has_real_iob").alias("has_real_iob"),
+            F.sum("g_sum").alias("g_sum"), F.sum("g_cnt").alias("g_cnt"),
+            F.sum("t_sum").alias("t_sum"), F.sum("t_cnt").alias("t_cnt")]
+    if has_pump:
+        aggs += [F.sum("bolus_sum").alias("bolus_sum"), F.max("iob_max").alias("iob_max"),
+                 F.sum(decay).alias("iob_decay"), F.max("basal_v").alias("basal_v"),
+                 F.bool_or("basal_p").alias("basal_p"), F.bool_or("susp").alias("susp"),
+                 F.bool_or("ciq").alias("ciq")]
+    if treatments is not None:
+        aggs.append(F.sum("carbs_sum").alias("carbs_sum"))
+    m = x.groupBy(*s, FBLK, BIN).agg(*aggs).filter(F.coalesce(F.col("_grid"), F.lit(False)))
+    if has_pump:
+        # J3 / A4+W10 unbounded forward fill: running last inside the block
+        # (halo included), seeded with the last value of earlier blocks
+        m = _fill_forward(m, bas, bol, extent, s, B, L, H, freq_minutes, fb, ts_col)
+        iob = F.when(F.col("has_real_iob"), F.coalesce("iob_f", F.lit(0.0))) \
+            .otherwise(F.coalesce("iob_decay", F.lit(0.0)))
+        pump_cols = [iob.alias("iob_units"), F.coalesce("bolus_sum", F.lit(0.0)).alias("bolus_units"),
+                     F.col("basal_f").getField("v").alias("basal_rate"),
+                     F.coalesce("susp", F.lit(False)).alias("is_suspended"),
+                     F.coalesce("ciq", F.lit(False)).alias("control_iq_active")]
+    else:
+        pump_cols = [F.lit(0.0).alias("iob_units"), F.lit(0.0).alias("bolus_units"),
+                     F.lit(None).cast("double").alias("basal_rate"),
+                     F.lit(False).alias("is_suspended"), F.lit(False).alias("control_iq_active")]
+    carbs = F.coalesce("carbs_sum", F.lit(0.0)) if treatments is not None else F.lit(0.0)
+    halo = (F.col(BIN) < F.col(FBLK) * F.lit(B)) | (F.col(BIN) > F.col(FBLK) * F.lit(B) + F.lit(B - 1))
+    return m.select(
+        *s, FBLK, BIN, halo.alias(HALO),
+        bin_to_ts(BIN, freq_minutes).alias("timestamp"),
+        F.try_divide(F.col("g_sum"), F.col("g_cnt")).alias("glucose_mg_dl"),
+        F.try_divide(F.col("t_sum"), F.col("t_cnt")).alias("trend_arrow_encoded"),
+        *pump_cols, carbs.alias("carbs_g"))
+
+
+def _fill_forward(m: DataFrame, bas: DataFrame, bol: DataFrame, extent: DataFrame, s, B, L, H,
+                  freq_minutes, fb, ts_col) -> DataFrame:
+    """Seed per block = last non-null value in any earlier block (a table
+    with one row per series-block); in-block running ``last`` covers the
+    halo, so own rows are exact."""
+    ts = F.col(ts_col)
+    pts = (bas.select(*s, block_of(BIN, B).alias(FBLK),
+                      F.struct(F.col(BIN).alias("b"), F.struct(F.col("basal_v").alias("v")).alias("x")).alias("bv"),
+                      F.lit(None).cast("struct<b:bigint,x:double>").alias("iv"))
+           .unionByName(bol.filter(F.col("iob_units").isNotNull()).select(
+               *s, block_of(fb(ts, freq_minutes), B).alias(FBLK),
+               F.lit(None).cast("struct<b:bigint,x:struct<v:double>>").alias("bv"),
+               F.struct(fb(ts, freq_minutes).alias("b"), F.col("iob_units").alias("x")).alias("iv"))))
+    # NB: several IOB reports in one bin -> the bin value is their max (A4)
+    summ = pts.groupBy(*s, FBLK).agg(F.max("bv").alias("bv"), F.max("iv").alias("iv_last"))
+    iob_bin = pts.filter(F.col("iv").isNotNull()).groupBy(*s, FBLK, F.col("iv.b").alias("_b")) \
+        .agg(F.max("iv.x").alias("_ix"))
+    last_iob = iob_bin.groupBy(*s, FBLK).agg(F.max(F.struct("_b", "_ix")).alias("il"))
+    blocks = extent.select(*s, F.explode(F.sequence(
+        block_of(floor_bin("lo_ts", freq_minutes) - F.lit(H), B),
+        block_of(ceil_bin("hi_ts", freq_minutes) + F.lit(L), B))).alias(FBLK))
+    wb = Window.partitionBy(*s).orderBy(FBLK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (blocks.join(summ.drop("iv_last"), s + [FBLK], "left").join(last_iob, s + [FBLK], "left")
+             .select(*s, FBLK, F.last(F.col("bv.x"), True).over(wb).alias("_cb"),
+                     F.last(F.col("il._ix"), True).over(wb).alias("_ci")))
+    w = Window.partitionBy(*s, FBLK).orderBy(BIN).rowsBetween(Window.unboundedPreceding, 0)
+    basal = F.when(F.col("basal_p"), F.struct(F.col("basal_v").alias("v")))
+    f = m.select("*", F.last(basal, True).over(w).alias("_rb"), F.last("iob_max", True).over(w).alias("_ri"))
+    f = f.join(carry, s + [FBLK], "left")
+    return f.select(*[c for c in m.columns], F.coalesce("_rb", "_cb").alias("basal_f"),
+                    F.coalesce("_ri", "_ci").alias("iob_f"))
 
 
 def unified_timeline(readings: DataFrame, pump: DataFrame | None = None,
@@ -179,60 +259,20 @@ def unified_timeline(readings: DataFrame, pump: DataFrame | None = None,
                      series_cols: Sequence[str] = ("series_id",), freq_minutes: int = 5,
                      block_minutes: int = 1440, bin_mode: str = "floor",
                      tau_min: float = IOB_TAU_MIN, horizon_min: int = IOB_HORIZON_MIN,
-                     seq_col: str | None = "seq", ts_col: str = "timestamp",
-                     keep_keys: bool = False) -> DataFrame:
+                     seq_col: str | None = "seq", ts_col: str = "timestamp") -> DataFrame:
     """Readings + pump events + carb treatments on one gapless grid per series.
 
     Output: series..., timestamp, glucose_mg_dl, trend_arrow_encoded,
     iob_units, bolus_units, basal_rate, is_suspended, control_iq_active,
     carbs_g. Glucose gaps stay NULL; basal and reported IOB persist to the
-    grid end; carbs outside the grid are dropped.
-    ``bin_mode='ceil'`` bins sums/means at the first grid time at or after
-    the event (leak-free) instead of the default floor.
+    grid end; carbs outside the grid are dropped. ``bin_mode='ceil'`` bins
+    sums/means at the first grid time at or after the event (leak-free)
+    instead of the default floor.
     """
-    s = list(series_cols)
-    bpb = max(1, block_minutes // freq_minutes)
-    extent = grid_extent(readings, pump, s, ts_col)
-    blocks = grid_blocks(extent, s, freq_minutes, bpb)
-    grid = grid_from_blocks(blocks, s, bpb).withColumn("_grid", F.lit(True))
-    agg = event_contributions(readings, pump, treatments, series_cols=s, freq_minutes=freq_minutes,
-                              bins_per_block=bpb, bin_mode=bin_mode, tau_min=tau_min,
-                              horizon_min=horizon_min, seq_col=seq_col, ts_col=ts_col)
-    has_pump = pump is not None
-    merged = (grid.unionByName(agg, allowMissingColumns=True)
-              .repartition(_shuffle_partitions(agg), *s, BLK)
-              .groupBy(*s, BLK, BIN)
-              .agg(F.bool_or("_grid").alias("_grid"), F.max("has_real_iob").alias("has_real_iob"),
-                   *[F.max(c).alias(c) for c in agg.columns if c not in _keys(s)])
-              .filter("_grid"))
-    if has_pump:
-        sparse = agg.filter(F.col("basal_p") | F.col("iob_max").isNotNull())
-        basal = F.when(F.col("basal_p"), F.struct(F.col("basal_v").alias("v")))
-        merged = carry_forward(merged, sparse, blocks, s, BLK, BIN,
-                               {"basal_f": basal, "iob_f": F.col("iob_max")})
-        iob = F.when(F.col("has_real_iob"), F.coalesce("iob_f", F.lit(0.0))) \
-            .otherwise(F.coalesce("iob_decay", F.lit(0.0)))
-        pump_cols = [
-            iob.alias("iob_units"),
-            F.coalesce("bolus_sum", F.lit(0.0)).alias("bolus_units"),
-            F.col("basal_f").getField("v").alias("basal_rate"),
-            F.coalesce("susp", F.lit(False)).alias("is_suspended"),
-            F.coalesce("ciq", F.lit(False)).alias("control_iq_active"),
-        ]
-    else:
-        pump_cols = [F.lit(0.0).alias("iob_units"), F.lit(0.0).alias("bolus_units"),
-                     F.lit(None).cast("double").alias("basal_rate"),
-                     F.lit(False).alias("is_suspended"), F.lit(False).alias("control_iq_active")]
-    carbs = F.coalesce("carbs_sum", F.lit(0.0)) if treatments is not None else F.lit(0.0)
-    out = merged.select(
-        *s, *([BLK, BIN] if keep_keys else []),
-        bin_to_ts(BIN, freq_minutes).alias("timestamp"),
-        F.try_divide(F.col("g_sum"), F.col("g_cnt")).alias("glucose_mg_dl"),
-        F.try_divide(F.col("t_sum"), F.col("t_cnt")).alias("trend_arrow_encoded"),
-        *pump_cols,
-        carbs.alias("carbs_g"),
-    )
-    return out
+    tb = timeline_blocks(readings, pump, treatments, series_cols=series_cols, freq_minutes=freq_minutes,
+                         block_minutes=block_minutes, bin_mode=bin_mode, tau_min=tau_min,
+                         horizon_min=horizon_min, seq_col=seq_col, ts_col=ts_col)
+    return tb.drop(FBLK, BIN, HALO)
 
 
 def tumbling_mean(readings: DataFrame, *, series_cols=("series_id",), freq_minutes: int = 5,

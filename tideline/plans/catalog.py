@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean
-from ..operators.features import build_features, feature_names
+from ..operators.features import build_features, feature_names, timeline_features
 from ..operators.timeline import gapless_grid, tumbling_mean, unified_timeline
 from . import standins as st
 from .output import finish
@@ -31,7 +31,8 @@ def timeline(spark: SparkSession, sf: str, freq_minutes: int = 5) -> DataFrame:
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    return build_features(timeline(spark, sf), series_cols=S)
+    r, p, t = timeline_inputs(spark, sf)
+    return timeline_features(r, p, t, series_cols=S)
 
 
 # ---------------------------------------------------------------- queries
@@ -426,8 +427,7 @@ def model_features(spark, sf):
     r = st.dense_readings(spark, sf)
     p = st.pump_events(spark, sf)
     t = clean.union_treatments(clean.derive_treatments(p, S), st.manual_treatments(spark, sf), series_cols=S)
-    tl = unified_timeline(r, p, t, series_cols=S, freq_minutes=MODEL_GRID, block_minutes=MODEL_GRID * 112)
-    return build_features(tl, series_cols=S, grid_minutes=MODEL_GRID)
+    return timeline_features(r, p, t, series_cols=S, grid_minutes=MODEL_GRID, block_minutes=MODEL_GRID * 112)
 
 
 def fitted_model(spark, sf):
