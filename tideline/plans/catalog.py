@@ -534,3 +534,40 @@ def q_stream_equals_batch(spark, sf):
 
 
 QUERIES["stream_equals_batch"] = q_stream_equals_batch
+
+
+# ============================================================ CSV path
+def q_export_csv_roundtrip(spark, sf):
+    """K6 -> S1-S4 -> P1-P7 -> A16: readings written as a device-style CSV
+    export (readings below 40 as 'Low', above 400 as 'High', metadata rows
+    without an event type) into the shared folder, read back and cleaned."""
+    import os
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sinks.writers import write_csv
+
+    ev = st.load_events(spark, sf).filter(F.col("event_type") == "view")
+    v = F.col("value")
+    text = F.when(v < 40, F.lit("Low")).when(v > 400, F.lit("High")).otherwise(v.cast("string"))
+    data = ev.select(
+        F.col("event_id").cast("string").alias("Index"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("Timestamp (YYYY-MM-DDThh:mm:ss)"),
+        F.lit("EGV").alias("Event Type"), F.col("user_id").cast("string").alias("Patient Info"),
+        text.alias("Glucose Value (mg/dL)"),
+        ((F.col("k") - 50) / F.lit(25.0)).cast("string").alias("Glucose Rate of Change (mg/dL/min)"))
+    meta = ev.select(F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("Index"),
+                     F.lit(None).cast("string").alias("Timestamp (YYYY-MM-DDThh:mm:ss)"),
+                     F.lit(None).cast("string").alias("Event Type"),
+                     F.col("user_id").cast("string").alias("Patient Info"),
+                     F.lit(None).cast("string").alias("Glucose Value (mg/dL)"),
+                     F.lit(None).cast("string").alias("Glucose Rate of Change (mg/dL/min)"))
+    path = os.path.join(checkpoint_dir(spark), "exports", f"csv-{uuid.uuid4().hex}")
+    write_csv(data.unionByName(meta), path)
+    raw = rd.read_export_csv(spark, path)
+    clean_df = rd.clean_readings(raw, series_cols=["patient_info"], seq_col="index")
+    return finish(clean_df.select(F.col("patient_info").cast("long").alias("user_id"), "timestamp",
+                                  "glucose_mg_dl", "trend_arrow_encoded"))
+
+
+QUERIES["export_csv_roundtrip"] = q_export_csv_roundtrip

@@ -639,3 +639,9 @@ for _name, _sql in {
     register(_name, _sql)
 
 register("stream_equals_batch", resample_mean_sql(US5))
+
+register("export_csv_roundtrip", with_ctes(BASE, f"""SELECT user_id, timestamp,
+  {r6("CASE WHEN glucose_mg_dl < 40 THEN 39.0 WHEN glucose_mg_dl > 400 THEN 401.0 ELSE glucose_mg_dl END")}
+    AS glucose_mg_dl,
+  {r6('trend_arrow_encoded')} AS trend_arrow_encoded
+FROM rd"""))
