@@ -16,6 +16,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from .blocked import series_positions
 
 MISSING_SENTINEL = -1.0e6
@@ -56,7 +57,11 @@ def fit(features: DataFrame, feature_cols: Sequence[str], *, target_col: str = "
     Returns the fitted pipeline and the split table (for metrics)."""
     p = {**DEFAULT_PARAMS, **(params or {})}
     sp = time_split(features, series_cols=series_cols, train_frac=train_frac, val_frac=val_frac)
-    lab = sp.filter(F.col(target_col).isNotNull())
+    # labelled rows are cut from the feature plan once (reliable checkpoint in
+    # the shared folder), so split counts, boosting passes and validation
+    # all read one materialised table instead of recomputing the features
+    checkpoint_dir(features.sparkSession)
+    lab = sp.filter(F.col(target_col).isNotNull()).checkpoint(eager=True)
     counts = {r["split"]: r["n"] for r in lab.groupBy("split").agg(F.count("*").alias("n")).collect()}
     if any(counts.get(k, 0) == 0 for k in ("train", "val", "test")):
         raise ValueError(f"Empty split {counts}; not enough labelled rows")
