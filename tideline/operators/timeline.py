@@ -156,27 +156,43 @@ def timeline_blocks(readings: DataFrame, pump: DataFrame | None = None,
     if has_pump:
         et = F.col("event_type")
         bol = pump.filter(et == "bolus")
-        # A2 bolus units (NULL dose counts 0) and A4 reported IOB max, floor bins
-        parts.append(point(bol, fb(ts, freq_minutes), {
-            "bolus_sum": F.coalesce(F.col("value"), F.lit(0.0)), "iob_max": F.col("iob_units")}))
-        # J6 decay projection: bins with 0 <= bin - floor_minute(ts) <= horizon
+        # One pass over the pump table: every event becomes 0-2 segments
+        # (an array of same-typed structs, exploded), instead of one scan
+        # per event kind.
+        #  A2 bolus units (NULL dose counts 0) and A4 reported IOB max: floor bin
+        #  J6 decay projection: bins with 0 <= bin - floor_minute(ts) <= horizon
+        #  J4 / J5 interval flags: grid time in [start, start + dur);
+        #          dur <= 0 or NULL -> 5 min
         ts_min = F.floor(micros(ts) / F.lit(MICROS_PER_MINUTE)).cast("long")
         dose = F.coalesce(F.col("value"), F.lit(0.0))
-        parts.append(seg(bol.filter(dose > 0),
-                         bin_ceil_of_micros(ts_min * F.lit(MICROS_PER_MINUTE), freq_minutes),
-                         F.floor((ts_min + F.lit(horizon_min)) / F.lit(freq_minutes)).cast("long"),
-                         {"_dose": dose, "_tmin": ts_min}))
-        # J3 basal samples (ceil bin: grid time >= sample time)
-        bas = _basal_points(pump, s, freq_minutes, seq_col, ts_col)
-        parts.append(point(bas, F.col(BIN), {"basal_v": F.col("basal_v"), "basal_p": F.col("basal_p")}))
-        # J4 / J5 interval flags: grid time in [start, start + dur); dur <= 0 or NULL -> 5 min
         dur = F.col("duration_minutes")
         dur = F.when(dur.isNull() | (dur <= 0), F.lit(5.0)).otherwise(dur)
         start_us = micros(ts)
         end_us = start_us + (dur * F.lit(float(MICROS_PER_MINUTE))).cast("long")
-        for kind, name in (("suspend", "susp"), ("control_iq_action", "ciq")):
-            parts.append(seg(pump.filter(et == kind), bin_ceil_of_micros(start_us, freq_minutes),
-                             bin_ceil_of_micros(end_us, freq_minutes) - 1, {name: F.lit(True)}))
+        nul_d, nul_l, nul_b = (F.lit(None).cast(t) for t in ("double", "long", "boolean"))
+
+        def item(lo, hi, bolus_sum=nul_d, iob_max=nul_d, d=nul_d, tmin=nul_l, susp=nul_b, ciq=nul_b):
+            return F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"),
+                            bolus_sum.alias("bolus_sum"), iob_max.alias("iob_max"), d.alias("_dose"),
+                            tmin.alias("_tmin"), susp.alias("susp"), ciq.alias("ciq"))
+
+        fbin = fb(ts, freq_minutes)
+        items = F.array_compact(F.array(
+            F.when(et == "bolus", item(fbin, fbin, bolus_sum=dose, iob_max=F.col("iob_units"))),
+            F.when((et == "bolus") & (dose > 0), item(
+                bin_ceil_of_micros(ts_min * F.lit(MICROS_PER_MINUTE), freq_minutes),
+                F.floor((ts_min + F.lit(horizon_min)) / F.lit(freq_minutes)), d=dose, tmin=ts_min)),
+            F.when(et == "suspend", item(bin_ceil_of_micros(start_us, freq_minutes),
+                                         bin_ceil_of_micros(end_us, freq_minutes) - 1, susp=F.lit(True))),
+            F.when(et == "control_iq_action", item(bin_ceil_of_micros(start_us, freq_minutes),
+                                                   bin_ceil_of_micros(end_us, freq_minutes) - 1, ciq=F.lit(True)))))
+        ev = pump.filter(et.isin("bolus", "suspend", "control_iq_action")) \
+            .select(*s, F.explode(items).alias("_it")).select(*s, "_it.*")
+        parts.append(seg(ev, F.col("lo"), F.col("hi"),
+                         {c: F.col(c) for c in ("bolus_sum", "iob_max", "_dose", "_tmin", "susp", "ciq")}))
+        # J3 basal samples (ceil bin: grid time >= sample time)
+        bas = _basal_points(pump, s, freq_minutes, seq_col, ts_col)
+        parts.append(point(bas, F.col(BIN), {"basal_v": F.col("basal_v"), "basal_p": F.col("basal_p")}))
     if treatments is not None:
         parts.append(point(treatments, fb(ts, freq_minutes),
                            {"carbs_sum": F.coalesce(F.col("carbs_g"), F.lit(0.0))}))
