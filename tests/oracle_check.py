@@ -31,6 +31,17 @@ def norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "timestamp_ntz": "TIMESTAMP", "date": "DATE", "int": "INTEGER", "float": "FLOAT",
+                 "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
+def schema_diff(sdf, rel):
+    s = {n: SPARK_TO_DUCK.get(t, t) for n, t in sdf.dtypes}
+    d = {n: str(t) for n, t in zip(rel.columns, rel.types)}
+    return {k: (s.get(k), d.get(k)) for k in set(s) | set(d) if s.get(k) != d.get(k)}
+
+
 def rows(df: pd.DataFrame):
     cols = sorted(df.columns)
     out = [tuple(norm(x) for x in r) for r in df[cols].itertuples(index=False, name=None)]
@@ -46,20 +57,25 @@ def main(names=None, sf="/root/testdata/sf0.01"):
     ok = True
     for name in names or qs:
         t0 = time.time()
-        sdf = qs[name](spark, sf).toPandas()
+        sq_df = qs[name](spark, sf)
+        sdf = sq_df.toPandas()
         t1 = time.time()
         if name not in sq:
             print(f"{name:32s} spark_rows={len(sdf)} (no oracle) {t1 - t0:.1f}s")
             continue
-        ddf = con.sql(sq[name]).df()
+        rel = con.sql(sq[name])
+        sch = schema_diff(sq_df, rel)
+        ddf = rel.df()
         t2 = time.time()
         sc, sr = rows(sdf)
         dc, dr = rows(ddf)
-        good = sc == dc and len(sr) == len(dr) and sr == dr
+        good = sc == dc and len(sr) == len(dr) and sr == dr and not sch
         ok &= good
         msg = "OK " if good else "BAD"
         print(f"{msg} {name:32s} rows spark={len(sr)} duck={len(dr)} spark {t1 - t0:.1f}s duck {t2 - t1:.1f}s")
         if not good:
+            if sch:
+                print("   types", sch)
             if sc != dc:
                 print("   cols", sc, dc)
             else:

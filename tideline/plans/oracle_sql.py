@@ -268,8 +268,8 @@ def profile_sql() -> str:
 
 
 ACTIVITY_SQL = with_ctes(timeline_ctes(US60), f"""SELECT user_id, {r6('sum(bolus_units)')} AS total_bolus_units,
-  {r6('max(iob_units)')} AS max_iob_units, count_if(is_suspended) AS suspended_bins,
-  count_if(control_iq_active) AS control_iq_bins
+  {r6('max(iob_units)')} AS max_iob_units, CAST(count_if(is_suspended) AS BIGINT) AS suspended_bins,
+  CAST(count_if(control_iq_active) AS BIGINT) AS control_iq_bins
 FROM tl GROUP BY user_id""")
 
 VALUE_COUNTS_SQL = with_ctes(BASE, """SELECT 'event_type' AS field, event_type AS value, count(*) AS n FROM pump GROUP BY ALL
@@ -372,7 +372,7 @@ METRICS_SQL = with_ctes(BASE + [PAIRS], f"""SELECT count(*) AS n, {r6('avg(abs(y
   {r6('median(abs(yhat - y))')} AS median_abs_err
 FROM pairs WHERE y IS NOT NULL AND yhat IS NOT NULL""")
 
-HYPO_SQL = with_ctes(BASE + [PAIRS], f"""SELECT user_id, count_if(y < 70.0) AS n_low,
+HYPO_SQL = with_ctes(BASE + [PAIRS], f"""SELECT user_id, CAST(count_if(y < 70.0) AS BIGINT) AS n_low,
   {r6('CAST(count_if(y < 70.0 AND yhat < 80.0) AS DOUBLE) / nullif(count_if(y < 70.0), 0)')} AS hypo_recall
 FROM pairs WHERE y IS NOT NULL AND yhat IS NOT NULL GROUP BY user_id""")
 
@@ -474,7 +474,7 @@ def f_n(x: str, n: int) -> str:
 
 DRIFT_SQL = with_ctes(DRIFT_BASE + [TRAILING], "SELECT user_id, n_scored, "
                       + ", ".join(f"{r6(c)} AS {c}" for c in _TM_COLS) + f""",
-  25.0 AS trained_mae,
+  CAST(25.0 AS DOUBLE) AS trained_mae,
   {r6('mae_24h / 25.0')} AS drift_ratio,
   coalesce(mae_24h / 25.0 >= 1.5, false) AS recommend_retrain,
   CASE WHEN mae_24h / 25.0 >= 1.5
@@ -580,10 +580,10 @@ FIRST_TRUTHY_SQL = with_ctes([EV, STREAMS], f"""SELECT user_id, event_id,
   {r6('coalesce(nullif(bgValue, 0), targetBG)')} AS bg FROM b""")
 
 COUNTERS_SQL = with_ctes(BASE, """SELECT 'raw_events' AS stage, count(*) AS rows, min(ts) AS min_ts, max(ts) AS max_ts,
-  count_if(event_type = 'error') AS carb_tagged FROM ev
+  CAST(count_if(event_type = 'error') AS BIGINT) AS carb_tagged FROM ev
 UNION ALL SELECT 'clean_readings', count(*), min(timestamp), max(timestamp), 0 FROM rd
 UNION ALL SELECT 'pump_events', count(*), min(timestamp), max(timestamp),
-  count_if(event_type = 'bolus' AND carbs_g > 0) FROM pump""")
+  CAST(count_if(event_type = 'bolus' AND carbs_g > 0) AS BIGINT) FROM pump""")
 
 _LAG_DELTA = [f"glucose_lag_{m}m" for m in (5, 10, 15, 30, 60, 120, 240)] + \
     [f"glucose_delta_{m}m" for m in (5, 15, 30)]
