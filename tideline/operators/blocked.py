@@ -7,15 +7,17 @@ A series is never one window partition: rows are keyed by
   next block and the first ``lookahead`` bins into the previous one, so
   bounded frames (lag, lead, rolling, capped recency) are exact inside a
   block. Copies are flagged and dropped after the window.
-* ``carry_forward`` gives an unbounded "last non-null so far" over a whole
-  series: last value per block (a small table) -> running last over
-  blocks -> in-block running last, seeded with the carry-in.
+* unbounded "last non-null so far" fills use a carry-in per block: last
+  value per block (a small table) -> running last over blocks -> in-block
+  running last seeded with it (see ``timeline._fill_forward``).
+* ``previous_in_series`` and ``series_positions`` give the previous row
+  and the row position of irregular rows with the same block trick.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import block_of
@@ -46,32 +48,6 @@ def block_window(series_cols: Sequence[str], bin_col: str) -> Window:
     return Window.partitionBy(*series_cols, FBLK_COL).orderBy(bin_col)
 
 
-def carry_forward(main: DataFrame, sparse: DataFrame, blocks: DataFrame,
-                  series_cols: Sequence[str], blk_col: str, bin_col: str,
-                  values: dict[str, Column]) -> DataFrame:
-    """Unbounded forward fill of ``values`` over each series, block-parallel.
-
-    ``main``   dense rows keyed (series, blk, bin) holding the value columns;
-    ``sparse`` the rows of ``main`` where values may be non-null (any
-               superset works), used for the per-block summary;
-    ``blocks`` every (series, blk) of the grid.
-    ``values`` maps output column -> expression over ``main``/``sparse``.
-    """
-    keys = list(series_cols) + [blk_col]
-    summ = sparse.groupBy(*keys).agg(*[
-        F.max(F.when(e.isNotNull(), F.struct(F.col(bin_col).alias("b"), e.alias("v")))).alias(n)
-        for n, e in values.items()])
-    wb = Window.partitionBy(*series_cols).orderBy(blk_col).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (blocks.select(*keys).join(summ, keys, "left")
-             .select(*keys, *[F.last(F.col(n).getField("v"), True).over(wb).alias(f"_cin_{n}")
-                              for n in values]))
-    w = Window.partitionBy(*keys).orderBy(bin_col).rowsBetween(Window.unboundedPreceding, 0)
-    filled = main.select("*", *[F.last(e, True).over(w).alias(f"_run_{n}") for n, e in values.items()])
-    out = filled.join(carry, keys, "left")
-    return out.select(*[c for c in filled.columns if not c.startswith("_run_")],
-                      *[F.coalesce(F.col(f"_run_{n}"), F.col(f"_cin_{n}")).alias(n) for n in values])
-
-
 def previous_in_series(df: DataFrame, series_cols: Sequence[str], ts_col: str,
                        block_minutes: int = 1440, payload: Sequence[str] = ()) -> DataFrame:
     """Previous row (by ``ts_col``) of the same series for irregular rows,

@@ -34,10 +34,6 @@ def _shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _keys(series_cols: Sequence[str]) -> list[str]:
-    return list(series_cols) + [BLK, BIN]
-
-
 def grid_extent(readings: DataFrame, pump: DataFrame | None, series_cols: Sequence[str],
                 ts_col: str = "timestamp") -> DataFrame:
     """Per series min/max event time over readings and pump events,
