@@ -36,3 +36,39 @@ def test_timeline_invariants(spark, reads, boluses, susp):
         rev = spark.createDataFrame(list(reversed(events)), SCHEMA_P)
         flags = [x["is_suspended"] for x in unified_timeline(r, rev, block_minutes=1440).orderBy("timestamp").collect()]
         assert flags == [x["is_suspended"] for x in rows]
+
+
+def test_features_do_not_leak_future_rows(spark):
+    """Features (not labels) at time t are unchanged when rows after t change."""
+    import numpy as np
+    import pandas as pd
+
+    from tideline.operators.features import build_features
+    rng = np.random.default_rng(5)
+    ts = pd.date_range("2026-04-21", periods=600, freq="5min")
+    g = rng.normal(120, 20, len(ts))
+    cut = ts[300]
+    base = pd.DataFrame({"series_id": "s", "timestamp": ts, "glucose_mg_dl": g, "trend_arrow_encoded": 0.0,
+                         "iob_units": 0.0, "bolus_units": rng.random(len(ts)), "basal_rate": 1.0,
+                         "is_suspended": False, "control_iq_active": False, "carbs_g": rng.random(len(ts)) * 5})
+    changed = base.copy()
+    later = changed.timestamp > cut
+    changed.loc[later, ["glucose_mg_dl", "bolus_units", "carbs_g"]] = 999.0
+    a = build_features(spark.createDataFrame(base), block_bins=120).filter(f"timestamp <= '{cut}'")
+    b = build_features(spark.createDataFrame(changed), block_bins=120).filter(f"timestamp <= '{cut}'")
+    cols = [c for c in a.columns if not c.startswith("target_")]
+    assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0
+    assert a.select("target_30m").exceptAll(b.select("target_30m")).count() > 0   # labels do look ahead
+
+
+def test_modelled_iob_is_additive_over_boluses(spark):
+    r = spark.createDataFrame([("s", T0, 100.0, None, 0), ("s", T0 + timedelta(hours=12), 100.0, None, 1)], SCHEMA_R)
+
+    def iob(events):
+        p = spark.createDataFrame(events, SCHEMA_P)
+        return {x["timestamp"]: x["iob_units"] for x in unified_timeline(r, p).collect()}
+
+    e1 = [("s", T0 + timedelta(minutes=33), "bolus", 2.0, 0.0, None, None, 0)]
+    e2 = [("s", T0 + timedelta(minutes=91, seconds=20), "bolus", 1.5, 0.0, None, None, 1)]
+    a, b, ab = iob(e1), iob(e2), iob(e1 + e2)
+    assert all(abs(ab[t] - (a[t] + b[t])) < 1e-12 for t in ab)
