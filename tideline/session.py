@@ -6,6 +6,7 @@ fill in settings that are missing, so a cluster's own values win.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -51,16 +52,37 @@ def ensure_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application.
+
+    Pandas functions are pickled by reference, so a worker that was not
+    started from the repository's folder must be given the package.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="tideline-ship-")
+    stage = os.path.join(out, "src")
+    shutil.copytree(pkg, os.path.join(stage, os.path.basename(pkg)), ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(out, "tideline_pkg"), "zip", stage))
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a scratch folder is made
-    and registered. Never used for localCheckpoint.
+    Only when the setting is absent and the master is local (tests) a scratch
+    folder is made and registered; on a cluster a machine's own folder would
+    not be seen by the executors, so a missing setting is an error there.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tideline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
