@@ -4,17 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import mixing as op6
 from . import quality_rules as op9
+from . import sharding as op3
 from .common import table
 
 
+def op3_minimax_sharding(spark, sf_dir):
+    """All documents in 40 contiguous minimax shards (law ``bytes``)."""
+    d = op3.minimax_shards(table(spark, sf_dir, "documents"), shards=40)
+    return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_mixing(spark, sf_dir):
+    """All documents mixed to weights 3, 1, 2 over sources, 150 % of all words."""
+    d = op6.taken_words(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_quality_rules(spark, sf_dir):
     """Quality rules over all documents."""
     d = op9.quality_rules(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op3_minimax_sharding, op6_mixing, op9_quality_rules)}
 
 _STOPS = ", ".join("'" + w + "'" for w in sorted({w for v in op9.STOP_WORDS.values() for w in v.split()}))
 
