@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import block_naming as op8
 from . import mixing as op6
+from . import packing as op10
 from . import quality_rules as op9
 from . import sharding as op3
 from .common import table
@@ -23,17 +25,33 @@ def op6_mixing(spark, sf_dir):
     return d.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_block_naming(spark, sf_dir):
+    """Exact dedup of all documents; the largest doc_id of equal texts stays."""
+    return op8.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     """Quality rules over all documents."""
     d = op9.quality_rules(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_minimax_sharding, op6_mixing, op9_quality_rules)}
+def op10_best_fit_packing(spark, sf_dir):
+    """All documents packed into sequences of at most 2048 tokens."""
+    return op10.pack(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+QUERIES = {f.__name__: f for f in (op3_minimax_sharding, op6_mixing, op8_block_naming, op9_quality_rules,
+                                    op10_best_fit_packing)}
 
 _STOPS = ", ".join("'" + w + "'" for w in sorted({w for v in op9.STOP_WORDS.values() for w in v.split()}))
 
 ORACLE = {
+    "op8_block_naming": """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op9_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
