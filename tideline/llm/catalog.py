@@ -9,9 +9,15 @@ from . import mixing as op6
 from . import packing as op10
 from . import quality_rules as op9
 from . import sharding as op3
+from . import simhash_vp as op2
 from .common import table
 
 
+def op2_simhash_vp(spark, sf_dir):
+    """SimHash components of all documents: 4-word shingles, at most 4 bits."""
+    return op2.simhash_near_dedup(table(spark, sf_dir, "documents"), words_in_shingle=4, max_bits=4)
+
+
 def op3_minimax_sharding(spark, sf_dir):
     """All documents in 40 contiguous minimax shards (law ``bytes``)."""
     d = op3.minimax_shards(table(spark, sf_dir, "documents"), shards=40)
@@ -41,7 +47,7 @@ def op10_best_fit_packing(spark, sf_dir):
     return op10.pack(table(spark, sf_dir, "documents"), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op3_minimax_sharding, op6_mixing, op8_block_naming, op9_quality_rules,
+QUERIES = {f.__name__: f for f in (op2_simhash_vp, op3_minimax_sharding, op6_mixing, op8_block_naming, op9_quality_rules,
                                     op10_best_fit_packing)}
 
 _STOPS = ", ".join("'" + w + "'" for w in sorted({w for v in op9.STOP_WORDS.values() for w in v.split()}))
