@@ -10,9 +10,16 @@ from . import packing as op10
 from . import quality_rules as op9
 from . import sharding as op3
 from . import simhash_vp as op2
+from . import warc as op1
 from .common import table
 
 
+def op1_warc_revisits(spark, sf_dir):
+    """All pages written as WARC records, deduplicated, and read back."""
+    d = op1.archive_pages(table(spark, sf_dir, "pages"), min_bytes=100)
+    return d.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_simhash_vp(spark, sf_dir):
     """SimHash components of all documents: 4-word shingles, at most 4 bits."""
     return op2.simhash_near_dedup(table(spark, sf_dir, "documents"), words_in_shingle=4, max_bits=4)
@@ -47,12 +54,19 @@ def op10_best_fit_packing(spark, sf_dir):
     return op10.pack(table(spark, sf_dir, "documents"), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_vp, op3_minimax_sharding, op6_mixing, op8_block_naming, op9_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_simhash_vp, op3_minimax_sharding, op6_mixing, op8_block_naming, op9_quality_rules,
                                     op10_best_fit_packing)}
 
 _STOPS = ", ".join("'" + w + "'" for w in sorted({w for v in op9.STOP_WORDS.values() for w in v.split()}))
 
 ORACLE = {
+    "op1_warc_revisits": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+o AS (SELECT h, min(page_id) AS first FROM p WHERE strlen(h) >= 100 GROUP BY h)
+SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha256(p.h) AS payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN o ON p.h = o.h""",
     "op8_block_naming": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept,
