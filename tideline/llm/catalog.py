@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import block_naming as op8
+from . import deobfuscate as op7
 from . import mixing as op6
 from . import packing as op10
 from . import quality_rules as op9
 from . import sharding as op3
 from . import simhash_vp as op2
 from . import warc as op1
-from .common import table
+from .common import id_bucket, table
 
 
 def op1_warc_revisits(spark, sf_dir):
@@ -38,6 +39,15 @@ def op6_mixing(spark, sf_dir):
     return d.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark, sf_dir):
+    """Toxicity of all documents; labels of ids outside bucket 0 of 5 are learned."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = op7.train(docs, labels.filter(id_bucket(F.col("doc_id"), 5) != 0))
+    d = op7.scored(docs.select("doc_id", "text"), model)
+    return d.select("doc_id", (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                    (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_block_naming(spark, sf_dir):
     """Exact dedup of all documents; the largest doc_id of equal texts stays."""
     return op8.exact_dedup(table(spark, sf_dir, "documents"))
@@ -54,7 +64,7 @@ def op10_best_fit_packing(spark, sf_dir):
     return op10.pack(table(spark, sf_dir, "documents"), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_simhash_vp, op3_minimax_sharding, op6_mixing, op8_block_naming, op9_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_simhash_vp, op3_minimax_sharding, op6_mixing, op7_toxicity, op8_block_naming, op9_quality_rules,
                                     op10_best_fit_packing)}
 
 _STOPS = ", ".join("'" + w + "'" for w in sorted({w for v in op9.STOP_WORDS.values() for w in v.split()}))
