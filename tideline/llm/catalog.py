@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import block_naming as op8
 from . import deobfuscate as op7
+from . import langid as op4
 from . import mixing as op6
 from . import packing as op10
 from . import quality_rules as op9
@@ -33,6 +34,14 @@ def op3_minimax_sharding(spark, sf_dir):
                     F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_language_id(spark, sf_dir):
+    """Language of all documents; ids outside bucket 2 of 4 are learned."""
+    docs = table(spark, sf_dir, "documents")
+    held = id_bucket(F.col("doc_id"), 4) == 2
+    model = op4.train(docs.filter(~held).select("text", "lang"))
+    return op4.predicted(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op6_mixing(spark, sf_dir):
     """All documents mixed to weights 3, 1, 2 over sources, 150 % of all words."""
     d = op6.taken_words(table(spark, sf_dir, "documents"))
@@ -64,7 +73,7 @@ def op10_best_fit_packing(spark, sf_dir):
     return op10.pack(table(spark, sf_dir, "documents"), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_simhash_vp, op3_minimax_sharding, op6_mixing, op7_toxicity, op8_block_naming, op9_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_simhash_vp, op3_minimax_sharding, op4_language_id, op6_mixing, op7_toxicity, op8_block_naming, op9_quality_rules,
                                     op10_best_fit_packing)}
 
 _STOPS = ", ".join("'" + w + "'" for w in sorted({w for v in op9.STOP_WORDS.values() for w in v.split()}))
