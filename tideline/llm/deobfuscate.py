@@ -52,7 +52,7 @@ LEET_COST, KEEP_COST, DROP_COST, RUN_COST = 1.0, 2.0, 0.7, 0.7
 _WORD = re.compile("[^ \t-\r]+")
 _ODD = re.compile(r"[0-9@$!|€+]|(.)\1\1|[^\W\d_][.\-_*~'’][^\W\d_]")
 _LETTER = re.compile(r"[^\W\d_]")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 
 
 # ------------------------------------------------------------ character model
@@ -180,12 +180,11 @@ class Restorer:
 
     def words(self, text: str) -> list[str]:
         tokens = _WORD.findall(text)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        for t in set(tokens):
-            if t not in self.known:
-                self.known[t] = self.token(t)
-        parts = [self.known[t] for t in tokens]
+        known = self.known
+        new = {t: self.token(t) for t in set(tokens) if t not in known}
+        if len(known) + len(new) <= CACHE_WORDS:
+            known.update(new)
+        parts = [known[t] if t in known else new[t] for t in tokens]
         if sum(len(p) == 1 and len(p[0]) == 1 for p in parts) >= 3:
             for i, j, got in self.runs(tokens):
                 parts[i:j] = [got] + [()] * (j - i - 1)
@@ -214,14 +213,18 @@ class Scorer(Restorer):
         best = max((u for w in words for u in units_of(w) if u in self.m.weights), key=self.m.evidence.__getitem__, default=None)
         return self.m.weights[best] if best else 0.0
 
-    def learn(self, tokens: set[str]) -> None:
-        if len(self.value) + len(tokens) > CACHE_WORDS:
-            self.value.clear()
+    def learn(self, tokens: set[str]) -> dict[str, float]:
+        """Weights of ``tokens``; nan marks a single letter, which may belong
+        to a spaced word. A full store takes no more, so it keeps the frequent ones."""
+        new = {}
         for t in tokens:
             if t not in self.value:
                 got = self.token(t)
-                # nan marks a single letter: it may belong to a spaced word
-                self.value[t] = math.nan if len(got) == 1 and len(got[0]) == 1 else self.weight(got)
+                new[t] = math.nan if len(got) == 1 and len(got[0]) == 1 else self.weight(got)
+        if len(self.value) + len(new) <= CACHE_WORDS:
+            self.value.update(new)
+            return self.value
+        return {t: new[t] if t in new else self.value[t] for t in tokens}
 
     def figures(self, text: str) -> tuple[int, int, float]:
         """(words, hits, sum of the hits' weights) of one text."""
@@ -229,8 +232,7 @@ class Scorer(Restorer):
         try:
             w = np.fromiter(map(self.value.__getitem__, tokens), dtype=np.float64, count=len(tokens))
         except KeyError:
-            self.learn(set(tokens))
-            w = np.fromiter(map(self.value.__getitem__, tokens), dtype=np.float64, count=len(tokens))
+            w = np.fromiter(map(self.learn(set(tokens)).__getitem__, tokens), dtype=np.float64, count=len(tokens))
         single = np.isnan(w)
         n = len(tokens)
         if single.any():
