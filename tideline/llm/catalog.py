@@ -8,6 +8,7 @@ from . import block_naming as op8
 from . import deobfuscate as op7
 from . import langid as op4
 from . import mixing as op6
+from . import ngram_trie as op5
 from . import packing as op10
 from . import quality_rules as op9
 from . import sharding as op3
@@ -42,6 +43,12 @@ def op4_language_id(spark, sf_dir):
     return op4.predicted(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op5_ngram_trie(spark, sf_dir):
+    """LM scores of all documents; ids outside bucket 0 of 10 are counted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op5.lm_scores(docs, id_bucket(F.col("doc_id"), 10) == 0)
+
+
 def op6_mixing(spark, sf_dir):
     """All documents mixed to weights 3, 1, 2 over sources, 150 % of all words."""
     d = op6.taken_words(table(spark, sf_dir, "documents"))
@@ -73,7 +80,7 @@ def op10_best_fit_packing(spark, sf_dir):
     return op10.pack(table(spark, sf_dir, "documents"), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_simhash_vp, op3_minimax_sharding, op4_language_id, op6_mixing, op7_toxicity, op8_block_naming, op9_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_simhash_vp, op3_minimax_sharding, op4_language_id, op5_ngram_trie, op6_mixing, op7_toxicity, op8_block_naming, op9_quality_rules,
                                     op10_best_fit_packing)}
 
 _STOPS = ", ".join("'" + w + "'" for w in sorted({w for v in op9.STOP_WORDS.values() for w in v.split()}))
