@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import or_empty, stored
+from .common import free_name, or_empty, own_columns, stored
 
 BLOCK_BYTES = 8192
 NO_NAME = -1
@@ -87,20 +87,24 @@ def exact_groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     info = stored(rows.select(ROW, F.col(id_col).alias("doc_id"), F.sha2(or_empty(text_col), 256).alias("text_sha256"))
                   .join(names, ROW), "named-texts")
     lowest = F.lit(-(1 << 63))
-    groups = info.groupBy("level", "name").agg(
+    # stored, so that the join below deals its rows itself and can split a large group
+    groups = stored(info.groupBy("level", "name").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"),
-        F.max_by(ROW, F.coalesce(F.col("doc_id"), lowest)).alias("__keep"))
+        F.max_by(ROW, F.coalesce(F.col("doc_id"), lowest)).alias("__keep")), "text-groups")
     return info.join(groups, ["level", "name"]).select(
         ROW, "doc_id", "keep_id", "group_size", (F.col(ROW) == F.col("__keep")).alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document, dropped ones too."""
-    return exact_groups(with_rows(docs), id_col, text_col, **how).drop(ROW)
+    rows = with_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return exact_groups(rows, "id", "text", **how).drop(ROW)
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each text."""
-    rows = with_rows(docs)
-    dropped = exact_groups(rows, id_col, text_col, **how).filter("not kept").select(ROW)
-    return rows.join(dropped, ROW, "left_anti").select(*docs.columns)
+    row = free_name(docs, ROW)
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    groups = exact_groups(rows.select(F.col(row).alias(ROW), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", **how)
+    dropped = groups.filter("not kept").select(F.col(ROW).alias("__dropped"))
+    return rows.join(dropped, rows[row] == dropped["__dropped"], "left_anti").select(*own_columns(docs))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, own_columns, stored
 
 UNKNOWN = "und"
 DIMENSIONS = 4096
@@ -167,5 +167,6 @@ def predicted(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
     def run(b: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in b], columns=["lang_pred", "score"])
 
-    out = docs.withColumn("__p", run(F.col(text_col)))
-    return out.select(*docs.columns, "__p.lang_pred", "__p.score")
+    got = free_name(docs, "__p")
+    out = docs.withColumn(got, run(F.col(text_col)))
+    return out.select(*own_columns(docs), f"{got}.lang_pred", f"{got}.score")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, or_empty, stored
+from .common import WORD_GAP, free_name, or_empty, stored
 
 
 def word_count(col: Column) -> Column:
@@ -141,12 +141,13 @@ def mixed(docs: DataFrame, blocks: int = 4096, seed: int = 7, id_col: str = "doc
           with_place: bool = False, **how) -> DataFrame:
     """The mix itself: a row of ``docs`` for each draw of its block.
 
-    ``with_place`` adds ``mix_shard`` and ``mix_key``; sorting each shard by
+    ``with_place`` adds ``mix_shard`` and ``mix_key`` (names that ``docs`` must not have); sorting each shard by
     ``mix_key`` is its local shuffle (``write_mix``).
     """
     _, _, draws = plan_mix(docs, blocks=blocks, seed=seed, id_col=id_col, source_col=source_col, **how)
-    d = docs.withColumn("__block", block_of(id_col, blocks, seed)).alias("d")
-    out = d.join(draws.alias("w"), F.col(f"d.{source_col}").eqNullSafe(F.col("w.source")) & (F.col("d.__block") == F.col("w.block")))
+    own = free_name(docs, "__block")
+    d = docs.withColumn(own, block_of(id_col, blocks, seed)).alias("d")
+    out = d.join(draws.alias("w"), F.col(f"d.{source_col}").eqNullSafe(F.col("w.source")) & (F.col(f"d.{own}") == F.col("w.block")))
     place = [F.col("w.shard").alias("mix_shard"),
              F.xxhash64(F.lit(seed), F.col("w.shard"), F.col("w.epoch"), F.col(f"d.{id_col}")).alias("mix_key")] if with_place else []
     return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], *place)

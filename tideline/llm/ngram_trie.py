@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mounted, or_empty, shared_path, stored
+from .common import free_name, mounted, or_empty, own_columns, shared_path, stored
 from .elias_fano import EliasFano
 
 START, END, FIRST_WORD = 0, 1, 2
@@ -451,9 +451,10 @@ def scored(docs: DataFrame, trie: Trie, text_col: str = "text") -> DataFrame:
         f = pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 4)), columns=["n_tokens", "n_known", "base_score", "score"])
         return f.astype({"n_tokens": "int64", "n_known": "int64"})
 
-    out = docs.withColumn("__s", run(or_empty(text_col)))
-    return out.select(*docs.columns, "__s.n_tokens", "__s.n_known", F.lit(trie.vocabulary.tokens).cast("long").alias("train_tokens"),
-                      "__s.base_score", "__s.score")
+    got = free_name(docs, "__s")
+    out = docs.withColumn(got, run(or_empty(text_col)))
+    return out.select(*own_columns(docs), f"{got}.n_tokens", f"{got}.n_known", F.lit(trie.vocabulary.tokens).cast("long").alias("train_tokens"),
+                      f"{got}.base_score", f"{got}.score")
 
 
 def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import or_empty, stored
+from .common import free_name, or_empty, own_columns, stored
 
 CHUNK = 1 << 16
 LEAF = 256
@@ -273,10 +273,12 @@ def simhash_near_dedup(docs: DataFrame, words_in_shingle: int = 4, max_bits: int
 def one_of_each(docs: DataFrame, words_in_shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id",
                 text_col: str = "text", seed: int = 42, **how) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    prints = stored(fingerprints(rows, words_in_shingle, seed, id_col, text_col, keep=["__row"]), "prints")
+    row = free_name(docs, "__row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    own = rows.select(F.col(row).alias("__row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = stored(fingerprints(own, words_in_shingle, seed, "id", "text", keep=["__row"]), "prints")
     g = grouped(prints, max_bits, **how)
     # of rows that share the component's smallest id (or have none), the first row stays
     stays = g.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("__row").alias("__row"))
-    dropped = g.select("__row").join(stays.select("__row"), "__row", "left_anti")
-    return rows.join(dropped, "__row", "left_anti").select(*docs.columns)
+    dropped = g.select("__row").join(stays.select("__row"), "__row", "left_anti").select(F.col("__row").alias("__dropped"))
+    return rows.join(dropped, rows[row] == dropped["__dropped"], "left_anti").select(*own_columns(docs))
