@@ -1,7 +1,7 @@
 """Property tests (hypothesis): timeline invariants on random event sets."""
 from datetime import datetime, timedelta
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tideline.operators.timeline import unified_timeline
@@ -14,7 +14,7 @@ SCHEMA_P = ("series_id string, timestamp timestamp, event_type string, value dou
             "iob_units double, carbs_g double, seq long")
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=8, deadline=None)
 @given(reads=st.lists(minutes, min_size=1, max_size=12),
        boluses=st.lists(st.tuples(minutes, st.floats(0, 10)), max_size=6),
        susp=st.lists(st.tuples(minutes, st.one_of(st.none(), st.floats(-5, 90))), max_size=5))

@@ -3,6 +3,7 @@ import os
 import tempfile
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import quality as qa
@@ -39,11 +40,12 @@ def test_retention_keeps_newest_n_per_series(spark):
 def test_treatment_append_quarantine_csv_json_and_storage_types(spark):
     base = tempfile.mkdtemp(prefix="tl-k5-")
     tr = spark.createDataFrame([("a", T0, "meal", 20.0, "", "manual"), ("a", T0, "lunch", 5.0, "", "manual"),
-                                ("a", T0, "snack", -1.0, "", "manual")],
+                                ("a", T0, "snack", -1.0, "", "manual"), ("a", None, "meal", None, "", "manual")],
                                "series_id string, timestamp timestamp, kind string, carbs_g double, notes string, "
                                "source string")
     bad = wr.append_treatments(tr, os.path.join(base, "treatments"))
-    assert spark.read.parquet(os.path.join(base, "treatments")).count() == 1
+    kept = spark.read.parquet(os.path.join(base, "treatments")).orderBy("carbs_g").collect()
+    assert [r["carbs_g"] for r in kept] == [0.0, 20.0] and kept[0]["timestamp"] is not None
     assert sorted(r["reason"] for r in bad.collect()) == ["bad_kind", "negative_carbs"]
     wr.write_csv(frame(spark, 3), os.path.join(base, "csv"))
     assert spark.read.option("header", True).csv(os.path.join(base, "csv")).count() == 3
@@ -72,6 +74,29 @@ def test_sensor_feed_trend_map_lookback_and_cap(spark):
     assert [r["trend_arrow_encoded"] for r in rows[:9]] == [None, 2.0, 2.0, 1.0, 0.0, -1.0, -2.0, -2.0, None]
 
 
+def test_sensor_feed_keeps_all_by_default_and_reports_an_empty_feed(spark):
+    rec = spark.createDataFrame([("a", (T0 + timedelta(minutes=5 * i)).isoformat() + "Z", 100.0, 4) for i in range(1000)],
+                                "series_id string, datetime string, value double, trend int")
+    assert rd.sensor_feed(rec, series_cols=["series_id"]).count() == 1000
+    with pytest.raises(rd.EmptyFeedError):
+        rd.sensor_feed(rec.limit(0), require=True)
+    with pytest.raises(rd.EmptyFeedError):
+        rd.pump_feed(basal=rec.limit(0), require=True)
+
+
+def test_date_filter_prunes_folders(spark):
+    d = os.path.join(tempfile.mkdtemp(prefix="tl-p15-"), "t")
+    wr.write_parquet(frame(spark, 8), d)
+    x = qa.date_filter(spark.read.parquet(d), "2026-04-22", "2026-04-22")
+    assert x.count() == 4 and "PartitionFilters: [isnotnull(date" in x._jdf.queryExecution().toString()
+
+
+def test_retention_breaks_ties_by_alert_order(spark):
+    df = spark.createDataFrame([("a", T0, b, i) for b in range(3) for i in range(4)], "series_id string, timestamp timestamp, batch int, alert_ix int")
+    kept = wr.retain_last(df, 5, order_cols=["timestamp", "batch", "alert_ix"])
+    assert {(r["batch"], r["alert_ix"]) for r in kept.collect()} == {(2, 0), (2, 1), (2, 2), (2, 3), (1, 3)}
+
+
 def test_stage_counters_observation(spark):
     df, obs = qa.stage_counters(frame(spark, 6), name="clean",
                                 extra={"low": F.count_if(F.col("glucose_mg_dl") < 2)})

@@ -41,6 +41,16 @@ def null_if_nan(c) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
+#: a plain number; a JVM cast would also take type suffixes as in '120d'
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def number_or_null(c) -> Column:
+    """Text -> double; anything that is not a plain number -> NULL."""
+    s = F.regexp_replace(col_(c).cast("string"), r"^\s+|\s+$", "")
+    return F.when(s.rlike(_NUMBER), s.try_cast("double"))
+
+
 # ---- P1 -------------------------------------------------------------------
 def parse_reading(c) -> Column:
     """'Low' -> 39, 'High' -> 401, ''/nan/none -> NULL, unparsable -> NULL."""
@@ -49,7 +59,7 @@ def parse_reading(c) -> Column:
     return (F.when(s.isNull() | (s == "") | low.isin("nan", "none"), F.lit(None).cast("double"))
             .when(low == "low", F.lit(LOW_SENTINEL))
             .when(low == "high", F.lit(HIGH_SENTINEL))
-            .otherwise(null_if_nan(s.try_cast("double"))))
+            .otherwise(number_or_null(s)))
 
 
 # ---- P2 -------------------------------------------------------------------
@@ -66,7 +76,7 @@ def encode_trend(c) -> Column:
 # ---- P3 -------------------------------------------------------------------
 def rate_to_trend(c) -> Column:
     """Rate of change (mg/dL/min): clip to [-2, 2], round half-even; bad -> NULL."""
-    r = null_if_nan(col_(c).cast("string").try_cast("double"))
+    r = number_or_null(c)
     return F.when(r.isNotNull(), F.bround(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), r)), 0))
 
 
@@ -145,6 +155,7 @@ def calendar_columns(ts) -> dict[str, Column]:
 
 # ---- P17 --------------------------------------------------------------------
 def decay(dose, elapsed_min, tau_min: float = IOB_TAU_MIN) -> Column:
+    """What is left of ``dose`` after ``elapsed_min`` minutes."""
     return col_(dose) * F.exp(-col_(elapsed_min) / F.lit(float(tau_min)))
 
 

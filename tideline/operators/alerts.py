@@ -38,23 +38,9 @@ MSG_RISE = ("Predicted rise of ", " mg/dL in the next 30 min. Likely a carb-driv
 ALERT_COLS = ("alert_ix", "type", "severity", "message", "detail")
 
 
-def json_num(c: Column) -> Column:
-    """Plain-decimal JSON number (6 places, trailing zeros trimmed)."""
-    s = F.format_string("%.6f", F.bround(c.cast("double"), 6))
-    s = F.regexp_replace(s, r"0+$", "")
-    s = F.regexp_replace(s, r"\.$", ".0")
-    return F.when(c.isNull(), F.lit("null")).otherwise(s)
-
-
 def json_obj(**fields: Column) -> Column:
-    parts = []
-    for i, (k, v) in enumerate(fields.items()):
-        parts += [F.lit(("{" if i == 0 else ", ") + f'"{k}": '), v]
-    return F.concat(*parts, F.lit("}"))
-
-
-def json_str(c: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    """A JSON object with every field, at full precision (a missing one is null)."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"})
 
 
 def ts_text(ts: Column) -> Column:
@@ -82,16 +68,16 @@ def detect(df: DataFrame, *, keep_cols: Sequence[str] = (), now: Column | str |
     now_c = F.current_timestamp() if now is None else (F.col(now) if isinstance(now, str) else now)
     age = (micros(now_c) - micros(cts)) / F.lit(60_000_000.0)
     delta = pred - cur
-    d_cur = json_obj(current_glucose=json_num(cur))
-    d_pred = json_obj(prediction_30m=json_num(pred), delta=json_num(delta))
-    d_delta = json_obj(delta=json_num(delta), prediction_30m=json_num(pred))
+    d_cur = json_obj(current_glucose=cur)
+    d_pred = json_obj(prediction_30m=pred, delta=delta)
+    d_delta = json_obj(delta=delta, prediction_30m=pred)
     g1 = (F.when(cur <= th["low_sentinel"], _struct("sensor_extreme", "critical",
                                                      F.lit(MSG_SENSOR_LOW.format(**ith)), d_cur))
           .when(cur >= th["high_sentinel"], _struct("sensor_extreme", "critical",
                                                      F.lit(MSG_SENSOR_HIGH.format(**ith)), d_cur)))
     g2 = F.when(age > th["stale_minutes"], _struct(
         "stale_data", "warn", F.concat(F.lit(MSG_STALE[0]), fmt_0f(age), F.lit(MSG_STALE[1])),
-        json_obj(age_minutes=json_num(age), last_seen=json_str(ts_text(cts)))))
+        json_obj(age_minutes=age, last_seen=ts_text(cts))))
     g3 = (F.when(pred < th["low_mg_dl"], _struct(
         "predicted_low", "critical",
         F.concat(F.lit(MSG_PRED_LOW[0]), fmt_0f(pred), F.lit(MSG_PRED_LOW[1].format(**ith))), d_pred))

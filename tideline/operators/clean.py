@@ -1,39 +1,42 @@
 """Cleaning, dedupe and union operators: P6, P7, P9, A16, A17, U1, U2, K2, K5.
 
-Keep-first / keep-last dedupes are ``max_by``/``min_by`` aggregates over an
-explicit ingest order (``seq``), so ties are deterministic and the work is
-a hash aggregation keyed by the dedupe key (no per-series task).
+Keep-first / keep-last dedupes rank the rows of a key by an explicit ingest
+order (``seq``; the other columns break ties) and keep rank 1. Spark plans the
+filter as a group limit below the exchange, so each task sends at most one
+row of a key and a hot key is small before it is shuffled.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import TREATMENT_KINDS
 
 
-def _order_struct(df: DataFrame, order_cols: Sequence[str], payload: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)],
-                    F.struct(*[F.col(c) for c in payload]).alias("_p"))
+def _first_ranked(df: DataFrame, key_cols: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    w = Window.partitionBy(*key_cols).orderBy(*order)
+    return df.select("*", F.row_number().over(w).alias("_rank")).filter("_rank = 1").drop("_rank")
+
+
+def _by_order_then_rest(df: DataFrame, key_cols, order_cols) -> list[str]:
+    return list(order_cols) + [c for c in df.columns if c not in key_cols and c not in order_cols]
 
 
 def keep_last(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
     """One row per key, the one with the greatest ``order_cols``."""
-    payload = [c for c in df.columns if c not in key_cols]
-    m = df.groupBy(*key_cols).agg(F.max(_order_struct(df, order_cols, payload)).alias("_m"))
-    return m.select(*key_cols, *[F.col("_m._p").getField(c).alias(c) for c in payload])
+    by = _by_order_then_rest(df, key_cols, order_cols)
+    return _first_ranked(df, key_cols, [F.col(c).desc_nulls_last() for c in by])
 
 
 def keep_first(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
     """One row per key, the one with the smallest ``order_cols``.
 
     Key columns may be NULL (NULLs group together, as in pandas)."""
-    payload = [c for c in df.columns if c not in key_cols]
-    m = df.groupBy(*key_cols).agg(F.min(_order_struct(df, order_cols, payload)).alias("_m"))
-    return m.select(*key_cols, *[F.col("_m._p").getField(c).alias(c) for c in payload])
+    by = _by_order_then_rest(df, key_cols, order_cols)
+    return _first_ranked(df, key_cols, [F.col(c).asc_nulls_first() for c in by])
 
 
 def drop_incomplete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -82,18 +85,18 @@ def upsert_latest(existing: DataFrame, new: DataFrame, key_cols: Sequence[str],
     return keep_last(u, key_cols, order).select(*cols)
 
 
-def validate_treatments(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate_treatments(df: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """K5: split into (valid, quarantine with ``reason``): kind in the fixed
-    list, carbs >= 0, timestamp present."""
+    list, carbs >= 0. A missing time becomes ``now``, missing carbs 0."""
+    df = df.withColumns({"timestamp": F.coalesce("timestamp", F.current_timestamp() if now is None else now),
+                         "carbs_g": F.coalesce("carbs_g", F.lit(0.0))})
     reason = (F.when(~F.col("kind").isin(*TREATMENT_KINDS) | F.col("kind").isNull(), F.lit("bad_kind"))
-              .when(F.col("carbs_g").isNull() | (F.col("carbs_g") < 0), F.lit("negative_carbs"))
-              .when(F.col("timestamp").isNull(), F.lit("no_timestamp")))
+              .when(F.col("carbs_g") < 0, F.lit("negative_carbs")))
     tagged = df.withColumn("reason", reason)
     return tagged.filter("reason IS NULL").drop("reason"), tagged.filter("reason IS NOT NULL")
 
 
-def union_pump_streams(bolus: DataFrame | None, basal: DataFrame | None,
-                       event: DataFrame | None) -> DataFrame:
+def union_pump_streams(*streams: DataFrame | None) -> DataFrame:
     """Union heterogeneous streams, missing columns as NULL."""
-    fr = [f for f in (bolus, basal, event) if f is not None]
+    fr = [f for f in streams if f is not None]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), fr)

@@ -132,9 +132,6 @@ def top_k_contributions(contribs: DataFrame, features: DataFrame, feature_cols:
 
 def seeded_sample(df: DataFrame, n: int = 2000, *, key_cols: Sequence[str], seed: int = 0) -> DataFrame:
     """Deterministic sample of ``n`` rows (hash order, top-n per task
-    then one merge), re-sorted by the first key."""
+    then one merge), re-sorted by ``key_cols``, the last one (the time) first."""
     h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
-    return df.orderBy(h).limit(n)
-
-
-del pd
+    return df.orderBy(h).limit(n).orderBy(key_cols[-1], *key_cols[:-1])

@@ -13,43 +13,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kth_smallest(df: DataFrame, col: str, ks: Sequence[int], buckets: int = 4096,
-                  exact_leaf: int = 100_000) -> list[float]:
-    """Exact k-th smallest values (0-based) of a non-null double column."""
-    out = []
-    base = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    for k in ks:
-        lo, hi = base.agg(F.min("x"), F.max("x")).first()
-        below = 0  # rows strictly below lo
-        while True:
-            if lo == hi:
-                out.append(float(lo))
-                break
-            rng = base.filter((F.col("x") >= lo) & (F.col("x") <= hi))
-            n_in = rng.count()
-            if n_in <= exact_leaf:
-                vals = sorted(r[0] for r in rng.collect())  # bounded by exact_leaf
-                out.append(float(vals[k - below]))
-                break
-            width = (hi - lo) / buckets
-            b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(buckets - 1))
-            hist = sorted(rng.groupBy(b.alias("b")).agg(F.count("*").alias("n"),
-                                                        F.min("x").alias("mn"), F.max("x").alias("mx")).collect())
-            acc = below
+def _kth_smallest(base: DataFrame, ks: Sequence[int], lo: float, hi: float, buckets: int = 4096) -> dict[int, float]:
+    """Exact k-th smallest values (0-based) of the non-null double column ``x``
+    between ``lo`` and ``hi``. Each pass counts, for all ranks still open, at
+    most ``buckets`` cells of the range that holds the rank; a range of one
+    value ends it. The path is the same at every size."""
+    todo = {k: (lo, hi, 0) for k in ks}  # rank -> (low, high, rows below low)
+    done: dict[int, float] = {}
+    while todo:
+        done |= {k: a for k, (a, b, _) in todo.items() if a == b}
+        ranges = sorted({r for k, r in todo.items() if k not in done})
+        todo = {k: r for k, r in todo.items() if k not in done}
+        if not todo:
+            break
+        x, cells = F.col("x"), []
+        for i, (a, b, _) in enumerate(ranges):
+            width = (b - a) / buckets
+            cell = F.least(F.floor((x - F.lit(a)) / F.lit(width)).cast("long"), F.lit(buckets - 1)) if width > 0 else \
+                F.when(x == a, F.lit(0)).otherwise(F.lit(1)).cast("long")
+            cells.append(F.when((x >= a) & (x <= b), F.struct(F.lit(i).alias("r"), cell.alias("c"))))
+        hist = (base.select("x", F.explode(F.array_compact(F.array(*cells))).alias("k"))
+                .groupBy("k.r", "k.c").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
+                .orderBy("r", "c").collect())  # at most two ranges of ``buckets`` cells
+        for k, found in list(todo.items()):
+            below = found[2]
             for row in hist:
-                if acc + row["n"] > k:
-                    lo, hi, below = row["mn"], row["mx"], acc
+                if row["r"] != ranges.index(found):
+                    continue
+                if below + row["n"] > k:
+                    todo[k] = (row["mn"], row["mx"], below)
                     break
-                acc += row["n"]
-    return out
+                below += row["n"]
+    return done
 
 
 def exact_median(df: DataFrame, col: str) -> float | None:
-    n = df.filter(F.col(col).isNotNull()).count()
-    if n == 0:
-        return None
-    a, b = _kth_smallest(df, col, [(n - 1) // 2, n // 2])
-    return (a + b) / 2.0
+    """The exact median; the column is computed once and kept while it is found."""
+    base = df.select(F.col(col).cast("double").alias("x")).filter("x is not null").persist()
+    try:
+        n, lo, hi = base.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+        if not n:
+            return None
+        a, b = (n - 1) // 2, n // 2
+        got = _kth_smallest(base, sorted({a, b}), lo, hi)
+        return (got[a] + got[b]) / 2.0
+    finally:
+        base.unpersist()
 
 
 def regression_metrics(df: DataFrame, *, y_col: str, pred_col: str, with_median: bool = True) -> DataFrame:

@@ -83,8 +83,8 @@ def activity_summary(timeline: DataFrame, *, series_cols: Sequence[str] = ("seri
 
 
 def value_counts(df: DataFrame, col: str, *, series_cols: Sequence[str] = ()) -> DataFrame:
-    """A10: rows per value (ordering is left to the consumer / a top-k)."""
-    return df.groupBy(*series_cols, col).agg(F.count("*").alias("n"))
+    """A10: rows per value, the most frequent first (ties by value)."""
+    return df.groupBy(*series_cols, col).agg(F.count("*").alias("n")).orderBy(*series_cols, F.desc("n"), col)
 
 
 def stage_counters(df: DataFrame, *, name: str, ts_col: str = "timestamp",
@@ -98,9 +98,13 @@ def stage_counters(df: DataFrame, *, name: str, ts_col: str = "timestamp",
 
 
 def date_filter(df: DataFrame, start_date: str, end_date: str, ts_col: str = "timestamp") -> DataFrame:
-    """Both ends inclusive by UTC date (pushes down as a range on ts)."""
+    """Both ends inclusive by UTC date: a range on ``ts_col`` that reaches
+    the scan, and on a table with K1's ``date`` column also a range on that, so
+    other dates' folders are not opened."""
     lo = F.to_timestamp(F.lit(start_date))
     hi = F.to_timestamp(F.lit(end_date)) + F.expr("INTERVAL 1 DAY")
+    if "date" in df.columns:
+        df = df.filter(F.col("date").between(F.to_date(F.lit(start_date)), F.to_date(F.lit(end_date))))
     return df.filter((F.col(ts_col) >= lo) & (F.col(ts_col) < hi))
 
 
@@ -127,16 +131,20 @@ def top_recent(df: DataFrame, n: int, *, ts_col: str = "timestamp", tie_cols: Se
 
 
 def top_per_series(df: DataFrame, n: int, *, series_cols: Sequence[str] = ("series_id",),
-                   ts_col: str = "timestamp") -> DataFrame:
-    """T3 per series: newest ``n`` rows of each series. A (series, day)
-    top-n pre-filter keeps any hot series spread over tasks; only
-    <= n rows per block survive into the per-series ranking."""
+                   ts_col: str = "timestamp", tie_cols: Sequence[str] = ()) -> DataFrame:
+    """T3 per series: newest ``n`` rows of each series (ties by ``tie_cols``,
+    the greatest first). Only days that can hold one of them are ranked: counts
+    per (series, day), summed from the newest day on, say where ``n`` rows are
+    reached, so a series' ranking sees at most ``n`` rows and one day more."""
     s = list(series_cols)
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))
     day = 86_400_000_000
     d = df.select("*", ((us - F.pmod(us, F.lit(day))) / F.lit(day)).cast("long").alias("_dblk"))
-    w1 = Window.partitionBy(*s, "_dblk").orderBy(F.col(ts_col).desc())
-    pre = d.select("*", F.row_number().over(w1).alias("_r1")).filter(F.col("_r1") <= n)
-    w2 = Window.partitionBy(*s).orderBy(F.col(ts_col).desc())
-    return pre.select("*", F.row_number().over(w2).alias("rank")).filter(F.col("rank") <= n) \
-        .drop("_dblk", "_r1")
+    newer = Window.partitionBy(*s).orderBy(F.col("_dblk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    days = d.groupBy(*s, "_dblk").agg(F.count(F.lit(1)).alias("_n"))
+    days = days.select(*s, "_dblk", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_newer")).filter(F.col("_newer") < n)
+    order = [F.col(ts_col).desc(), *[F.col(c).desc() for c in tie_cols]]
+    w1 = Window.partitionBy(*s, "_dblk").orderBy(*order)
+    pre = d.join(days, [*s, "_dblk"]).select("*", F.row_number().over(w1).alias("_r1")) \
+        .withColumn("rank", (F.col("_newer") + F.col("_r1")).cast("int")).filter(F.col("rank") <= n)
+    return pre.select(*df.columns, "rank")

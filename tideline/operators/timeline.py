@@ -2,15 +2,15 @@
 
 Plan shape (per call):
 
-1. events -> one long table of per-bin contributions (readings, bolus
-   sums, carbs, reported IOB, basal samples, decay projection, interval
-   flags) -> ONE ``groupBy(series, blk, bin)`` with map-side partial
-   aggregation (sparse: grows with events, not with the grid).
-2. grid extent per series (A6) -> blocks (one row per series-day) ->
-   repartitioned by (series, blk) -> bins exploded inside each block, so a
-   long or hot series is generated by many tasks.
-3. grid rows union event aggregates -> merged per (series, blk, bin) ->
-   unbounded forward fills (J3, A4/W10) through ``carry_forward``.
+1. readings and carbs are summed per (series, bin) with map-side partial
+   aggregation, so a high-rate series-day is small before it is dealt out;
+   these sums, pump events, intervals, decay horizons and the grid extent
+   (A6) become block-level segments (sparse: they grow with events).
+2. ONE repartition by (series, block), without a fixed partition count, so
+   AQE may merge or split; bins are generated, aggregated and forward
+   filled inside each block.
+3. unbounded forward fills (J3, A4/W10) are seeded per block from a carry
+   table with one row per series-block.
 
 No theta join and no per-series task: as-of (J3), interval stab (J4/J5)
 and decay projection (J6) are rewritten as bin expansion plus equi-keys.
@@ -23,34 +23,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import (IOB_HORIZON_MIN, IOB_TAU_MIN, MICROS_PER_MINUTE,
-                                bin_ceil_of_micros, bin_to_ts, block_of, ceil_bin,
-                                floor_bin, micros)
+                                bin_ceil_of_micros, bin_to_ts, block_of, ceil_bin, decay,
+                                floor_bin, micros, null_if_nan)
 
 BIN, BLK = "_bin", "_blk"
 FBLK, HALO = "_fblk", "_halo"
 
 
-def _shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def grid_extent(readings: DataFrame, pump: DataFrame | None, series_cols: Sequence[str],
                 ts_col: str = "timestamp") -> DataFrame:
     """Per series min/max event time over readings and pump events,
-    plus the A5 flag "some bolus reports IOB". Series without readings get
-    no grid (a timeline needs glucose)."""
+    plus the A5 flag "some bolus reports IOB". A series with pump events only
+    has a grid too; its glucose is missing."""
     s = list(series_cols)
-    parts = [readings.select(*s, F.col(ts_col).alias("_ts"), F.lit(True).alias("_rd"),
-                             F.lit(False).alias("_riob"))]
+    parts = [readings.select(*s, F.col(ts_col).alias("_ts"), F.lit(False).alias("_riob"))]
     if pump is not None:
-        parts.append(pump.select(*s, F.col(ts_col).alias("_ts"), F.lit(False).alias("_rd"),
+        parts.append(pump.select(*s, F.col(ts_col).alias("_ts"),
                                  ((F.col("event_type") == "bolus") & F.col("iob_units").isNotNull())
                                  .alias("_riob")))
     u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return (u.groupBy(*s)
             .agg(F.min("_ts").alias("lo_ts"), F.max("_ts").alias("hi_ts"),
-                 F.bool_or("_rd").alias("_has_rd"), F.bool_or("_riob").alias("has_real_iob"))
-            .filter("_has_rd").drop("_has_rd"))
+                 F.bool_or("_riob").alias("has_real_iob")).filter("lo_ts is not null"))
 
 
 def grid_blocks(extent: DataFrame, series_cols: Sequence[str], freq_minutes: int,
@@ -61,7 +55,7 @@ def grid_blocks(extent: DataFrame, series_cols: Sequence[str], freq_minutes: int
     e = extent.select(*series_cols, "has_real_iob", lo.alias("_lo"), hi.alias("_hi"))
     blocks = e.select("*", F.explode(F.sequence(block_of("_lo", bins_per_block),
                                                 block_of("_hi", bins_per_block))).alias(BLK))
-    return blocks.repartition(_shuffle_partitions(extent), *series_cols, BLK)
+    return blocks.repartition(*series_cols, BLK)
 
 
 def grid_from_blocks(blocks: DataFrame, series_cols: Sequence[str], bins_per_block: int) -> DataFrame:
@@ -132,7 +126,6 @@ def timeline_blocks(readings: DataFrame, pump: DataFrame | None = None,
     L, H = int(lookback), int(lookahead)
     fb = floor_bin if bin_mode == "floor" else ceil_bin
     ts = F.col(ts_col)
-    n_parts = _shuffle_partitions(readings)
 
     def seg(df, lo, hi, payload):
         return _segments(df, s, lo, hi, B, L, H, payload)
@@ -145,9 +138,10 @@ def timeline_blocks(readings: DataFrame, pump: DataFrame | None = None,
     parts = [seg(extent, floor_bin("lo_ts", freq_minutes), ceil_bin("hi_ts", freq_minutes),
                  {"_grid": F.lit(True), "has_real_iob": F.col("has_real_iob")})]
     # A1 readings (mean = sum / count, NULLs skipped)
-    g, t = F.col("glucose_mg_dl"), F.col("trend_arrow_encoded")
-    parts.append(point(readings, fb(ts, freq_minutes), {
-        "g_sum": g, "g_cnt": g.isNotNull().cast("long"), "t_sum": t, "t_cnt": t.isNotNull().cast("long")}))
+    g, t = null_if_nan(F.col("glucose_mg_dl").cast("double")), null_if_nan(F.col("trend_arrow_encoded").cast("double"))
+    binned = readings.groupBy(*s, fb(ts, freq_minutes).alias(BIN)).agg(
+        F.sum(g).alias("g_sum"), F.count(g).alias("g_cnt"), F.sum(t).alias("t_sum"), F.count(t).alias("t_cnt"))
+    parts.append(point(binned, F.col(BIN), {c: F.col(c) for c in ("g_sum", "g_cnt", "t_sum", "t_cnt")}))
     has_pump = pump is not None
     if has_pump:
         et = F.col("event_type")
@@ -190,20 +184,21 @@ def timeline_blocks(readings: DataFrame, pump: DataFrame | None = None,
         bas = _basal_points(pump, s, freq_minutes, seq_col, ts_col)
         parts.append(point(bas, F.col(BIN), {"basal_v": F.col("basal_v"), "basal_p": F.col("basal_p")}))
     if treatments is not None:
-        parts.append(point(treatments, fb(ts, freq_minutes),
-                           {"carbs_sum": F.coalesce(F.col("carbs_g"), F.lit(0.0))}))
+        eaten = treatments.groupBy(*s, fb(ts, freq_minutes).alias(BIN)).agg(
+            F.sum(F.coalesce(F.col("carbs_g"), F.lit(0.0))).alias("carbs_sum"))
+        parts.append(point(eaten, F.col(BIN), {"carbs_sum": F.col("carbs_sum")}))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p, allowMissingColumns=True)
-    u = u.repartition(n_parts, *s, FBLK)
+    u = u.repartition(*s, FBLK)
     x = u.select("*", F.explode(F.sequence("_s0", "_s1")).alias(BIN))
-    decay = F.col("_dose") * F.exp(-(F.col(BIN) * F.lit(freq_minutes) - F.col("_tmin")) / F.lit(float(tau_min)))
+    left = decay("_dose", F.col(BIN) * F.lit(freq_minutes) - F.col("_tmin"), tau_min)
     aggs = [F.bool_or("_grid").alias("_grid"), F.bool_or("has_real_iob").alias("has_real_iob"),
             F.sum("g_sum").alias("g_sum"), F.sum("g_cnt").alias("g_cnt"),
             F.sum("t_sum").alias("t_sum"), F.sum("t_cnt").alias("t_cnt")]
     if has_pump:
         aggs += [F.sum("bolus_sum").alias("bolus_sum"), F.max("iob_max").alias("iob_max"),
-                 F.sum(decay).alias("iob_decay"), F.max("basal_v").alias("basal_v"),
+                 F.sum(left).alias("iob_decay"), F.max("basal_v").alias("basal_v"),
                  F.bool_or("basal_p").alias("basal_p"), F.bool_or("susp").alias("susp"),
                  F.bool_or("ciq").alias("ciq")]
     if treatments is not None:

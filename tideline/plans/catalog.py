@@ -80,6 +80,7 @@ from ..operators import metrics as mt  # noqa: E402
 from ..operators import model as md  # noqa: E402
 from ..operators import quality as qa  # noqa: E402
 from ..operators import whatif as wi  # noqa: E402
+from ..sinks import writers as wr  # noqa: E402
 from ..sources import readers as rd  # noqa: E402
 
 NOW = "2024-01-30 00:00:00"
@@ -165,7 +166,7 @@ def q_activity_summary(spark, sf):
 
 
 def q_value_counts(spark, sf):
-    """A10: pump events by type and treatments by source."""
+    """A10: pump events by type and treatments by source, most frequent first in each."""
     r, p, t = timeline_inputs(spark, sf)
     a = qa.value_counts(p, "event_type").select(F.lit("event_type").alias("field"),
                                                 F.col("event_type").alias("value"), "n")
@@ -246,7 +247,54 @@ def q_hypo_recall(spark, sf):
 def q_alerts(spark, sf):
     """R1-R4 on every forecast row."""
     f = st.forecast_rows(spark, sf)
-    return finish(al.detect(f, keep_cols=["user_id", "event_id"], now="now"))
+    a = al.detect(f, keep_cols=["user_id", "event_id"], now="now")
+
+    def number(field):
+        return F.get_json_object("detail", f"$.{field}").cast("double")
+
+    return finish(a.select("user_id", "event_id", "alert_ix", "type", "severity", "message",
+                           number("current_glucose").alias("detail_current"), number("prediction_30m").alias("detail_prediction"),
+                           number("delta").alias("detail_delta"), number("age_minutes").alias("detail_age"),
+                           F.get_json_object("detail", "$.last_seen").alias("detail_last_seen")))
+
+
+def q_alerts_retained(spark, sf):
+    """K4 + R2: alerts under an overridden threshold; the newest 10 of each
+    series stay, alerts of one time ranked by event and alert number."""
+    f = st.forecast_rows(spark, sf)
+    a = al.detect(f, keep_cols=["user_id", "event_id", "current_timestamp"], now="now", thresholds={"low_mg_dl": 80.0})
+    a = a.withColumn("timestamp", F.date_trunc("day", "current_timestamp"))  # one log time for many alerts
+    return finish(wr.retain_last(a, 10, series_cols=S, order_cols=["timestamp", "event_id", "alert_ix"])
+                  .select(*S, "event_id", "alert_ix", "type"))
+
+
+def q_sensor_feed(spark, sf):
+    """Landed sensor records, all of them (no look-back, no cap)."""
+    ev = st.load_events(spark, sf).filter(F.col("event_type") == "view")
+    rec = ev.select("user_id", st._iso(F.col("ts")).alias("datetime"), "value", (F.col("k") % 8).alias("trend"))
+    return finish(rd.sensor_feed(rec, series_cols=S, require=True))
+
+
+def q_grid_pump_only(spark, sf):
+    """Hourly grid where odd series have pump events and no reading."""
+    r = st.readings(spark, sf).filter(F.col("user_id") % 2 == 0)
+    return finish(gapless_grid(r, st.pump_events(spark, sf), series_cols=S, freq_minutes=60))
+
+
+def q_date_filter_partitioned(spark, sf):
+    """K1 + P15: readings written by date, read back with the date range
+    (the plan prunes the other dates' folders)."""
+    path = _scratch(spark, "readings-by-date")
+    wr.write_parquet(st.readings(spark, sf), path)
+    return finish(qa.date_filter(spark.read.parquet(path), "2024-01-10", "2024-01-12").drop("seq", "date"))
+
+
+def _scratch(spark, name):
+    import os
+    import uuid
+
+    from ..session import checkpoint_dir
+    return os.path.join(checkpoint_dir(spark), "stores", f"{name}-{uuid.uuid4().hex}")
 
 
 def _scored_log(spark, sf):
@@ -289,7 +337,7 @@ SCENARIO_COLS = ["scenario_ix", "scenario", "iob_units", "basal_rate", "is_suspe
 
 def q_scenario_rewrite(spark, sf):
     """Rows with a current reading x the standard action grid."""
-    f = features(spark, sf).filter(F.col("glucose_mg_dl").isNotNull())
+    f = clean.drop_incomplete(features(spark, sf), ["glucose_mg_dl"])
     x = wi.expand_scenarios(f, wi.standard_action_grid())
     return finish(x.select(*S, "timestamp", *SCENARIO_COLS))
 
@@ -394,6 +442,10 @@ QUERIES.update({
     "regression_metrics": q_regression_metrics,
     "hypo_recall": q_hypo_recall,
     "alerts": q_alerts,
+    "alerts_retained": q_alerts_retained,
+    "sensor_feed": q_sensor_feed,
+    "grid_pump_only": q_grid_pump_only,
+    "date_filter_partitioned": q_date_filter_partitioned,
     "forecast_truth_join": q_forecast_truth_join,
     "trailing_metrics": q_trailing_metrics,
     "rolling_mae_6h": q_rolling_mae_6h,
@@ -483,8 +535,8 @@ def q_local_explanation(spark, sf):
 
 
 def q_explain_sample(spark, sf):
-    """Deterministic 2,000-row sample of complete rows (sampling is the feature)."""
-    f = model_features(spark, sf).dropna(subset=["glucose_mg_dl"])
+    """Deterministic 2,000-row sample of all rows, by time (sampling is the feature)."""
+    f = model_features(spark, sf)
     return finish(ex.seeded_sample(f, 2000, key_cols=S + ["timestamp"]).select(*S, "timestamp", "glucose_mg_dl"))
 
 
@@ -511,9 +563,8 @@ QUERIES.update({
 
 # ============================================================ streaming
 def q_stream_equals_batch(spark, sf):
-    """The sensor stand-in streamed through a watermarked 5-minute
-    aggregation (update mode, batch-id keyed upsert); the latest view must
-    equal the batch ``resample_mean_5m``."""
+    """The sensor stand-in streamed into 5-minute means (batch-id keyed
+    upsert); the latest view must equal the batch ``resample_mean_5m``."""
     import os
     import uuid
 
@@ -536,6 +587,48 @@ def q_stream_equals_batch(spark, sf):
 QUERIES["stream_equals_batch"] = q_stream_equals_batch
 
 
+def refreshed(spark, sf, model=None, replay=True):
+    """The live path over the stand-ins: readings land in three files (early,
+    recent, and a late one with every seventeenth early reading), are streamed
+    file by file into ``RefreshCycle``, and one batch is run again."""
+    import uuid
+    from datetime import datetime, timezone
+
+    from ..streaming import refresh as rf
+
+    base = _scratch(spark, "refresh")
+    r = st.readings(spark, sf)
+    recent = F.col("timestamp") >= F.lit("2024-01-20").cast("timestamp")
+    late = ~recent & (F.col("seq") % 17 == 0)
+    for i, part in enumerate((~recent & ~late, recent, late)):
+        r.filter(part).coalesce(1).write.parquet(f"{base}/landed/{i}")
+    st.pump_events(spark, sf).write.parquet(f"{base}/pump")
+    st.manual_treatments(spark, sf).write.parquet(f"{base}/treatments")
+    cycle = rf.RefreshCycle(f"{base}/store", series_cols=S, pump_path=f"{base}/pump", treatments_path=f"{base}/treatments",
+                            model=model, clock=lambda: datetime(2024, 1, 31, tzinfo=timezone.utc))
+    schema = r.schema
+    for i in range(3):  # one micro-batch per landed file, in landing order
+        stream = rf.readings_stream(spark, f"{base}/landed/{i}", schema)
+        rf.start_refresh(spark, stream, _as_batch(cycle, i), name=f"refresh-{i}-{uuid.uuid4().hex}", available_now=True).awaitTermination()
+    if replay:
+        cycle(spark.read.schema(schema).parquet(f"{base}/landed/1"), 1)
+    return cycle
+
+
+def _as_batch(cycle, number):
+    return lambda df, _: cycle(df, number)
+
+
+def q_refresh_equals_batch(spark, sf):
+    """Features after three refreshes (one with late readings) and a
+    replay; they equal the batch features. The replay is that of batch 1, so
+    rows of the late batch 2 stay the newest."""
+    return finish(refreshed(spark, sf).features(spark))
+
+
+QUERIES["refresh_equals_batch"] = q_refresh_equals_batch
+
+
 # ============================================================ CSV path
 def q_export_csv_roundtrip(spark, sf):
     """K6 -> S1-S4 -> P1-P7 -> A16: readings written as a device-style CSV
@@ -556,6 +649,10 @@ def q_export_csv_roundtrip(spark, sf):
         F.lit("EGV").alias("Event Type"), F.col("user_id").cast("string").alias("Patient Info"),
         text.alias("Glucose Value (mg/dL)"),
         ((F.col("k") - 50) / F.lit(25.0)).cast("string").alias("Glucose Rate of Change (mg/dL/min)"))
+    # every third reading was exported again with a corrected value and a longer, greater index
+    again = data.filter(F.col("Index").cast("long") % 3 == 0).withColumns({
+        "Glucose Value (mg/dL)": (F.lit(200.0) + F.col("Index").cast("long") % 7).cast("string"),
+        "Index": F.concat(F.lit("1000000"), "Index")})
     meta = ev.select(F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("Index"),
                      F.lit(None).cast("string").alias("Timestamp (YYYY-MM-DDThh:mm:ss)"),
                      F.lit(None).cast("string").alias("Event Type"),
@@ -563,7 +660,7 @@ def q_export_csv_roundtrip(spark, sf):
                      F.lit(None).cast("string").alias("Glucose Value (mg/dL)"),
                      F.lit(None).cast("string").alias("Glucose Rate of Change (mg/dL/min)"))
     path = os.path.join(checkpoint_dir(spark), "exports", f"csv-{uuid.uuid4().hex}")
-    write_csv(data.unionByName(meta), path)
+    write_csv(again.unionByName(data).unionByName(meta), path)
     raw = rd.read_export_csv(spark, path)
     clean_df = rd.clean_readings(raw, series_cols=["patient_info"], seq_col="index")
     return finish(clean_df.select(F.col("patient_info").cast("long").alias("user_id"), "timestamp",

@@ -59,10 +59,10 @@ def timeline_ctes(us: int = US5) -> list[str]:
     return BASE + [
         f"""ext AS (
   SELECT user_id, min(us) AS lo_us, max(us) AS hi_us, bool_or(riob) AS has_real FROM (
-    SELECT user_id, epoch_us(timestamp) AS us, true AS isrd, false AS riob FROM rd
+    SELECT user_id, epoch_us(timestamp) AS us, false AS riob FROM rd
     UNION ALL
-    SELECT user_id, epoch_us(timestamp), false, event_type = 'bolus' AND iob_units IS NOT NULL FROM pump)
-  GROUP BY user_id HAVING bool_or(isrd))""",
+    SELECT user_id, epoch_us(timestamp), event_type = 'bolus' AND iob_units IS NOT NULL FROM pump)
+  GROUP BY user_id)""",
         f"""grid AS (
   SELECT user_id, has_real, unnest(range(lo_us // {us}, (hi_us + {us} - 1) // {us} + 1)) AS bin FROM ext)""",
         f"""gagg AS (
@@ -305,9 +305,10 @@ _LABELS = ("DoubleDown", "SingleDown", "FortyFiveDown", "Flat", "None", "FortyFi
 RS = """rs AS (
   SELECT user_id, event_id,
     CASE WHEN value < 1 THEN 'Low' WHEN value > 300 THEN ' HIGH ' WHEN k = 13 THEN '' WHEN k = 17 THEN 'n/a'
-         WHEN k = 19 THEN 'NaN' ELSE CAST(value AS VARCHAR) END AS reading_text,
+         WHEN k = 19 THEN 'NaN' WHEN k = 23 THEN '120d' WHEN k = 29 THEN '99f' WHEN k = 31 THEN ' 1.5e2 '
+         ELSE CAST(value AS VARCHAR) END AS reading_text,
     [""" + ", ".join("'" + x + "'" for x in _LABELS) + """][k % 13 + 1] AS trend_text,
-    CASE WHEN k = 7 THEN 'fast' ELSE CAST(CAST(k - 50 AS DOUBLE) / 20.0 AS VARCHAR) END AS rate_text,
+    CASE WHEN k = 7 THEN 'fast' WHEN k = 37 THEN '1d' ELSE CAST(CAST(k - 50 AS DOUBLE) / 20.0 AS VARCHAR) END AS rate_text,
     CASE WHEN k % 3 = 0 THEN strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') || '+02:00'
          WHEN k % 3 = 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'
          WHEN k = 50 THEN 'not a time' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS ts_text
@@ -377,9 +378,13 @@ HYPO_SQL = with_ctes(BASE + [PAIRS], f"""SELECT user_id, CAST(count_if(y < 70.0)
 FROM pairs WHERE y IS NOT NULL AND yhat IS NOT NULL GROUP BY user_id""")
 
 
-def jnum(x: str) -> str:
-    return (f"CASE WHEN {x} IS NULL THEN 'null' ELSE regexp_replace(regexp_replace("
-            f"printf('%.6f', round_even({x}, 6)), '0+$', ''), '\\.$', '.0') END")
+#: alert details as typed columns; the texts' numbers are compared after parsing
+DETAILS = ("cur", "pred", "delta", "age", "seen")
+
+
+def details(*have: str) -> str:
+    """The detail columns, NULL for fields that a rule does not carry."""
+    return ", ".join(f"{x if x in have else 'NULL'} AS d_{x}" for x in DETAILS)
 
 
 def f0(x: str) -> str:
@@ -392,38 +397,39 @@ TS_TEXT = ("strftime(cts, '%Y-%m-%d %H:%M:%S') || CASE WHEN epoch_us(cts) % 1000
 ALERTS_SQL = with_ctes([EV, f"""f AS (
   SELECT user_id, event_id, ts AS cts, value AS cur, value * k / 50.0 AS pred,
          (value * k / 50.0) - value AS delta,
-         (epoch_us(ts + to_minutes(k)) - epoch_us(ts)) / 60000000.0 AS age
+         (epoch_us(ts + to_minutes(k)) - epoch_us(ts)) / 60000000.0 AS age, {TS_TEXT.replace('cts', 'ts')} AS seen
   FROM ev WHERE event_type = 'view')""", f"""a AS (
   SELECT user_id, event_id, 1 AS grp, 'sensor_extreme' AS type, 'critical' AS severity,
          'Sensor reads LOW (≤39 mg/dL). Confirm with a fingerstick.' AS message,
-         '{{"current_glucose": ' || {jnum('cur')} || '}}' AS detail FROM f WHERE cur <= 39.0
+         {details('cur')} FROM f WHERE cur <= 39.0
   UNION ALL
   SELECT user_id, event_id, 1, 'sensor_extreme', 'critical',
          'Sensor reads HIGH (≥401 mg/dL). Confirm with a fingerstick.',
-         '{{"current_glucose": ' || {jnum('cur')} || '}}' FROM f WHERE cur > 39.0 AND cur >= 401.0
+         {details('cur')} FROM f WHERE cur > 39.0 AND cur >= 401.0
   UNION ALL
   SELECT user_id, event_id, 2, 'stale_data', 'warn',
          'No CGM reading in ' || {f0('age')} || ' min — predictions are based on outdated data.',
-         '{{"age_minutes": ' || {jnum('age')} || ', "last_seen": "' || {TS_TEXT} || '"}}' FROM f WHERE age > 15.0
+         {details('age', 'seen')} FROM f WHERE age > 15.0
   UNION ALL
   SELECT user_id, event_id, 3, 'predicted_low', 'critical',
          'Predicted ' || {f0('pred')} || ' mg/dL in 30 min (below 70). Consider pre-treating.',
-         '{{"prediction_30m": ' || {jnum('pred')} || ', "delta": ' || {jnum('delta')} || '}}' FROM f WHERE pred < 70.0
+         {details('pred', 'delta')} FROM f WHERE pred < 70.0
   UNION ALL
   SELECT user_id, event_id, 3, 'predicted_high', 'warn',
          'Predicted ' || {f0('pred')} || ' mg/dL in 30 min (above 250). Possible correction window.',
-         '{{"prediction_30m": ' || {jnum('pred')} || ', "delta": ' || {jnum('delta')} || '}}' FROM f WHERE pred > 250.0
+         {details('pred', 'delta')} FROM f WHERE pred > 250.0
   UNION ALL
   SELECT user_id, event_id, 4, 'predicted_drop', 'warn',
          'Predicted drop of ' || {f0('-delta')} || ' mg/dL in the next 30 min. Watch for an oncoming low.',
-         '{{"delta": ' || {jnum('delta')} || ', "prediction_30m": ' || {jnum('pred')} || '}}' FROM f WHERE delta <= -50.0
+         {details('pred', 'delta')} FROM f WHERE delta <= -50.0
   UNION ALL
   SELECT user_id, event_id, 4, 'predicted_rise', 'info',
          'Predicted rise of ' || {f0('delta')} || ' mg/dL in the next 30 min. Likely a carb-driven spike.',
-         '{{"delta": ' || {jnum('delta')} || ', "prediction_30m": ' || {jnum('pred')} || '}}' FROM f
+         {details('pred', 'delta')} FROM f
          WHERE delta > -50.0 AND delta >= 60.0)"""],
-    """SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id, event_id ORDER BY grp) - 1 AS BIGINT)
-  AS alert_ix, type, severity, message, detail FROM a""")
+    f"""SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id, event_id ORDER BY grp) - 1 AS BIGINT)
+  AS alert_ix, type, severity, message, {r6('d_cur')} AS detail_current, {r6('d_pred')} AS detail_prediction,
+  {r6('d_delta')} AS detail_delta, {r6('d_age')} AS detail_age, CAST(d_seen AS VARCHAR) AS detail_last_seen FROM a""")
 
 LOG = f"""lg AS (
   SELECT user_id, predicted_at, target_timestamp, current_glucose, prediction_30m FROM (
@@ -540,7 +546,7 @@ DERIVE_SQL = with_ctes(BASE, f"""SELECT user_id, timestamp, 'meal' AS kind, {r6(
   'tandem_bolus' AS source FROM pump WHERE event_type = 'bolus' AND carbs_g IS NOT NULL AND carbs_g > 0""")
 
 STREAMS = """b AS (
-  SELECT user_id, event_id, ts,
+  SELECT user_id, event_id, ts, k,
          CASE WHEN k % 4 = 0 THEN 0.0 ELSE value END AS insulinDelivered, value AS requestedInsulin,
          CASE WHEN k % 2 = 0 THEN CAST(k * 6 AS DOUBLE) END AS duration,
          CASE WHEN k >= 90 THEN CAST(k AS DOUBLE) / 10.0 END AS iob,
@@ -559,7 +565,8 @@ e AS (
          value, CASE WHEN k % 3 = 0 THEN 0.0 ELSE value END AS duration
   FROM ev WHERE event_type = 'signup')"""
 
-PUMP_STREAMS_SQL = with_ctes([EV, STREAMS], f"""SELECT user_id, event_id, ts AS timestamp, 'bolus' AS event_type,
+PUMP_STREAMS_SQL = with_ctes([EV, STREAMS], f"""SELECT user_id, event_id,
+  CASE WHEN k % 6 = 0 THEN ts - INTERVAL 1 MINUTE ELSE ts END AS timestamp, 'bolus' AS event_type,
   {r6('coalesce(nullif(insulinDelivered, 0), nullif(requestedInsulin, 0), 0.0)')} AS value,
   {r6('CASE WHEN coalesce(duration, 0.0) <> 0 THEN duration / 60.0 ELSE 0.0 END')} AS duration_minutes,
   {r6('iob')} AS iob_units, {r6('coalesce(nullif(carbsRequest, 0), carbAmount)')} AS carbs_g,
@@ -639,9 +646,38 @@ for _name, _sql in {
     register(_name, _sql)
 
 register("stream_equals_batch", resample_mean_sql(US5))
+register("refresh_equals_batch", ORACLE["features"])
 
 register("export_csv_roundtrip", with_ctes(BASE, f"""SELECT user_id, timestamp,
-  {r6("CASE WHEN glucose_mg_dl < 40 THEN 39.0 WHEN glucose_mg_dl > 400 THEN 401.0 ELSE glucose_mg_dl END")}
+  {r6("CASE WHEN seq % 3 = 0 THEN 200.0 + seq % 7 WHEN glucose_mg_dl < 40 THEN 39.0 WHEN glucose_mg_dl > 400 THEN 401.0 ELSE glucose_mg_dl END")}
     AS glucose_mg_dl,
   {r6('trend_arrow_encoded')} AS trend_arrow_encoded
 FROM rd"""))
+
+register("date_filter_partitioned", DATE_FILTER_SQL)
+
+register("sensor_feed", with_ctes([EV], f"""SELECT user_id, ts AS timestamp, {r6('value')} AS glucose_mg_dl,
+  {r6("CASE k % 8 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 0 WHEN 5 THEN -1 WHEN 6 THEN -2 WHEN 7 THEN -2 END")}
+    AS trend_arrow_encoded FROM ev WHERE event_type = 'view'"""))
+
+# a series counts with pump events alone: the survey's J1 takes readings UNION pump events
+register("grid_pump_only", with_ctes([EV], f"""SELECT user_id, make_timestamp(unnest(range(lo // {US60}, (hi + {US60} - 1) // {US60} + 1)) * {US60}) AS timestamp
+FROM (SELECT user_id, min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM ev
+      WHERE event_type IN ('purchase', 'click', 'signup') OR (event_type = 'view' AND user_id % 2 = 0) GROUP BY user_id)"""))
+
+register("alerts_retained", with_ctes([EV], """SELECT user_id, event_id, alert_ix, type FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, alert_ix DESC) AS rn FROM (
+    SELECT user_id, event_id, ts, CAST(row_number() OVER (PARTITION BY event_id ORDER BY g) - 1 AS BIGINT) AS alert_ix, type FROM (
+      SELECT user_id, event_id, date_trunc('day', ts) AS ts, 1 AS g, 'sensor_extreme' AS type FROM ev
+      WHERE event_type = 'view' AND (value <= 39 OR value >= 401)
+      UNION ALL SELECT user_id, event_id, date_trunc('day', ts), 2, 'stale_data' FROM ev
+      WHERE event_type = 'view' AND k > 15
+      UNION ALL SELECT user_id, event_id, date_trunc('day', ts), 3, 'predicted_low' FROM ev
+      WHERE event_type = 'view' AND value * k / 50.0 < 80
+      UNION ALL SELECT user_id, event_id, date_trunc('day', ts), 3, 'predicted_high' FROM ev
+      WHERE event_type = 'view' AND value * k / 50.0 >= 80 AND value * k / 50.0 > 250
+      UNION ALL SELECT user_id, event_id, date_trunc('day', ts), 4, 'predicted_drop' FROM ev
+      WHERE event_type = 'view' AND value * k / 50.0 - value <= -50
+      UNION ALL SELECT user_id, event_id, date_trunc('day', ts), 4, 'predicted_rise' FROM ev
+      WHERE event_type = 'view' AND value * k / 50.0 - value >= 60)))
+WHERE rn <= 10"""))

@@ -127,7 +127,8 @@ def pump_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     ev = load_events(spark, sf_dir)
     k = F.col("k")
     bolus = ev.filter(F.col("event_type") == "purchase").select(
-        "user_id", "event_id", _iso(F.col("ts")).alias("eventDateTime"),
+        "user_id", "event_id", F.when(k % 6 == 0, F.lit("")).otherwise(_iso(F.col("ts"))).alias("eventDateTime"),
+        _iso(F.col("ts") - F.when(k % 6 == 0, F.expr("INTERVAL 1 MINUTE")).otherwise(F.expr("INTERVAL 9 MINUTES"))).alias("requestDateTime"),
         F.when(k % 4 == 0, F.lit(0.0)).otherwise(F.col("value")).alias("insulinDelivered"),
         F.col("value").alias("requestedInsulin"),
         F.when(k % 2 == 0, (k * 6).cast("double")).alias("duration"),
@@ -160,8 +161,9 @@ def raw_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           "NONE", "sideways", "")])
     reading = (F.when(F.col("value") < 1, F.lit("Low")).when(F.col("value") > 300, F.lit(" HIGH "))
                .when(k == 13, F.lit("")).when(k == 17, F.lit("n/a")).when(k == 19, F.lit("NaN"))
+               .when(k == 23, F.lit("120d")).when(k == 29, F.lit("99f")).when(k == 31, F.lit(" 1.5e2 "))
                .otherwise(F.col("value").cast("string")))
-    rate = F.when(k == 7, F.lit("fast")).otherwise(((k - 50) / F.lit(20.0)).cast("string"))
+    rate = F.when(k == 7, F.lit("fast")).when(k == 37, F.lit("1d")).otherwise(((k - 50) / F.lit(20.0)).cast("string"))
     base = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss")
     shifted = F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss")
     ts_text = (F.when(k % 3 == 0, F.concat(shifted, F.lit("+02:00"))).when(k % 3 == 1, F.concat(base, F.lit("Z")))
