@@ -24,6 +24,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import numbered, or_empty, stored
 
 _WORD = re.compile("[^ \t-\r]+")
+_PLAIN = re.compile(r"([!-/:-@\[-`{-~]*)([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 _TOKENIZERS: dict[str, object] = {}
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 800_000
 
 
 def _tokenizer(path: str):
@@ -55,31 +57,74 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of a text, as little-endian 32-bit bytes.
 
-    This tokenizer never joins characters across ASCII white space, so the ids
-    of a text are those of its words in turn; the ids of short words are kept.
+    This tokenizer lower-cases, never joins characters across ASCII white space,
+    and parts letters from punctuation. So the ids of a text are those of its
+    words in turn, and those of a word of letters with ASCII punctuation around
+    are the ids of the punctuation and of the lower-case letters. Both words
+    and runs of letters are kept once encoded (a full store takes no more, so
+    it keeps the frequent ones); all else goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str | None):
         self.tokenizer = _tokenizer(path or default_tokenizer())
         self.known: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > _CACHE_WORDS:
-            self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        self.parts: dict[str, bytes] = {"": b""}
+        closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            closes[i] = token.endswith("</w>")
+        self.closes = closes
+
+    def _direct(self, words: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in got]
+
+    def _letters(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters: one call, cut where a token closes a run."""
+        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(runs):  # not this kind of vocabulary
+            return self._direct(runs)
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends)]
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        cut, odd = [], []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m and m[2].isalpha() and "'" not in m[1]:
+                cut.append((w, m[1], m[2].lower() if max(m[2]) < "\u0100" else m[2], m[3]))
+            else:
+                odd.append(w)
+        known, new = self.parts, {}
+        runs = [r for r in {x[2] for x in cut} if r not in known]
+        for at in range(0, len(runs), 20_000):
+            new.update(zip(runs[at:at + 20_000], self._letters(runs[at:at + 20_000])))
+        marks = [m for m in {x for c in cut for x in (c[1], c[3])} if m not in known]
+        new.update(zip(marks, self._direct(marks)))
+        if len(known) + len(new) <= _CACHE_WORDS:
+            known.update(new)
+            new = known
+        else:
+            new = {p: known[p] if p in known else new[p] for c in cut for p in c[1:]}
+        out = {w: new[a] + new[b] + new[c] if a or c else new[b] for w, a, b, c in cut}
+        out.update(zip(odd, self._direct(odd)))
+        return out
 
     def encode(self, text: str) -> bytes:
-        words = _WORD.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        find, get = _WORD.findall, self.known.get
+        docs = [find(t) for t in texts]
+        coded = [list(map(get, d)) for d in docs]  # None: not kept yet
+        todo = [i for i, c in enumerate(coded) if None in c]
+        if todo:
+            got = self._new(list({w for i in todo for w, x in zip(docs[i], coded[i]) if x is None}))
+            if len(self.known) + len(got) <= _CACHE_WORDS:
+                self.known.update(got)
+            for i in todo:
+                coded[i] = [got[w] if x is None else x for w, x in zip(docs[i], coded[i])]
+        return [b"".join(c) for c in coded]
 
 
 def token_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None,
@@ -90,9 +135,10 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokeniz
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = WordEncoder(tokenizer)
         for b in batches:
-            out = []
-            for d, t in zip(b["doc_id"], b["t"]):
-                ids = enc.encode(t) + end
+            out, texts = [], b["t"].tolist()
+            coded = (x for at in range(0, len(texts), 256) for x in enc.encode_all(texts[at:at + 256]))
+            for d, x in zip(b["doc_id"], coded):
+                ids = x + end
                 for p, at in enumerate(range(0, len(ids), width)):
                     x = ids[at:at + width]
                     out.append((None if pd.isna(d) else int(d), p, at // 4, len(x) // 4, zlib.crc32(x)) + ((x,) if keep_ids else ()))
