@@ -42,7 +42,7 @@ from .elias_fano import EliasFano
 
 START, END, FIRST_WORD = 0, 1, 2
 STEP = 0.05  # log10 units of one quantisation step
-CACHE_WORDS = 700_000
+CACHE_WORDS = 450_000
 PARTS = 64
 _NONE = np.int64(-1)
 
@@ -234,7 +234,7 @@ def pair_keys(texts: list[str], vocabulary: OpenVocabulary) -> tuple[np.ndarray,
     return context, token, stop
 
 
-def count_pairs(train: DataFrame, v: Vocabulary, bounds: list[int], chunk: int = 4_000_000) -> DataFrame:
+def count_pairs(train: DataFrame, v: Vocabulary, bounds: list[int], chunk: int = 2_500_000) -> DataFrame:
     """(shard, keys, counts): sorted distinct pairs of each task as blobs by range."""
     limits = np.array(bounds, dtype=np.uint64)
 
