@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, or_empty, own_columns, stored
+from .common import free_name, numbered_rows, or_empty, own_columns, stored
 
 BLOCK_BYTES = 8192
 NO_NAME = -1
@@ -74,14 +74,9 @@ def text_names(rows: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES, h
     return done
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """Number the rows of a table read from files (rescans give the same numbers)."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
-
-
 def exact_groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
                  hash_of=F.xxhash64) -> DataFrame:
-    """For each row of ``rows`` (from ``with_rows``): its id, its group's
+    """For each row of ``rows`` (from ``numbered_rows``): its id, its group's
     ``keep_id`` and size, whether it stays, and the SHA-256 of its text."""
     names = text_names(rows, text_col, block_bytes, hash_of)
     info = stored(rows.select(ROW, F.col(id_col).alias("doc_id"), F.sha2(or_empty(text_col), 256).alias("text_sha256"))
@@ -97,14 +92,14 @@ def exact_groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document, dropped ones too."""
-    rows = with_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = numbered_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ROW)
     return exact_groups(rows, "id", "text", **how).drop(ROW)
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each text."""
     row = free_name(docs, ROW)
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = numbered_rows(docs, row)
     groups = exact_groups(rows.select(F.col(row).alias(ROW), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", **how)
     dropped = groups.filter("not kept").select(F.col(ROW).alias("__dropped"))
     return rows.join(dropped, rows[row] == dropped["__dropped"], "left_anti").select(*own_columns(docs))

@@ -32,6 +32,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number ``name`` for each row, written once. Numbers given
+    while a table is read follow its splits, which depend on the cores then
+    alive; a later scan after the loss of an executor could number otherwise."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered-rows")
+
+
 def mounted(path: str) -> str:
     """The file-system path of a shared folder that every machine mounts.
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, or_empty, own_columns, stored
+from .common import free_name, numbered_rows, or_empty, own_columns, stored
 
 CHUNK = 1 << 16
 LEAF = 256
@@ -274,7 +274,7 @@ def one_of_each(docs: DataFrame, words_in_shingle: int = 4, max_bits: int = 4, i
                 text_col: str = "text", seed: int = 42, **how) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id."""
     row = free_name(docs, "__row")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = numbered_rows(docs, row)
     own = rows.select(F.col(row).alias("__row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = stored(fingerprints(own, words_in_shingle, seed, "id", "text", keep=["__row"]), "prints")
     g = grouped(prints, max_bits, **how)
