@@ -81,7 +81,8 @@ def _contrib_batch(x: np.ndarray, trees: list[dict]) -> tuple[np.ndarray, np.nda
 
 def contributions(spark: SparkSession, model: PipelineModel, df: DataFrame, *,
                   key_cols: Sequence[str]) -> DataFrame:
-    """M5: key..., bias, prediction, contribs array<double> (model feature order)."""
+    """M5: key..., bias, prediction, contribs and vals array<double> (model
+    feature order; a missing value is NULL in ``vals``)."""
     gbt = [s for s in model.stages if isinstance(s, GBTRegressionModel)][0]
     cols = model_feature_cols(model)
     bc = spark.sparkContext.broadcast(tree_arrays(spark, gbt))
@@ -90,7 +91,8 @@ def contributions(spark: SparkSession, model: PipelineModel, df: DataFrame, *,
     fcols = [f"_f{i}" for i in range(len(cols))]
     schema = T.StructType([*[filled.schema[k] for k in key_cols],
                            T.StructField("bias", T.DoubleType()), T.StructField("prediction", T.DoubleType()),
-                           T.StructField("contribs", T.ArrayType(T.DoubleType()))])
+                           T.StructField("contribs", T.ArrayType(T.DoubleType())),
+                           T.StructField("vals", T.ArrayType(T.DoubleType()))])
 
     def run(it):
         trees = bc.value
@@ -101,9 +103,11 @@ def contributions(spark: SparkSession, model: PipelineModel, df: DataFrame, *,
             out["bias"] = bias
             out["prediction"] = bias + con.sum(axis=1)
             out["contribs"] = list(con)
+            out["vals"] = list(x)
             yield out
 
-    return filled.mapInPandas(run, schema)
+    return filled.mapInPandas(run, schema).withColumn(
+        "vals", F.transform("vals", lambda v: F.nullif(v, F.lit(MISSING_SENTINEL))))
 
 
 def global_importance(contribs: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
@@ -114,24 +118,25 @@ def global_importance(contribs: DataFrame, feature_cols: Sequence[str]) -> DataF
     return g.select(F.element_at(names, F.col("ix") + 1).alias("feature"), "mean_abs_contribution")
 
 
-def top_k_contributions(contribs: DataFrame, features: DataFrame, feature_cols: Sequence[str], *,
-                        key_cols: Sequence[str], k: int = 8) -> DataFrame:
+def top_k_contributions(contribs: DataFrame, feature_cols: Sequence[str], *, key_cols: Sequence[str],
+                        k: int = 8) -> DataFrame:
     """T4: per row the k contributions largest in |value|, with the feature
     value, as array<struct<feature, value, contribution>>."""
-    j = contribs.join(features.select(*key_cols, F.array(*[F.col(f"`{c}`").cast("double") for c in feature_cols])
-                                      .alias("_vals")), list(key_cols))
     names = F.array(*[F.lit(c) for c in feature_cols])
-    trip = F.transform(F.arrays_zip(names.alias("f"), F.col("_vals").alias("v"), F.col("contribs").alias("c")),
+    trip = F.transform(F.arrays_zip(names.alias("f"), F.col("vals").alias("v"), F.col("contribs").alias("c")),
                        lambda z: F.struct(F.abs(z["c"]).alias("a"), z["f"].alias("feature"),
                                           z["v"].alias("value"), z["c"].alias("contribution")))
     top = F.slice(F.sort_array(trip, asc=False), 1, k)
-    return j.select(*key_cols, "bias", "prediction",
+    return contribs.select(*key_cols, "bias", "prediction",
                     F.transform(top, lambda z: F.struct(z["feature"].alias("feature"), z["value"].alias("value"),
                                                         z["contribution"].alias("contribution"))).alias("top"))
 
 
 def seeded_sample(df: DataFrame, n: int = 2000, *, key_cols: Sequence[str], seed: int = 0) -> DataFrame:
-    """Deterministic sample of ``n`` rows (hash order, top-n per task
-    then one merge), re-sorted by ``key_cols``, the last one (the time) first."""
-    h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
-    return df.orderBy(h).limit(n).orderBy(key_cols[-1], *key_cols[:-1])
+    """Deterministic sample of ``n`` rows (order of the MD5 of the seed and
+    the key, with a timestamp as its microseconds; top-n per task, then one
+    merge), re-sorted by ``key_cols``, the last one (the time) first."""
+    kinds = dict(df.dtypes)
+    key = [F.unix_micros(c) if kinds[c] == "timestamp" else F.col(c) for c in key_cols]
+    h = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *[F.coalesce(c.cast("string"), F.lit("")) for c in key]))
+    return df.orderBy(h, *key_cols).limit(n).orderBy(key_cols[-1], *key_cols[:-1])

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -88,13 +88,17 @@ def predict(model: PipelineModel, df: DataFrame, *, target_col: str | None = "ta
 
 
 def latest_complete(features: DataFrame, cols: Sequence[str], *, series_cols: Sequence[str] = ("series_id",),
-                    ts_col: str = "timestamp") -> DataFrame:
-    """Per series the newest row with no NULL in ``cols``
-    (a max over (ts, row) per series: partial aggregation, no sort)."""
-    d = features.dropna(subset=list(cols))
-    rest = [c for c in d.columns if c not in series_cols]
-    m = d.groupBy(*series_cols).agg(F.max(F.struct(F.col(ts_col).alias("_t"),
-                                                   F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_r"))).alias("_m"))
+                    ts_col: str = "timestamp", report_missing: bool = False) -> DataFrame:
+    """Per series the newest row with no NULL in ``cols`` (a max over
+    (ts, row) per series, with a partial step before the shuffle). A series
+    without such a row is left out, or has NULLs with ``report_missing``."""
+    rest = [c for c in features.columns if c not in series_cols]
+    row = F.struct(F.col(ts_col).alias("_t"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_r"))
+    if report_missing:
+        complete = F.forall(F.array(*[F.col(f"`{c}`").isNotNull() for c in cols]), lambda x: x)
+        m = features.groupBy(*series_cols).agg(F.max(F.when(complete, row)).alias("_m"))
+    else:
+        m = features.dropna(subset=list(cols)).groupBy(*series_cols).agg(F.max(row).alias("_m"))
     return m.select(*series_cols, *[F.col("_m._r").getField(c).alias(c) for c in rest])
 
 
@@ -120,13 +124,3 @@ def load(path: str) -> PipelineModel:
 def model_feature_cols(model: PipelineModel) -> list[str]:
     va = [s for s in model.stages if isinstance(s, VectorAssembler)][0]
     return [c[len("_f_"):] for c in va.getInputCols()]
-
-
-def target_for(horizon_minutes: int) -> str:
-    """M6: label column for a 30 or 60 minute horizon."""
-    if horizon_minutes not in (30, 60):
-        raise ValueError("horizon must be 30 or 60 minutes")
-    return f"target_{horizon_minutes}m"
-
-
-del Window

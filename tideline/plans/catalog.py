@@ -482,11 +482,12 @@ def model_features(spark, sf):
     return timeline_features(r, p, t, series_cols=S, grid_minutes=MODEL_GRID, block_minutes=MODEL_GRID * 112)
 
 
-def fitted_model(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
+def fitted_model(spark, sf, horizon=0):
+    """Model, feature columns and label of one horizon (0: 6 bins ahead, 1: 12 bins)."""
+    key = (spark.sparkContext.applicationId, sf, horizon)
     if key not in _MODELS:
         f = model_features(spark, sf)
-        target = label_names(MODEL_GRID)[0]
+        target = label_names(MODEL_GRID)[horizon]
         cols = feature_columns(f, S)
         model, _ = md.fit(f, cols, target_col=target, series_cols=S, params=MODEL_PARAMS)
         _MODELS[key] = (model, cols, target)
@@ -530,7 +531,7 @@ def q_local_explanation(spark, sf):
     f = model_features(spark, sf)
     last = md.latest_complete(f, ["glucose_mg_dl", "iob_units"], series_cols=S)
     c = ex.contributions(spark, model, last, key_cols=S + ["timestamp"])
-    top = ex.top_k_contributions(c, last, cols, key_cols=S + ["timestamp"], k=8)
+    top = ex.top_k_contributions(c, cols, key_cols=S + ["timestamp"], k=8)
     return finish(top.select(*S, "timestamp", "bias", "prediction", F.inline("top")))
 
 
@@ -545,9 +546,97 @@ def q_whatif_scores(spark, sf):
     model, cols, _ = fitted_model(spark, sf)
     f = model_features(spark, sf)
     last = md.latest_complete(f, ["glucose_mg_dl", "iob_units"], series_cols=S)
-    x = wi.expand_scenarios(last, wi.standard_action_grid())
-    scored = model.transform(x)
-    return finish(wi.score_scenarios(scored, key_cols=S + ["timestamp"]))
+    return finish(wi.score_actions(model, last, wi.standard_action_grid(), key_cols=S + ["timestamp"]))
+
+
+def q_latest_complete_all(spark, sf):
+    """Newest row of each series that is complete in every feature; a
+    series without one is reported with ``found`` = false."""
+    f = model_features(spark, sf)
+    cols = feature_columns(f, S)
+    last = md.latest_complete(f.select(*S, "timestamp", *cols), cols, series_cols=S, report_missing=True)
+    return finish(last.select(*S, "timestamp", F.col("timestamp").isNotNull().alias("found"), "glucose_mg_dl"))
+
+
+def _split_features(spark, sf):
+    return md.time_split(model_features(spark, sf), series_cols=S)
+
+
+def q_model_split_counts(spark, sf):
+    """Both horizons fitted and every row scored; rows, labels
+    and scores of each part."""
+    out = None
+    for i, target in enumerate(label_names(MODEL_GRID)):
+        model, _, _ = fitted_model(spark, sf, i)
+        p = md.predict(model, _split_features(spark, sf), target_col=target, keep_cols=S + ["split"])
+        g = p.groupBy("split").agg(F.count("*").alias("n_rows"), F.count("actual_30m").alias("n_labelled"),
+                                   F.count("prediction_30m").alias("n_scored"))
+        g = g.withColumn("target", F.lit(target))
+        out = g if out is None else out.unionByName(g)
+    return finish(out)
+
+
+def q_latest_prediction_check(spark, sf):
+    """M3: the latest prediction's row, and that the change is prediction minus current."""
+    p = q_gbt_latest(spark, sf)
+    same = F.abs(F.col("prediction_30m") - F.col("current_glucose") - F.col("predicted_change")) < 1e-5
+    return p.select(*S, "as_of", "current_glucose", same.alias("change_adds_up"))
+
+
+def q_contributions_check(spark, sf):
+    """M5: rows of each series whose bias and contributions add up to Spark's own prediction."""
+    model, _, _ = fitted_model(spark, sf)
+    f = model.transform(model_features(spark, sf)).withColumnRenamed("prediction", "spark_prediction")
+    c = ex.contributions(spark, model, f, key_cols=S + ["timestamp", "spark_prediction"])
+    total = F.col("bias") + F.aggregate("contribs", F.lit(0.0), lambda a, x: a + x)
+    return finish(c.groupBy(*S).agg(F.count("*").alias("n_rows"), F.max(F.size("contribs")).alias("n_features"),
+                                    F.count_if(F.abs(total - F.col("spark_prediction")) < 1e-6).alias("n_additive")))
+
+
+def q_importance_check(spark, sf):
+    """Every feature has one importance, and none is negative."""
+    g = q_global_importance(spark, sf)
+    return g.select("feature", (F.col("mean_abs_contribution") >= 0).alias("nonnegative"))
+
+
+def q_local_explanation_check(spark, sf):
+    """T4: the explained row of each series, its number of features, and that
+    they come in falling order of size."""
+    model, cols, _ = fitted_model(spark, sf)
+    last = md.latest_complete(model_features(spark, sf), ["glucose_mg_dl", "iob_units"], series_cols=S)
+    c = ex.contributions(spark, model, last, key_cols=S + ["timestamp"])
+    top = ex.top_k_contributions(c, cols, key_cols=S + ["timestamp"], k=8)
+    size = F.transform("top", lambda x: F.abs(x["contribution"]))
+    return finish(top.select(*S, "timestamp", F.size("top").alias("n_top"),
+                             (F.sort_array(size, asc=False) == size).alias("in_order"),
+                             F.size(F.array_distinct(F.transform("top", lambda x: x["feature"]))).alias("n_features")))
+
+
+def q_whatif_check(spark, sf):
+    """Scenarios of each series' newest row; the baseline differs by zero,
+    and both suspend lengths score alike."""
+    w = q_whatif_scores(spark, sf)
+    suspend = F.when(F.col("scenario").startswith("suspend"), F.col("prediction_30m"))
+    return finish(w.groupBy(*S, "timestamp").agg(
+        F.count("*").alias("n_scenarios"), F.count("prediction_30m").alias("n_scored"),
+        F.max(F.when(F.col("scenario_ix") == 0, F.col("delta_vs_baseline"))).alias("baseline_delta"),
+        (F.max(suspend) == F.min(suspend)).alias("suspends_alike")))
+
+
+def q_drift_from_metrics(spark, sf):
+    """The model's metrics on its test part are written as a row
+    and read back; the live log is judged by that MAE."""
+    model, _, target = fitted_model(spark, sf)
+    test = md.predict(model, _split_features(spark, sf).filter("split = 'test'"), target_col=target, keep_cols=S)
+    path = _scratch(spark, "model-metrics")
+    wr.write_json_row(mt.regression_metrics(test, y_col="actual_30m", pred_col="prediction_30m"), path)
+    trained = spark.read.json(path).first()  # the one row
+    m = dr.drift_status(dr.trailing_metrics(_scored_log(spark, sf), NOW, series_cols=S), trained["mae"])
+    ratio = F.col("mae_24h") / F.lit(trained["mae"])
+    return finish(m.select(*S, "n_scored", "mae_24h", F.lit(trained["n"]).alias("n_test"),
+                           (F.col("trained_mae") > 0).alias("trained"),
+                           (F.col("drift_ratio").eqNullSafe(ratio) & (F.col("recommend_retrain") == F.coalesce(ratio >= 1.5, F.lit(False))))
+                           .alias("ratio_adds_up")))
 
 
 QUERIES.update({
@@ -558,6 +647,14 @@ QUERIES.update({
     "local_explanation": q_local_explanation,
     "explain_sample": q_explain_sample,
     "whatif_scores": q_whatif_scores,
+    "latest_complete_all": q_latest_complete_all,
+    "model_split_counts": q_model_split_counts,
+    "latest_prediction_check": q_latest_prediction_check,
+    "contributions_check": q_contributions_check,
+    "importance_check": q_importance_check,
+    "local_explanation_check": q_local_explanation_check,
+    "whatif_check": q_whatif_check,
+    "drift_from_metrics": q_drift_from_metrics,
 })
 
 

@@ -681,3 +681,45 @@ register("alerts_retained", with_ctes([EV], """SELECT user_id, event_id, alert_i
       UNION ALL SELECT user_id, event_id, date_trunc('day', ts), 4, 'predicted_rise' FROM ev
       WHERE event_type = 'view' AND value * k / 50.0 - value >= 60)))
 WHERE rn <= 10"""))
+
+# ---------------------------------------------------------- model queries
+US6H = 6 * US60  # the model queries' grid; every event's value is a reading
+_DENSE = RD.replace(" WHERE event_type = 'view'", "")
+MODEL_FT = [_DENSE if c == RD else c for c in timeline_ctes(US6H)] + feature_ctes()[-1:]
+_NEWEST = """last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC) AS rn
+  FROM ft WHERE glucose_mg_dl IS NOT NULL AND iob_units IS NOT NULL) WHERE rn = 1)"""
+_PARTS = """parts AS (SELECT *, CASE WHEN pos < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train'
+                     WHEN pos < floor(n * CAST(0.85 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp) - 1 AS pos,
+               count(*) OVER (PARTITION BY user_id) AS n FROM ft))"""
+
+
+def _scaled(name: str) -> str:
+    """A 5-minute feature's name on the 6-hour grid."""
+    head, _, tail = name.rpartition("_")
+    return f"{head}_{int(tail[:-1]) * 72}m" if tail[:-1].isdigit() and tail.endswith("m") else name
+
+
+register("latest_complete_all", with_ctes(MODEL_FT, f"""SELECT s.user_id, f.timestamp, f.timestamp IS NOT NULL AS found,
+  {r6('f.glucose_mg_dl')} AS glucose_mg_dl
+FROM (SELECT DISTINCT user_id FROM ft) s LEFT JOIN (
+  SELECT user_id, timestamp, glucose_mg_dl, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC) AS rn FROM ft
+  WHERE {" AND ".join(f"{c} IS NOT NULL" for c in FEATURE_NAMES)}) f ON f.user_id = s.user_id AND f.rn = 1"""))
+register("model_split_counts", with_ctes(MODEL_FT + [_PARTS], " UNION ALL ".join(
+    f"SELECT split, count(*) AS n_rows, count({c}) AS n_labelled, count(*) AS n_scored, '{_scaled(c)}' AS target FROM parts GROUP BY split"
+    for c in ("target_30m", "target_60m"))))
+register("latest_prediction_check", with_ctes(MODEL_FT + [_NEWEST], f"""SELECT user_id, timestamp AS as_of,
+  {r6('glucose_mg_dl')} AS current_glucose, true AS change_adds_up FROM last"""))
+register("contributions_check", with_ctes(MODEL_FT, f"""SELECT user_id, count(*) AS n_rows,
+  CAST({len(FEATURE_NAMES)} AS BIGINT) AS n_features, count(*) AS n_additive FROM ft GROUP BY user_id"""))
+register("importance_check", "SELECT feature, count(*) > 0 AS nonnegative FROM events, unnest(["
+         + ", ".join(f"'{_scaled(c)}'" for c in FEATURE_NAMES) + "]) AS t(feature) GROUP BY feature")
+register("local_explanation_check", with_ctes(MODEL_FT + [_NEWEST], """SELECT user_id, timestamp, CAST(8 AS BIGINT) AS n_top,
+  true AS in_order, CAST(8 AS BIGINT) AS n_features FROM last"""))
+register("whatif_check", with_ctes(MODEL_FT + [_NEWEST], f"""SELECT user_id, timestamp, CAST({len(_ACTIONS)} AS BIGINT) AS n_scenarios,
+  CAST({len(_ACTIONS)} AS BIGINT) AS n_scored, CAST(0.0 AS DOUBLE) AS baseline_delta, true AS suspends_alike FROM last"""))
+register("explain_sample", with_ctes(MODEL_FT, f"""SELECT user_id, timestamp, {r6('glucose_mg_dl')} AS glucose_mg_dl FROM ft
+ORDER BY md5('0|' || user_id || '|' || epoch_us(timestamp)), user_id, timestamp LIMIT 2000"""))
+register("drift_from_metrics", with_ctes(DRIFT_BASE + [TRAILING], f"""SELECT user_id, n_scored, {r6('mae_24h')} AS mae_24h,
+  (__N_TEST__) AS n_test, true AS trained, true AS ratio_adds_up FROM tm""").replace("__N_TEST__", with_ctes(
+      MODEL_FT + [_PARTS], "SELECT count(target_30m) FROM parts WHERE split = 'test'")))
