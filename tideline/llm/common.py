@@ -23,12 +23,12 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives the
     loss of executors, and computes the rows once for several readers."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -36,7 +36,7 @@ def numbered_rows(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a number ``name`` for each row, written once. Numbers given
     while a table is read follow its splits, which depend on the cores then
     alive; a later scan after the loss of an executor could number otherwise."""
-    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered-rows")
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered-rows", "zstd")
 
 
 def mounted(path: str) -> str:
