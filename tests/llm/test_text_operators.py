@@ -154,3 +154,26 @@ def test_trie_scores_against_brute_force(spark, messy, shard_tokens):
         assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-9, abs_tol=1e-9)
         assert abs(a[4] - b[4]) <= 0.5 * ngram_trie.STEP * 2 * a[1] + 1e-6
     assert abs(sum(a[4] for a in got) - sum(b[4] for b in want)) / sum(a[1] for a in got) < 0.01
+
+
+def test_trie_cuts_a_hot_context(spark):
+    """A third of all tokens is one word: its successors fill several shards, and no score changes."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"the {a} {b}" for a, b in rng.choice([f"w{k}" for k in range(400)], (40, 2)))) for i in range(100)]
+    rows += [(500 + i, "so " * 300) for i in range(10)]  # one successor only, so most of its ranges are empty
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    trie = ngram_trie.build_trie(docs, shard_tokens=500)
+    o = trie.open()
+    for word, least in ((b"the", 8), (b"so", 1)):
+        c = int(o.vocabulary.ids([word])[0])
+        ranges = [s for s, b in enumerate(trie.bounds) if b >> 32 == c]
+        assert len([s for s in ranges if trie.folders[s]]) >= least and c in trie.cut
+    sizes = [o.shard(s)[1].n for s, f in enumerate(trie.folders) if f]
+    assert max(sizes) <= 500
+    new = spark.createDataFrame(rows + [(900, "so the w1 so w2 the unseen so unseen the the so so")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in ngram_trie.scored(new, trie).drop("text").collect())
+    whole = ngram_trie.build_trie(docs)
+    assert not whole.cut
+    want = sorted(tuple(r) for r in ngram_trie.scored(new, whole).drop("text").collect())
+    for a, b in zip(got, want):
+        assert a[:4] == b[:4] and math.isclose(a[5], b[5], abs_tol=1e-9), (a, b)

@@ -197,12 +197,13 @@ def build_vocabulary(train: DataFrame, root: str, shard_words: int = 400_000, ho
 
 
 # ------------------------------------------------------------ level 2
-def range_bounds(mass: list[tuple[int, int]], frequent: list[tuple[int, int]], shard_tokens: int) -> list[int]:
-    """First keys (context << 32 | successor) of level-2 shards of about equal mass."""
+def range_bounds(mass: list[tuple[int, int]], frequent: list[tuple[int, int]], shard_tokens: int, numbers: int) -> list[int]:
+    """First keys (context << 32 | successor) of level-2 shards of about equal
+    mass; successors are below ``numbers``."""
     units = [(i << 32, m) for i, m in mass]
-    for i, n in frequent:  # a frequent context is cut at even successor numbers
-        k = max(1, -(-n // shard_tokens))
-        units += [((i << 32) + j * (1 << 32) // k, n // k) for j in range(k)]
+    for i, n in frequent:  # cut at even successor numbers: these follow a hash, so the ranges hold about as many pairs
+        k = min(max(1, -(-n // shard_tokens)), numbers)
+        units += [((i << 32) + j * numbers // k, n // k) for j in range(k)]
         units.append(((i + 1) << 32, 0))
     bounds, held = [0], 0
     for key, m in sorted(units):
@@ -276,6 +277,7 @@ class Trie:
     vocabulary: Vocabulary
     bounds: list[int] = field(default_factory=list)
     folders: list[str] = field(default_factory=list)
+    cut: dict[int, int] = field(default_factory=dict)  # quantised backoff of each context cut by successor ranges
 
     def open(self) -> OpenTrie:
         return OpenTrie(self)
@@ -291,7 +293,8 @@ def build_trie(docs: DataFrame, text_col: str = "text", shard_tokens: int = 4_00
     trie = Trie(v)
     if not v.tokens:
         return trie
-    bounds = range_bounds(mass, [(START, v.ends), *frequent], shard_tokens)
+    often = [(START, v.ends), *frequent]
+    bounds = range_bounds(mass, often, shard_tokens, FIRST_WORD + v.kinds)
     limits = bounds + [1 << 64]
     edge_contexts = {b >> 32 for b in bounds}
 
@@ -330,6 +333,8 @@ def build_trie(docs: DataFrame, text_col: str = "text", shard_tokens: int = 4_00
     for r in rows.values():
         for c, *k in np.reshape(r["edge"], (-1, 4)).tolist():
             shared[c] += k
+    inner, seen_of = {b >> 32 for b in bounds if b & 0xFFFFFFFF}, dict(often)
+    trie.cut = {c: int(quantised(shared[c] @ np.array(discount) / seen_of[c])) for c in sorted(inner) if shared[c].sum()}
 
     def price(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Quantised probabilities of one shard's pairs, and its contexts' backoff weights."""
@@ -385,6 +390,8 @@ class OpenTrie:
         self.vocabulary = t.vocabulary.open()
         self.bounds = np.array(t.bounds, dtype=np.uint64)
         self.folders = t.folders
+        self.cut = np.array(list(t.cut), dtype=np.int64)  # sorted
+        self.cut_back = np.array(list(t.cut.values()), dtype=np.float64)
         self.shards: dict[int, tuple] = {}
 
     def shard(self, s: int):
@@ -420,6 +427,11 @@ class OpenTrie:
             place = cut[s] + inside
             weight[place] = -STEP * back[i].astype(np.float64)
             price[place[hit]] = -STEP * pair[at[hit]].astype(np.float64)
+        if len(self.cut):  # such a context has one weight, also where a range holds none of its pairs
+            c = (distinct >> np.uint64(32)).astype(np.int64)
+            at = np.minimum(np.searchsorted(self.cut, c), len(self.cut) - 1)
+            same = self.cut[at] == c
+            weight[same] = -STEP * self.cut_back[at[same]]
         price, weight = price[inverse], weight[inverse]
         miss = np.isnan(price) | (token[known] < 0)
         out[known] = np.where(miss, weight + base[known], price)
