@@ -41,8 +41,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources (weights 3, 1, 2) takes them."""
-    return mixing.mixed(docs)
+    """Documents as often as the mix of sources (weights 3, 1, 2) takes them, by output shard, each shuffled."""
+    return mixing.shuffled(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,6 +214,29 @@ def test_mix_of_messy_rows(spark, messy):
     assert mixing.taken_words(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_taken_words_come_from_the_shuffled_shards(spark, messy):
+    more = spark.range(2000).selectExpr("id + 100 doc_id", "repeat('w ', cast(id % 9 as int)) text", "concat('s', id % 4) source")
+    docs = stored(messy.select("doc_id", "text", "source").unionByName(more), "mix-test")
+    got = mixing.taken_words(docs, shards=5).collect()
+    assert len(got) == docs.count()
+    lists = collections.defaultdict(dict)  # shard -> place -> id
+    for r in got:
+        at = [tuple(map(int, x.split(":"))) for x in r.places.split()]
+        assert r.taken == r["size"] * len(at)
+        for s, p in at:
+            assert p not in lists[s]
+            lists[s][p] = r.doc_id
+    assert sorted(lists) == list(range(5)) and all(sorted(x) == list(range(len(x))) for x in lists.values())
+    by_key = collections.defaultdict(list)
+    for r in mixing.mixed(docs, shards=5, with_place=True).collect():
+        by_key[r.mix_shard].append((r.mix_key, r.doc_id))
+    want = {s: [d for _, d in sorted(x, key=lambda y: y[0])] for s, x in by_key.items()}
+    assert {s: [x[p] for p in sorted(x)] for s, x in lists.items()} == want
+    out = mixing.shuffled(docs, shards=5, cuts=3)  # the same order, in 15 partitions
+    assert out.columns == docs.columns and out.rdd.getNumPartitions() == 15
+    assert [r.doc_id for r in out.collect()] == [d for s in range(5) for d in want[s]]
+
+
 # ------------------------------------------------------------ block naming
 @pytest.mark.parametrize("hash_of", [None, "length"])
 def test_block_naming_equals_text_equality(spark, messy, hash_of):

@@ -50,9 +50,9 @@ def op5_ngram_trie(spark, sf_dir):
 
 
 def op6_mixing(spark, sf_dir):
-    """All documents mixed to weights 3, 1, 2 over sources, 150 % of all words."""
+    """All documents mixed to weights 3, 1, 2 over sources, 150 % of all words, dealt to 32 shuffled shards."""
     d = op6.taken_words(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", "size", "source_size", "target", "taken")
+    return d.select("doc_id", "size", "source_size", "target", "taken", "places")
 
 
 def op7_toxicity(spark, sf_dir):

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, free_name, or_empty, stored
+from .common import WORD_GAP, free_name, numbered_rows, or_empty, own_columns, stored
 
 
 def word_count(col: Column) -> Column:
@@ -99,8 +99,8 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
              source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, sources, draws): every document with its size and block; every
     source with its size and target; every block draw with its output shard."""
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                              word_count(or_empty(text_col)).alias("size"), block_of(id_col, blocks, seed).alias("block")), "mix-rows")
+    rows = numbered_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+                                     word_count(or_empty(text_col)).alias("size"), block_of(id_col, blocks, seed).alias("block")), "row")
     cells = stored(rows.groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")
     found = sorted(((r[0], int(r[1])) for r in cells.groupBy("source").agg(F.sum("words")).collect()),
                    key=lambda x: (x[0] is None, x[0] or ""))
@@ -122,35 +122,69 @@ def block_of(id_col: str, blocks: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(blocks)).cast("int")
 
 
-def copies(draws: DataFrame) -> DataFrame:
-    """How often each block is drawn."""
-    return draws.groupBy("source", "block").agg(F.count(F.lit(1)).alias("copies"))
-
-
-def taken_words(docs: DataFrame, **how) -> DataFrame:
-    """One row per document: its words, its source's words and target, the words taken."""
-    rows, sources, draws = plan_mix(docs, **how)
-    got = rows.alias("r").join(copies(draws).alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))
-                               & (F.col("r.block") == F.col("c.block")), "left")
-    return got.join(F.broadcast(sources).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select(
-        "r.doc_id", "r.source", "r.size", "s.source_size", "s.target",
-        (F.col("r.size") * F.coalesce(F.col("c.copies"), F.lit(0))).cast("long").alias("taken"))
+def mix_key(seed: int, shard: Column, epoch: Column, doc_id: Column) -> Column:
+    """The key that shuffles a shard."""
+    return F.xxhash64(F.lit(seed), shard, epoch, doc_id)
+
+
+def dealt_rows(rows: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
+    """(row, size, shard, place): each row in each output shard that draws its
+    block, and its place in the shuffled shard. A shard's places are counted
+    by runs of keys, so no shard is one task; equal keys (rows with one id) go
+    by row number."""
+    on = F.col("r.source").eqNullSafe(F.col("w.source")) & (F.col("r.block") == F.col("w.block"))
+    d = rows.alias("r").join(draws.alias("w"), on).select(
+        "r.row", "r.size", "w.shard", mix_key(seed, F.col("w.shard"), F.col("w.epoch"), F.col("r.doc_id")).alias("key"))
+    d = stored(d.withColumn("cell", F.shiftright("key", 56).cast("int")), "mix-dealt")  # 256 runs of keys a shard
+    first = d.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "first", F.expr("sum(n) over (partition by shard order by cell) - n")).drop("n")
+    rank = d.withColumn("rank", F.expr("row_number() over (partition by shard, cell order by key, row) - 1"))
+    return rank.join(F.broadcast(first), ["shard", "cell"]).select(  # at most 256 rows a shard
+        "row", "size", "shard", (F.col("first") + F.col("rank")).cast("long").alias("place"))
+
+
+def taken_words(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
+    """One row per document: its words, its source's words and target, the words
+    that the output shards take of it, and where its copies lie in the shuffled
+    shards (``shard:place``, parted by spaces; empty if it is not taken)."""
+    rows, sources, draws = plan_mix(docs, seed=seed, **how)
+    got = dealt_rows(rows, draws, seed).groupBy("row").agg(
+        F.sum("size").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "place"))).alias("at"))  # at most ``most`` copies and one
+    out = rows.join(got, "row", "left").alias("r")
+    return out.join(F.broadcast(sources).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select(
+        "r.doc_id", "r.source", "r.size", "s.source_size", "s.target", F.coalesce(F.col("r.taken"), F.lit(0)).cast("long").alias("taken"),
+        F.coalesce(F.expr("concat_ws(' ', transform(r.at, x -> concat(x.shard, ':', x.place)))"), F.lit("")).alias("places"))
 
 
 def mixed(docs: DataFrame, blocks: int = 4096, seed: int = 7, id_col: str = "doc_id", source_col: str = "source",
-          with_place: bool = False, **how) -> DataFrame:
+          with_place: bool = False, place: tuple[str, str] = ("mix_shard", "mix_key"), **how) -> DataFrame:
     """The mix itself: a row of ``docs`` for each draw of its block.
 
-    ``with_place`` adds ``mix_shard`` and ``mix_key`` (names that ``docs`` must not have); sorting each shard by
-    ``mix_key`` is its local shuffle (``write_mix``).
+    ``with_place`` adds the output shard and the key that shuffles it, named by ``place`` (names that ``docs`` must
+    not have); sorting each shard by its key is its local shuffle (``shuffled``, ``write_mix``).
     """
     _, _, draws = plan_mix(docs, blocks=blocks, seed=seed, id_col=id_col, source_col=source_col, **how)
     own = free_name(docs, "__block")
     d = docs.withColumn(own, block_of(id_col, blocks, seed)).alias("d")
     out = d.join(draws.alias("w"), F.col(f"d.{source_col}").eqNullSafe(F.col("w.source")) & (F.col(f"d.{own}") == F.col("w.block")))
-    place = [F.col("w.shard").alias("mix_shard"),
-             F.xxhash64(F.lit(seed), F.col("w.shard"), F.col("w.epoch"), F.col(f"d.{id_col}")).alias("mix_key")] if with_place else []
-    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], *place)
+    more = [F.col("w.shard").alias(place[0]),
+            mix_key(seed, F.col("w.shard"), F.col("w.epoch"), F.col(f"d.{id_col}")).alias(place[1])] if with_place else []
+    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], *more)
+
+
+def shuffled(docs: DataFrame, shards: int = 32, cuts: int | None = None, **how) -> DataFrame:
+    """The mix in the order of its output shards, each shuffled by its own key.
+
+    Partition ``cuts * s + c`` holds the c-th run of the keys of shard s, sorted; so a shard is ``cuts`` partitions
+    (and files, once written) in a row. Without ``cuts`` there are as many as fill Spark's shuffle partitions; they
+    don't change the order.
+    """
+    cuts = cuts or -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    shard, key = free_name(docs, "__mix_shard"), free_name(docs, "__mix_key")
+    m = mixed(docs, with_place=True, place=(shard, key), shards=shards, **how)
+    run = F.floor((F.shiftright(key, 32) + F.lit(1 << 31)) * F.lit(cuts) / F.lit(1 << 32)).cast("int")
+    m = m.repartitionById(shards * cuts, F.col(shard) * F.lit(cuts) + run)
+    return m.sortWithinPartitions(shard, key).select(*own_columns(docs))
 
 
 def write_mix(docs: DataFrame, path: str, **how) -> None:
