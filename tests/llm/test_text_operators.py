@@ -89,6 +89,21 @@ def test_restores_hidden_words(spark):
     assert got.restored == "stupid idiot clown moron"
 
 
+def test_restores_signs_at_the_edges(spark):
+    plain = ["stupid idiot clown moron", "the idiot and the clown", "a stupid clown", "morons", "shit and ass", "what an ass", "hello town", "see a b and c"] * 20
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "doc_id long, text string")
+    r = deobfuscate.Restorer(deobfuscate.character_model(deobfuscate.character_counts(docs)))
+    for hidden, want in (("!diot", "idiot"), ("|diot", "idiot"), ('"!d1o+."', "idiot"), ("sh!+", "shit"), ("a$$", "ass"), ("@$$", "ass"),
+                         ("idio+", "idiot"), ("! d i o t", "idiot"), ("@ s s", "ass"), ("s h i +", "shit"), ("i-d-i-o-+", "idiot"), ("i d i o t!", "idiot"), ("! d! i o t!", "idiot")):
+        assert r.words(hidden) == [want], (hidden, r.words(hidden))
+    for text, want in (("Hello!", "hello"), ("clown!!!", "clown"), ("the + idiot | clown!", "the idiot clown"), ("town?!", "town"), ("! ! !", ""),
+                       ("$42 +7 $$$", "42 7"), ("an idiot!", "an idiot"), ("(clown|)", "clown")):
+        assert " ".join(r.words(text)) == want, (text, r.words(text))
+    s = deobfuscate.Scorer(deobfuscate.ToxicityModel(r.model, {"idiot": 2.0, "ass": 1.0}, {"idiot": 50.0, "ass": 40.0}))
+    for text, weight in (("an !diot", 2.0), ("what an a$$", 1.0), ("the ! d i o t!", 2.0), ("the @ s s and a$$", 2.0), ("Hello! a town!", 0.0)):
+        assert s.figures(text)[2] == weight, (text, s.figures(text))
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

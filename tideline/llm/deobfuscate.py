@@ -3,7 +3,9 @@
 Writers hide words by leetspeak, spacing and repetition. Each suspicious token
 becomes a lattice: a symbol may be the letter it looks like or itself, a
 separator inside a word (and the gap in a run of single letters) may be dropped
-or kept, a run of three or more equal letters stands for one or two. Viterbi
+or kept, a run of three or more equal letters stands for one or two. A symbol at
+the edge of a token (or alone in a run of single letters) may be a letter or
+punctuation, which is dropped. Viterbi
 search finds the reading that is likeliest under a character trigram model of
 the whole corpus and the channel's costs; plain tokens have one reading and
 pass as they are. The restored text is then scored.
@@ -40,6 +42,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
         "@": "a", "$": "s", "!": "i", "|": "il", "€": "e", "+": "t"}
 SEPARATORS = ".-_*~'’"
 EDGES = ".,;:!?\"'()[]{}<>#%&*~^`-_=+|/\\$@€’"
+SIGNS = frozenset(LEET) & frozenset(EDGES)  # letters or punctuation, at the edge of a word
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 GAP, OTHER = 0, 1
 K = len(LETTERS) + 2
@@ -52,6 +55,8 @@ LEET_COST, KEEP_COST, DROP_COST, RUN_COST = 1.0, 2.0, 0.7, 0.7
 _WORD = re.compile("[^ \t-\r]+")
 _ODD = re.compile(r"[0-9@$!|€+]|(.)\1\1|[^\W\d_][.\-_*~'’][^\W\d_]")
 _LETTER = re.compile(r"[^\W\d_]")
+_SIGN, _PART = "[" + re.escape("".join(sorted(SIGNS))) + "]", "[" + re.escape(SEPARATORS) + "]?"
+_BEFORE, _AFTER = re.compile(f"(?:{_SIGN}{_PART})+\\Z"), re.compile(f"(?:{_PART}{_SIGN})+")
 CACHE_WORDS = 800_000
 
 
@@ -91,8 +96,13 @@ def character_model(counts: DataFrame, weight: float = 5.0) -> np.ndarray:
 def lattice(core: str) -> list[list[tuple[str, float]]]:
     """Readings (text, cost) for each place of a lower-case token."""
     out: list[list[tuple[str, float]]] = []
+    body = core.rstrip(EDGES)
+    first, last = len(body) - len(body.lstrip(EDGES)), len(body)  # signs before and after are at the edge
     for m in re.finditer(r"(.)\1*", core, re.S):
         c, n = m[1], len(m[0])
+        if c in SIGNS and not first <= m.start() < last:
+            out += [[(x, LEET_COST) for x in LEET[c]] + [("", KEEP_COST)]] * n
+            continue
         if n >= 3 and c in _CODE:
             out.append([(c, RUN_COST), (c * 2, RUN_COST)])
             continue
@@ -140,11 +150,29 @@ def viterbi(places: list[list[tuple[str, float]]], model: np.ndarray) -> str:
 
 
 def core_of(token: str) -> str:
-    """Lower case, without punctuation at the edges (but a leading $ or @ before a letter)."""
-    t = token.lower().rstrip(EDGES)
-    c = t.lstrip(EDGES)
-    k = len(t) - len(c)
-    return t[k - 1] + c if k and t[k - 1] in "$@" and c[:1].isalpha() and (k == 1 or t[k - 2] != t[k - 1]) else c
+    """Lower case, without punctuation at the edges, but with the signs there
+    that can be letters (a separator may part two of them)."""
+    t = token.lower()
+    r = t.rstrip(EDGES)
+    c = r.lstrip(EDGES)
+    if not c:  # signs only
+        return "".join(x for x in t if x in SIGNS)
+    if len(c) == len(t):
+        return c
+    before, after = _BEFORE.search(t[:len(r) - len(c)]), _AFTER.match(t[len(r):])
+    return (before[0] if before else "") + c + (after[0] if after else "")
+
+
+def hides(core: str) -> bool:
+    """Whether a core may hide a word: odd places beside a letter, or several signs."""
+    if _LETTER.search(core):
+        return bool(_ODD.search(core))
+    return SIGNS.issuperset(core) and len(set(core)) > 1
+
+
+def bare(core: str) -> str:
+    """A core that hides nothing, without signs at its edges."""
+    return core if len(core) == 1 else core.strip(EDGES)
 
 
 def units_of(word: str) -> list[str]:
@@ -152,31 +180,45 @@ def units_of(word: str) -> list[str]:
     return [word] + ["^" + word[:n] for n in range(3, min(8, len(word)) + 1)]
 
 
-
 class Restorer:
     """Restored words of texts; tokens once seen are kept (bounded)."""
 
     def __init__(self, model: np.ndarray):
         self.model = model
         self.known: dict[str, tuple[str, ...] | None] = {}
+        self.signed: set[str] = set()  # tokens of one letter and signs at its edges: words, or part of a run
 
     def token(self, token: str) -> tuple[str, ...]:
-        """Restored words of one token; a single letter comes back as itself."""
+        """Restored words of one token; a single letter or sign comes back as itself."""
         c = core_of(token)
-        if len(c) > 1 and _LETTER.search(c) and _ODD.search(c):
+        if len(c) > 1 and len(c.strip(EDGES)) == 1 and len(self.signed) < CACHE_WORDS:
+            self.signed.add(token)
+        if len(c) > 1 and hides(c):
             return tuple(viterbi(lattice(c), self.model).split())
+        c = bare(c)
         return (c,) if c else ()
 
-    def runs(self, tokens: list[str]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
-        """(start, end, restored words) of runs of three or more single letters."""
-        i = 0
-        while i < len(tokens):
-            j = i
-            while j < len(tokens) and len(core_of(tokens[j])) == 1:
-                j += 1
-            if j - i >= 3:
-                yield i, j, tuple(viterbi(spaced([core_of(t) for t in tokens[i:j]]), self.model).split())
-            i = max(j, i + 1)
+    def runs(self, tokens: list[str], single: list[int]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        """(start, end, restored words) of runs of three or more single letters
+        or signs, not all one sign; a letter may have signs at its edges.
+        ``single`` are the places that may be such."""
+        run: list[tuple[int, str]] = []
+        for i in [*single, len(tokens) + 1]:
+            c = core_of(tokens[i]) if i < len(tokens) else ""
+            one = len(c) == 1 or len(c.strip(EDGES)) == 1
+            if run and (not one or i != run[-1][0] + 1):
+                letters = [x for _, x in run]
+                if len(run) >= 3 and (len(set(letters)) > 1 or letters[0] not in SIGNS):
+                    yield run[0][0], run[-1][0] + 1, tuple(viterbi(spaced(letters), self.model).split())
+                run = []
+            if one:
+                run.append((i, c))
+
+    def places(self, tokens: list[str], single: list[int]) -> list[int]:
+        """``single`` and the places of single letters with signs."""
+        if self.signed.isdisjoint(tokens):
+            return single
+        return sorted({*single, *(i for i, t in enumerate(tokens) if t in self.signed)})
 
     def words(self, text: str) -> list[str]:
         tokens = _WORD.findall(text)
@@ -185,10 +227,11 @@ class Restorer:
         if len(known) + len(new) <= CACHE_WORDS:
             known.update(new)
         parts = [known[t] if t in known else new[t] for t in tokens]
-        if sum(len(p) == 1 and len(p[0]) == 1 for p in parts) >= 3:
-            for i, j, got in self.runs(tokens):
+        single = self.places(tokens, [i for i, p in enumerate(parts) if len(p) == 1 and len(p[0]) == 1])
+        if len(single) >= 3:
+            for i, j, got in self.runs(tokens, single):
                 parts[i:j] = [got] + [()] * (j - i - 1)
-        return [w for p in parts for w in p]
+        return [w for p in parts for w in p if w not in SIGNS]
 
 
 # ------------------------------------------------------------ scoring
@@ -235,12 +278,13 @@ class Scorer(Restorer):
             w = np.fromiter(map(self.learn(set(tokens)).__getitem__, tokens), dtype=np.float64, count=len(tokens))
         single = np.isnan(w)
         n = len(tokens)
-        if single.any():
-            w[single] = 0.0
-            if single.sum() >= 3:
-                for i, j, got in self.runs(tokens):
-                    w[i] = self.weight(got)
-                    n -= j - i - len(got)
+        w[single] = 0.0
+        places = self.places(tokens, np.flatnonzero(single).tolist())
+        if len(places) >= 3:
+            for i, j, got in self.runs(tokens, places):
+                w[i:j] = 0.0
+                w[i] = self.weight(got)
+                n -= j - i - len(got)
         hit = w != 0.0
         return n, int(hit.sum()), float(w.sum())
 
