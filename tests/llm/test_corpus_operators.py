@@ -347,3 +347,13 @@ def test_packing_of_messy_rows(spark, messy):
         assert small.encode("a bb ccc dddd eeeee a bb") == np.array(tok.encode("a bb ccc dddd eeeee a bb", add_special_tokens=False).ids, dtype="<u4").tobytes()
     finally:
         packing._CACHE_WORDS = keep
+
+
+def test_markers_in_a_text_are_one_id():
+    from tokenizers import Tokenizer
+    plain, own = Tokenizer.from_file(packing.default_tokenizer()), packing.WordEncoder(None)
+    for t in ("Hello <|endoftext|> world", "a<|startoftext|>b <|ENDOFTEXT|> (<|endoftext|>)", "<|endoftext|><|endoftext|> <| endoftext |>",
+              "it's '<|endoftext|>'\n<b>x</b>", ""):
+        ids = plain.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(t), dtype="<u4").tolist() == ids
+    assert np.frombuffer(own.encode("Hello <|endoftext|> world"), dtype="<u4").tolist() == [3306, 49407, 1002]

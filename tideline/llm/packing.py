@@ -43,9 +43,7 @@ _CACHE_WORDS = 800_000
 def _tokenizer(path: str):
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _TOKENIZERS[path] = t
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
     return _TOKENIZERS[path]
 
 
@@ -60,7 +58,8 @@ class WordEncoder:
     This tokenizer lower-cases, never joins characters across ASCII white space,
     and parts letters from punctuation. So the ids of a text are those of its
     words in turn, and those of a word of letters with ASCII punctuation around
-    are the ids of the punctuation and of the lower-case letters. Both words
+    are the ids of the punctuation and of the lower-case letters. A marker such
+    as <|endoftext|> in a text is its one id, as in a plain ``encode``. Both words
     and runs of letters are kept once encoded (a full store takes no more, so
     it keeps the frequent ones); all else goes to the tokenizer as it is.
     """
@@ -73,6 +72,8 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             closes[i] = token.endswith("</w>")
         self.closes = closes
+        added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marker = re.compile("|".join(map(re.escape, added)) or "(?!)")
 
     def _direct(self, words: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -91,7 +92,7 @@ class WordEncoder:
         cut, odd = [], []
         for w in words:
             m = _PLAIN.fullmatch(w)
-            if m and m[2].isalpha() and "'" not in m[1]:
+            if m and m[2].isalpha() and "'" not in m[1] and not self.marker.search(w.lower()):
                 cut.append((w, m[1], m[2].lower() if max(m[2]) < "\u0100" else m[2], m[3]))
             else:
                 odd.append(w)
