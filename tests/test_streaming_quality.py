@@ -63,3 +63,19 @@ def test_time_in_range_and_profile(spark):
     assert t["b"]["low_pct"] == 0.0 and t["b"]["n_readings"] == 0
     prof = {r["column_name"]: r for r in qa.profile(df).collect()}
     assert prof["glucose_mg_dl"]["null_count"] == 2 and prof["series_id"]["n_rows"] == 5
+
+
+def test_landed_folders_of_several_files_are_one_batch_each(spark, monkeypatch):
+    import glob
+
+    from tideline.plans import catalog
+
+    base, batches = tempfile.mkdtemp(prefix="tl-landed-"), []
+    readings = catalog.st.readings
+    monkeypatch.setattr(catalog, "_scratch", lambda *_: base)
+    monkeypatch.setattr(catalog.st, "readings", lambda *a: readings(*a).repartition(4, "seq"))
+    monkeypatch.setattr(catalog, "_as_batch", lambda cycle, i: lambda df, number: batches.append((i, number, df.count())))
+    catalog.refreshed(spark, "/root/testdata/sf0.001", replay=False)
+    landed = [glob.glob(f"{base}/landed/{i}/part-*.parquet") for i in range(3)]
+    assert all(len(files) > 1 for files in landed)
+    assert batches == [(i, 0, spark.read.parquet(f"{base}/landed/{i}").count()) for i in range(3)]

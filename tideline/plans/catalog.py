@@ -685,9 +685,9 @@ QUERIES["stream_equals_batch"] = q_stream_equals_batch
 
 
 def refreshed(spark, sf, model=None, replay=True):
-    """The live path over the stand-ins: readings land in three files (early,
+    """The live path over the stand-ins: readings land in three folders (early,
     recent, and a late one with every seventeenth early reading), are streamed
-    file by file into ``RefreshCycle``, and one batch is run again."""
+    folder by folder into ``RefreshCycle``, and one batch is run again."""
     import uuid
     from datetime import datetime, timezone
 
@@ -698,13 +698,13 @@ def refreshed(spark, sf, model=None, replay=True):
     recent = F.col("timestamp") >= F.lit("2024-01-20").cast("timestamp")
     late = ~recent & (F.col("seq") % 17 == 0)
     for i, part in enumerate((~recent & ~late, recent, late)):
-        r.filter(part).coalesce(1).write.parquet(f"{base}/landed/{i}")
+        r.filter(part).write.parquet(f"{base}/landed/{i}")
     st.pump_events(spark, sf).write.parquet(f"{base}/pump")
     st.manual_treatments(spark, sf).write.parquet(f"{base}/treatments")
     cycle = rf.RefreshCycle(f"{base}/store", series_cols=S, pump_path=f"{base}/pump", treatments_path=f"{base}/treatments",
                             model=model, clock=lambda: datetime(2024, 1, 31, tzinfo=timezone.utc))
     schema = r.schema
-    for i in range(3):  # one micro-batch per landed file, in landing order
+    for i in range(3):  # one micro-batch per landed folder, in landing order
         stream = rf.readings_stream(spark, f"{base}/landed/{i}", schema)
         rf.start_refresh(spark, stream, _as_batch(cycle, i), name=f"refresh-{i}-{uuid.uuid4().hex}", available_now=True).awaitTermination()
     if replay:
