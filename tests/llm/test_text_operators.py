@@ -31,7 +31,7 @@ def test_quality_counts_by_hand(spark, messy):
              "a a a a a a a a", "x\ny\nx\n \nx", "# $5 | <b> &amp; *"]
     d = messy.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     got = quality_rules.quality_rules(d).join(d.withColumnRenamed("text", "t").dropDuplicates(["doc_id"]).filter("doc_id is not null"), "doc_id").collect()
-    assert len(got) == 13 + len(texts)
+    assert len(got) == 12 + len(texts)
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == by_hand(r.t), r.t[:60]
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
