@@ -320,6 +320,16 @@ def test_plan_is_bounded_by_the_capacity():
     assert len(p.runs) < 5000 and total <= 256 * p.sequences <= 1.1 * total
 
 
+@pytest.mark.parametrize("counts,least", [({1500: 10 ** 9, 500: 10 ** 9}, 10 ** 9), ({1000: 10 ** 9}, 5 * 10 ** 8),
+                                          ({1000: 10 ** 9 + 1, 24: 10 ** 9}, 5 * 10 ** 8), ({700: 10 ** 9, 600: 10 ** 9, 60: 10 ** 8}, 6 * 10 ** 8)])
+def test_many_equal_lengths_are_few_runs(counts, least):
+    p = packing.plan_packing(counts, 2048)
+    assert len(p.runs) < 50 and least <= p.sequences <= 1.2 * least
+    for length, n in counts.items():
+        mine = sorted((r[1], r[2]) for r in p.runs if r[0] == length)
+        assert sum(k for _, k in mine) == n and all(a + k == b for (a, k), (b, _) in zip(mine, mine[1:]))
+
+
 def test_packing_of_messy_rows(spark, messy):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(packing.default_tokenizer())

@@ -77,6 +77,15 @@ def test_language_of_messy_rows(spark, messy):
     assert abs(np.linalg.norm(steps) - 1) < 1e-9
 
 
+@pytest.mark.parametrize("text", ["der Fluss und die Stadt mit dem Berg", "die Stadt ist nicht weit von der Küste"])
+def test_copies_of_one_text_are_learned_once(spark, text):
+    many = [(text, "de")] * 3000 + [(f"the town and the hill number {i} of this river", "en") for i in range(1500)] + [
+        (f"le chat et la ville {i} dans la vallée", "fr") for i in range(40)]
+    model = langid.train(spark.createDataFrame(many, "text string, lang string"), rows_per_language=100)
+    assert sorted(x for v in model.members.values() for x in v) == ["de", "en", "fr"]
+    assert model.predict(text)[0] == "de" and model.predict("the river of this town")[0] == "en"
+
+
 def test_restores_hidden_words(spark):
     plain = ["stupid idiot clown moron", "the idiot and the clown", "a stupid clown", "morons"] * 20
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "doc_id long, text string")
@@ -192,3 +201,17 @@ def test_trie_cuts_a_hot_context(spark):
     want = sorted(tuple(r) for r in ngram_trie.scored(new, whole).drop("text").collect())
     for a, b in zip(got, want):
         assert a[:4] == b[:4] and math.isclose(a[5], b[5], abs_tol=1e-9), (a, b)
+
+
+def test_counts_never_wrap():
+    for most in (1, 65_535, 65_536, 2**32 - 1, 2**32, 2**40):
+        assert int(np.array([most]).astype(ngram_trie.narrowest(most))[0]) == most
+
+
+def test_places_in_words():
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 2**64, 500, dtype=np.uint64) & rng.integers(0, 2**64, 500, dtype=np.uint64)
+    words[:3] = [2**64 - 1, 1, 2**63]
+    for w, n in zip(words.tolist(), np.bitwise_count(words).tolist()):
+        want = [i for i in range(64) if w >> i & 1]
+        assert EliasFano._in_word(np.full(n, w, dtype=np.uint64), np.arange(n)).tolist() == want

@@ -39,11 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, or_empty
+from .common import byte_symbols, free_name, or_empty, split_words
 from .packing import default_tokenizer
 
-_WORD = re.compile("[^ \t-\r]+")
-_SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space for str.split, signs for the tokenizer
 #: what the tokenizer's splitter cuts, for characters below U+0100
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
                     "|[^\\x09-\\x0d\\x20\x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
@@ -52,14 +50,6 @@ _NEVER = 1 << 60
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
 
-def byte_symbols() -> dict[int, str]:
-    """The letter of each byte in a byte-level vocabulary: printable bytes stand
-    for themselves, the others for the characters from U+0100 on, in order."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
 class Vocabulary:
     """Tokens and merges of a tokenizer file, as symbol strings.
 
@@ -206,11 +196,6 @@ class Trie:
             yield array("I", out).tobytes()
 
 
-def words_of(text: str) -> list[str]:
-    """Cut at white space, Unicode's included: no piece holds any."""
-    return _WORD.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
-
-
 class Coder:
     """Encodes and decodes texts; holds the trie and the ids of words."""
 
@@ -247,7 +232,7 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
-        docs, known = [words_of(t) for t in texts], self.known
+        docs, known = [split_words(t) for t in texts], self.known
         new = self._new(set().union(*docs).difference(known))
         room = self.max_words - len(known)
         if len(new) <= room:

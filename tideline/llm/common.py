@@ -14,6 +14,23 @@ from ..session import checkpoint_dir
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+_WORD = re.compile("[^ \t-\r]+")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space for str.split, signs for a tokenizer
+
+
+def split_words(text: str) -> list[str]:
+    """Cut at white space, Unicode's included: no piece of a word-wise tokenizer holds any."""
+    return _WORD.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
+
+
+def byte_symbols() -> dict[int, str]:
+    """The letter of each byte in a byte-level vocabulary: printable bytes stand
+    for themselves, the others for the characters from U+0100 on, in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,9 +11,10 @@ import os
 
 import numpy as np
 
-_POP = np.array([bin(b).count("1") for b in range(256)], dtype=np.int16)
 #: place of the r-th one in a byte
-_SEL = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[r] for r in range(8)] for b in range(256)], dtype=np.int64)
+_SEL = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[r] for r in range(8)] for b in range(256)], dtype=np.uint64)
+#: 64-bit words of a repeated byte: 01, 55, 33, 0F, 80
+_EACH, _PAIRS, _FOURS, _LOW_HALVES, _TOPS = (np.uint64(int.from_bytes(bytes([b]) * 8)) for b in (1, 0x55, 0x33, 0x0F, 0x80))
 _U6, _U63, _U64 = np.uint64(6), np.uint64(63), np.uint64(64)
 
 
@@ -61,13 +62,18 @@ class EliasFano:
     def mapped(cls, folder: str, name: str) -> EliasFano:
         return cls(*(np.load(os.path.join(folder, f"{name}.{f}.npy"), mmap_mode="r") for f in cls.FIELDS))
 
-    def _in_word(self, words: np.ndarray, r: np.ndarray) -> np.ndarray:
-        b = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(_POP[b], axis=1)
-        k = np.minimum((upto <= r[:, None]).sum(axis=1), 7)
-        row = np.arange(len(k))
-        before = np.where(k > 0, upto[row, np.maximum(k - 1, 0)], 0)
-        return k * 8 + _SEL[b[row, k], np.minimum(r - before, 7)]
+    @staticmethod
+    def _in_word(words: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Place of the r-th one of each word, all bytes of a word counted at once."""
+        s = words - (words >> np.uint64(1) & _PAIRS)
+        s = (s & _FOURS) + (s >> np.uint64(2) & _FOURS)
+        upto = ((s + (s >> np.uint64(4))) & _LOW_HALVES) * _EACH  # byte k: ones in bytes 0 to k
+        rank = r.astype(np.uint64)
+        k = np.minimum(np.bitwise_count(((rank * _EACH | _TOPS) - upto) & _TOPS), 7).astype(np.uint64)  # bytes before that of the r-th one
+        shift = k << np.uint64(3)
+        before = (upto << np.uint64(8)) >> shift & np.uint64(255)
+        byte = words >> shift & np.uint64(255)
+        return (shift + _SEL[byte.astype(np.int64), np.minimum(rank - before, np.uint64(7)).astype(np.int64)]).astype(np.int64)
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         upto = self.ones if one else self.zeros

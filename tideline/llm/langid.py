@@ -118,13 +118,14 @@ class LanguageModel:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 1000,
           dimensions: int = DIMENSIONS, iterations: int = 30) -> LanguageModel:
-    """Fit on the labelled rows of ``docs`` (a bounded sample of each language)."""
+    """Fit on the labelled rows of ``docs``: about ``rows_per_language`` different
+    texts of each language, each once however many copies it has."""
     from pyspark.ml.classification import LinearSVC, LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
-    found = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    found = {r[0]: r[1] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}
     model = LanguageModel(dimensions)
     if not found:
         return model
@@ -134,7 +135,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_
     def vector(b: pd.Series) -> pd.Series:
         return pd.Series([features(t, dimensions) for t in b])
 
-    rows = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20))
+    rows = rows.filter(F.pmod("h", F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20)).dropDuplicates(["lang", "h"])
     rows = stored(rows.select("lang", vector("t").alias("v")).filter("v is not null"), "language-sample")
     kept = sorted(r[0] for r in rows.select("lang").distinct().collect())
     for code in kept:

@@ -121,6 +121,11 @@ class OpenVocabulary:
         return (counts + 0.1) / (self.v.tokens + 0.1 * (self.v.kinds + 1))
 
 
+def narrowest(most: int) -> type:
+    """The smallest unsigned type that holds counts up to ``most``."""
+    return np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64
+
+
 def _folder(root: str, name: str) -> str:
     """A new folder for one attempt of a task; only those in its result count."""
     path = os.path.join(root, f"{name}-{uuid.uuid4().hex}")
@@ -165,7 +170,7 @@ def build_vocabulary(train: DataFrame, root: str, shard_words: int = 400_000, ho
         path = _folder(root, f"words-{shard}")
         low = np.uint64(shard) << np.uint64(64 - v.bits) if v.bits else np.uint64(0)
         EliasFano.of(h - low).save(path, "hash")
-        np.save(os.path.join(path, "count.npy"), n.astype(np.uint32 if n.max() < 1 << 32 else np.uint64))
+        np.save(os.path.join(path, "count.npy"), n.astype(narrowest(int(n.max()))))
         big = np.flatnonzero(n >= hot)
         calm = np.where(n < hot, n, 0)
         edge = np.linspace(0, len(n), PARTS + 1).astype(np.int64)
@@ -316,7 +321,7 @@ def build_trie(docs: DataFrame, text_col: str = "text", shard_tokens: int = 4_00
         path = _folder(root, f"pairs-{shard}")
         EliasFano.of(pointer.astype(np.uint64)).save(path, "pointer")
         EliasFano.of(relative).save(path, "successor")
-        np.save(os.path.join(path, "count.npy"), counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32))
+        np.save(os.path.join(path, "count.npy"), counts.astype(narrowest(int(counts.max()))))
         at, kind = _kinds(context, counts)
         edge = [(int(c), *map(int, k)) for c, k in zip(at[[0, -1]], kind[[0, -1]]) if int(c) in edge_contexts]
         return pd.DataFrame({"shard": [shard], "folder": [path], "tally": [_tallies(counts)],

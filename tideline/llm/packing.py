@@ -32,9 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, or_empty, stored
+from .common import byte_symbols, numbered, or_empty, split_words, stored
 
-_WORD = re.compile("[^ \t-\r]+")
 _PLAIN = re.compile(r"([!-/:-@\[-`{-~]*)([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 _TOKENIZERS: dict[str, object] = {}
 _CACHE_WORDS = 800_000
@@ -55,59 +54,60 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of a text, as little-endian 32-bit bytes.
 
-    This tokenizer lower-cases, never joins characters across ASCII white space,
-    and parts letters from punctuation. So the ids of a text are those of its
-    words in turn, and those of a word of letters with ASCII punctuation around
-    are the ids of the punctuation and of the lower-case letters. A marker such
-    as <|endoftext|> in a text is its one id, as in a plain ``encode``. Both words
-    and runs of letters are kept once encoded (a full store takes no more, so
-    it keeps the frequent ones); all else goes to the tokenizer as it is.
+    This tokenizer lower-cases, never joins characters across white space, and
+    parts letters from punctuation. So the ids of a text are those of its words in
+    turn, and those of a word of letters with ASCII punctuation around are the ids
+    of the punctuation and of the lower-case letters, whose merges the tokenizer's
+    model finds without the steps before it. A marker such as <|endoftext|> in a
+    text is its one id, as in a plain ``encode``. Words and runs of letters are kept
+    once encoded (a full store takes no more, so it keeps the frequent ones); all
+    else goes to the tokenizer as it is, as do all words of another kind of
+    tokenizer, told by a probe.
     """
 
     def __init__(self, path: str | None):
         self.tokenizer = _tokenizer(path or default_tokenizer())
+        self.model, self.bytes = self.tokenizer.model, byte_symbols()
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
-        closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            closes[i] = token.endswith("</w>")
-        self.closes = closes
         added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marker = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        probe = ["Straße", "ÉTÉS", "Nations", "(it,", "x."]
+        self.quick = True
+        self.quick = self._new(probe) == dict(zip(probe, self._direct(probe)))
+        self.parts = {"": b""}
 
     def _direct(self, words: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in got]
 
     def _letters(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs of letters: one call, cut where a token closes a run."""
-        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) != len(runs):  # not this kind of vocabulary
-            return self._direct(runs)
-        data, ends = ids.tobytes(), (4 * ends).tolist()
-        return [data[i:j] for i, j in zip([0, *ends], ends)]
+        """Ids of runs of lower-case letters."""
+        merged, table = self.model.tokenize, self.bytes
+        return [array("I", [x.id for x in merged(r if r.isascii() else r.encode().decode("latin-1").translate(table))]).tobytes() for r in runs]
+
+    def _cut(self, word: str) -> tuple[str, str, str] | None:
+        m = _PLAIN.fullmatch(word) if self.quick and max(word) < "\u0100" else None
+        if m and m[2].isalpha() and "'" not in m[1] and not self.marker.search(word.lower()):
+            return m[1], m[2].lower(), m[3]
+        return None
 
     def _new(self, words: list[str]) -> dict[str, bytes]:
-        cut, odd = [], []
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            if m and m[2].isalpha() and "'" not in m[1] and not self.marker.search(w.lower()):
-                cut.append((w, m[1], m[2].lower() if max(m[2]) < "\u0100" else m[2], m[3]))
-            else:
-                odd.append(w)
+        plain = {w: w.lower() for w in words if w.isascii() and w.isalpha()} if self.quick else {}
+        cut = {w: self._cut(w) for w in words if w not in plain}
+        odd = [w for w, c in cut.items() if c is None]
         known, new = self.parts, {}
-        runs = [r for r in {x[2] for x in cut} if r not in known]
-        for at in range(0, len(runs), 20_000):
-            new.update(zip(runs[at:at + 20_000], self._letters(runs[at:at + 20_000])))
-        marks = [m for m in {x for c in cut for x in (c[1], c[3])} if m not in known]
+        runs = [r for r in {*plain.values(), *(c[1] for c in cut.values() if c)} if r not in known]
+        new.update(zip(runs, self._letters(runs)))
+        marks = [m for m in {x for c in cut.values() if c for x in (c[0], c[2])} if m not in known]
         new.update(zip(marks, self._direct(marks)))
         if len(known) + len(new) <= _CACHE_WORDS:
             known.update(new)
             new = known
         else:
-            new = {p: known[p] if p in known else new[p] for c in cut for p in c[1:]}
-        out = {w: new[a] + new[b] + new[c] if a or c else new[b] for w, a, b, c in cut}
+            new = {p: known[p] if p in known else new[p] for p in {*plain.values(), *(x for c in cut.values() if c for x in c)}}
+        out = {w: new[r] for w, r in plain.items()}
+        out.update((w, new[c[0]] + new[c[1]] + new[c[2]]) for w, c in cut.items() if c)
         out.update(zip(odd, self._direct(odd)))
         return out
 
@@ -115,17 +115,12 @@ class WordEncoder:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        find, get = _WORD.findall, self.known.get
-        docs = [find(t) for t in texts]
-        coded = [list(map(get, d)) for d in docs]  # None: not kept yet
-        todo = [i for i, c in enumerate(coded) if None in c]
-        if todo:
-            got = self._new(list({w for i in todo for w, x in zip(docs[i], coded[i]) if x is None}))
-            if len(self.known) + len(got) <= _CACHE_WORDS:
-                self.known.update(got)
-            for i in todo:
-                coded[i] = [got[w] if x is None else x for w, x in zip(docs[i], coded[i])]
-        return [b"".join(c) for c in coded]
+        docs, known = [split_words(t) for t in texts], self.known
+        got = self._new(list(set().union(*docs).difference(known)))
+        if len(known) + len(got) <= _CACHE_WORDS:
+            known.update(got)
+            return [b"".join(map(known.__getitem__, d)) for d in docs]
+        return [b"".join([known[w] if w in known else got[w] for w in d]) for d in docs]
 
 
 def token_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None,
@@ -137,7 +132,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokeniz
         enc = WordEncoder(tokenizer)
         for b in batches:
             out, texts = [], b["t"].tolist()
-            coded = (x for at in range(0, len(texts), 256) for x in enc.encode_all(texts[at:at + 256]))
+            coded = (x for at in range(0, len(texts), 1024) for x in enc.encode_all(texts[at:at + 1024]))
             for d, x in zip(b["doc_id"], coded):
                 ids = x + end
                 for p, at in enumerate(range(0, len(ids), width)):
@@ -215,8 +210,7 @@ class Plan:
             while self.left[x]:
                 room, few = c - x, self.smallest(3, x)
                 if not few or few[0] > room:
-                    n = int(self.left[x]) if 2 * x > c else 1
-                    self.fix((x,), n)
+                    self.fix((x,), int(self.left[x]))  # two of them don't fit either
                     continue
                 fits = [int(y) for y in np.flatnonzero(self.left[:room + 1]) if self.left[y] - (y == x)]
                 y = fits[-1]
@@ -226,11 +220,8 @@ class Plan:
                     alone = no_three and y >= self.best_pair(room, x)
                 if not alone:
                     break
-                # several at once while the rule's figures can't change
-                n = int(min(self.left[x], self.left[y])) if x != y else 1
-                if y in few:
-                    n = 1
-                self.fix((x, y), n)
+                # taking pieces away never breaks the rule, so it holds until x or y run out
+                self.fix((x, y), int(self.left[x]) // 2 if x == y else int(min(self.left[x], self.left[y])))
 
     def best_fit(self) -> None:
         room: dict[int, list[tuple[int, int]]] = {}
