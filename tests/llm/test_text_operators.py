@@ -79,7 +79,7 @@ def test_language_of_messy_rows(spark, messy):
 
 @pytest.mark.parametrize("text", ["der Fluss und die Stadt mit dem Berg", "die Stadt ist nicht weit von der Küste"])
 def test_copies_of_one_text_are_learned_once(spark, text):
-    many = [(text, "de")] * 3000 + [(f"the town and the hill number {i} of this river", "en") for i in range(1500)] + [
+    many = [(text, "de")] * 3000 + [(f"der Hund und die Katze {i} nicht mit dem Fluss", "de") for i in range(60)] + [(f"the town and the hill number {i} of this river", "en") for i in range(1500)] + [
         (f"le chat et la ville {i} dans la vallée", "fr") for i in range(40)]
     model = langid.train(spark.createDataFrame(many, "text string, lang string"), rows_per_language=100)
     assert sorted(x for v in model.members.values() for x in v) == ["de", "en", "fr"]
