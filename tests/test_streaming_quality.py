@@ -76,6 +76,7 @@ def test_landed_folders_of_several_files_are_one_batch_each(spark, monkeypatch):
     monkeypatch.setattr(catalog.st, "readings", lambda *a: readings(*a).repartition(4, "seq"))
     monkeypatch.setattr(catalog, "_as_batch", lambda cycle, i: lambda df, number: batches.append((i, number, df.count())))
     catalog.refreshed(spark, "/root/testdata/sf0.001", replay=False)
-    landed = [glob.glob(f"{base}/landed/{i}/part-*.parquet") for i in range(3)]
+    landed = [glob.glob(f"{base}/readings/lands={i}/part-*.parquet") for i in range(3)]
     assert all(len(files) > 1 for files in landed)
-    assert batches == [(i, 0, spark.read.parquet(f"{base}/landed/{i}").count()) for i in range(3)]
+    rows = [sum(spark.read.parquet(f"{base}/{feed}/lands={i}").count() for feed in ("readings", "pump", "treatments")) for i in range(3)]
+    assert batches == [(i, 0, rows[i]) for i in range(3)]

@@ -113,13 +113,16 @@ def timeline_blocks(readings: DataFrame, pump: DataFrame | None = None,
                     block_minutes: int = 1440, bin_mode: str = "floor",
                     tau_min: float = IOB_TAU_MIN, horizon_min: int = IOB_HORIZON_MIN,
                     seq_col: str | None = "seq", ts_col: str = "timestamp",
-                    lookback: int = 0, lookahead: int = 0) -> DataFrame:
+                    lookback: int = 0, lookahead: int = 0, reported: DataFrame | None = None) -> DataFrame:
     """The unified timeline keyed (series, _fblk, _bin) with halo rows
     (``_halo``) around each block, partitioned by (series, _fblk).
 
     Only sparse rows are shuffled: grid extents, events and intervals as
     block-level segments go through ONE repartition by (series, block);
     bins are generated, aggregated and forward-filled inside each block.
+
+    ``reported`` (series..., has_real_iob) tells which series report IOB where
+    ``pump`` is only a part of their events.
     """
     s = list(series_cols)
     B = max(1, block_minutes // freq_minutes)
@@ -135,6 +138,9 @@ def timeline_blocks(readings: DataFrame, pump: DataFrame | None = None,
 
     # Grid extent per series -> one segment per series
     extent = grid_extent(readings, pump, s, ts_col)
+    if reported is not None:
+        extent = extent.drop("has_real_iob").join(reported, s, "left").withColumn(
+            "has_real_iob", F.coalesce("has_real_iob", F.lit(False)))
     parts = [seg(extent, floor_bin("lo_ts", freq_minutes), ceil_bin("hi_ts", freq_minutes),
                  {"_grid": F.lit(True), "has_real_iob": F.col("has_real_iob")})]
     # A1 readings (mean = sum / count, NULLs skipped)

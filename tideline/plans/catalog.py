@@ -684,31 +684,42 @@ def q_stream_equals_batch(spark, sf):
 QUERIES["stream_equals_batch"] = q_stream_equals_batch
 
 
-def refreshed(spark, sf, model=None, replay=True):
+def refreshed(spark, sf, model=None, replay=True, late_pump=False):
     """The live path over the stand-ins: readings land in three folders (early,
     recent, and a late one with every seventeenth early reading), are streamed
-    folder by folder into ``RefreshCycle``, and one batch is run again."""
+    folder by folder into ``RefreshCycle``, and one batch is run again. Pump events
+    and treatments land with the first folder or, with ``late_pump``, in four: early,
+    recent, late with the late readings, and at last without any reading."""
     import uuid
     from datetime import datetime, timezone
 
     from ..streaming import refresh as rf
 
     base = _scratch(spark, "refresh")
-    r = st.readings(spark, sf)
     recent = F.col("timestamp") >= F.lit("2024-01-20").cast("timestamp")
-    late = ~recent & (F.col("seq") % 17 == 0)
-    for i, part in enumerate((~recent & ~late, recent, late)):
-        r.filter(part).write.parquet(f"{base}/landed/{i}")
-    st.pump_events(spark, sf).write.parquet(f"{base}/pump")
-    st.manual_treatments(spark, sf).write.parquet(f"{base}/treatments")
-    cycle = rf.RefreshCycle(f"{base}/store", series_cols=S, pump_path=f"{base}/pump", treatments_path=f"{base}/treatments",
-                            model=model, clock=lambda: datetime(2024, 1, 31, tzinfo=timezone.utc))
-    schema = r.schema
-    for i in range(3):  # one micro-batch per landed folder, in landing order
-        stream = rf.readings_stream(spark, f"{base}/landed/{i}", schema)
-        rf.start_refresh(spark, stream, _as_batch(cycle, i), name=f"refresh-{i}-{uuid.uuid4().hex}", available_now=True).awaitTermination()
+
+    def lands(late, later, last=F.lit(False)):
+        """0: early, 1: recent, 2: late, 3: latest."""
+        return F.when(last, 3).when(later, 2).when(late, 1).otherwise(0)
+
+    r, p, t = st.readings(spark, sf), st.pump_events(spark, sf), st.manual_treatments(spark, sf)
+    always = F.lit(False)
+    parts = {"readings": (r, lands(recent, ~recent & (F.col("seq") % 17 == 0))),
+             "pump": (p, lands(recent, F.col("seq") % 5 == 1, F.col("seq") % 11 == 3) if late_pump else lands(always, always)),
+             "treatments": (t, lands(recent, F.col("seq") % 3 == 1, F.col("seq") % 7 == 3) if late_pump else lands(always, always))}
+    for name, (d, folder) in parts.items():
+        d.withColumn("lands", folder).write.partitionBy("lands").parquet(f"{base}/{name}")
+        for i in range(4):  # a feed without a row in some folder
+            d.limit(0).write.mode("append").parquet(f"{base}/{name}/lands={i}")
+    cycle = rf.RefreshCycle(f"{base}/store", series_cols=S, model=model, clock=lambda: datetime(2024, 1, 31, tzinfo=timezone.utc))
+    batches = range(4 if late_pump else 3)
+    for i in batches:  # one micro-batch per landed folder, in landing order
+        streams = [rf.readings_stream(spark, f"{base}/{name}/lands={i}", d.schema) for name, (d, _) in parts.items()]
+        rf.start_refresh(spark, rf.feeds(*streams, series_cols=S), _as_batch(cycle, i), name=f"refresh-{i}-{uuid.uuid4().hex}",
+                         available_now=True).awaitTermination()
     if replay:
-        cycle(spark.read.schema(schema).parquet(f"{base}/landed/1"), 1)
+        landed = [spark.read.schema(d.schema).parquet(f"{base}/{name}/lands=1") for name, (d, _) in parts.items()]
+        cycle(rf.feeds(*landed, series_cols=S), 1)
     return cycle
 
 
@@ -726,6 +737,15 @@ def q_refresh_equals_batch(spark, sf):
 QUERIES["refresh_equals_batch"] = q_refresh_equals_batch
 
 
+def q_refresh_late_pump(spark, sf):
+    """Features after four refreshes in which pump events and treatments land
+    late too, the last without any reading; they equal the batch features."""
+    return finish(refreshed(spark, sf, late_pump=True).features(spark))
+
+
+QUERIES["refresh_late_pump"] = q_refresh_late_pump
+
+
 # ============================================================ CSV path
 def q_export_csv_roundtrip(spark, sf):
     """K6 -> S1-S4 -> P1-P7 -> A16: readings written as a device-style CSV

@@ -647,6 +647,7 @@ for _name, _sql in {
 
 register("stream_equals_batch", resample_mean_sql(US5))
 register("refresh_equals_batch", ORACLE["features"])
+register("refresh_late_pump", ORACLE["features"])
 
 register("export_csv_roundtrip", with_ctes(BASE, f"""SELECT user_id, timestamp,
   {r6("CASE WHEN seq % 3 = 0 THEN 200.0 + seq % 7 WHEN glucose_mg_dl < 40 THEN 39.0 WHEN glucose_mg_dl > 400 THEN 401.0 ELSE glucose_mg_dl END")}
