@@ -10,6 +10,7 @@ the reference).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,12 +57,25 @@ def _struct(t: str, sev: str, msg: Column, detail: Column) -> Column:
                     detail.alias("detail"))
 
 
+def _filled(template: str, limits: dict[str, Column]) -> Column:
+    """A message text with thresholds in it, shown truncated to int."""
+    parts = [(F.lit(text), limits[name].cast("long").cast("string") if name else None) for text, name, _, _ in Formatter().parse(template)]
+    return F.concat(*[x for pair in parts for x in pair if x is not None])
+
+
 def detect(df: DataFrame, *, keep_cols: Sequence[str] = (), now: Column | str | None = None,
-           thresholds: dict | None = None, current_col: str = "current_glucose",
+           thresholds: dict | None = None, series_thresholds: DataFrame | None = None,
+           series_cols: Sequence[str] = ("series_id",), current_col: str = "current_glucose",
            current_ts_col: str = "current_timestamp", pred_col: str = "prediction_30m") -> DataFrame:
-    """R1-R4. ``thresholds`` is merged over the defaults (R2)."""
-    th = {**DEFAULT_THRESHOLDS, **(thresholds or {})}
-    ith = {k: int(v) for k, v in th.items()}  # texts show thresholds truncated to int
+    """R1-R4. ``thresholds`` is merged over the defaults (R2). ``series_thresholds``
+    has a row per series with any of the threshold columns; a field that is missing
+    or null there, or a series without a row, keeps the merged value."""
+    merged = {**DEFAULT_THRESHOLDS, **(thresholds or {})}
+    th = {k: F.lit(float(v)) for k, v in merged.items()}
+    if series_thresholds is not None:
+        own = [k for k in th if k in series_thresholds.columns]
+        df = df.join(series_thresholds.select(*series_cols, *[F.col(k).cast("double").alias(f"_th_{k}") for k in own]), list(series_cols), "left")
+        th |= {k: F.coalesce(f"_th_{k}", th[k]) for k in own}
     cur = F.col(current_col).cast("double")
     pred = F.col(pred_col).cast("double")
     cts = F.col(current_ts_col).cast("timestamp")
@@ -72,18 +86,18 @@ def detect(df: DataFrame, *, keep_cols: Sequence[str] = (), now: Column | str |
     d_pred = json_obj(prediction_30m=pred, delta=delta)
     d_delta = json_obj(delta=delta, prediction_30m=pred)
     g1 = (F.when(cur <= th["low_sentinel"], _struct("sensor_extreme", "critical",
-                                                     F.lit(MSG_SENSOR_LOW.format(**ith)), d_cur))
+                                                     _filled(MSG_SENSOR_LOW, th), d_cur))
           .when(cur >= th["high_sentinel"], _struct("sensor_extreme", "critical",
-                                                     F.lit(MSG_SENSOR_HIGH.format(**ith)), d_cur)))
+                                                     _filled(MSG_SENSOR_HIGH, th), d_cur)))
     g2 = F.when(age > th["stale_minutes"], _struct(
         "stale_data", "warn", F.concat(F.lit(MSG_STALE[0]), fmt_0f(age), F.lit(MSG_STALE[1])),
         json_obj(age_minutes=age, last_seen=ts_text(cts))))
     g3 = (F.when(pred < th["low_mg_dl"], _struct(
         "predicted_low", "critical",
-        F.concat(F.lit(MSG_PRED_LOW[0]), fmt_0f(pred), F.lit(MSG_PRED_LOW[1].format(**ith))), d_pred))
+        F.concat(F.lit(MSG_PRED_LOW[0]), fmt_0f(pred), _filled(MSG_PRED_LOW[1], th)), d_pred))
           .when(pred > th["high_mg_dl"], _struct(
               "predicted_high", "warn",
-              F.concat(F.lit(MSG_PRED_HIGH[0]), fmt_0f(pred), F.lit(MSG_PRED_HIGH[1].format(**ith))), d_pred)))
+              F.concat(F.lit(MSG_PRED_HIGH[0]), fmt_0f(pred), _filled(MSG_PRED_HIGH[1], th)), d_pred)))
     g4 = (F.when(delta <= -th["drop_mg_dl_30m"], _struct(
         "predicted_drop", "warn", F.concat(F.lit(MSG_DROP[0]), fmt_0f(-delta), F.lit(MSG_DROP[1])), d_delta))
           .when(delta >= th["rise_mg_dl_30m"], _struct(

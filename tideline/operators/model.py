@@ -8,11 +8,14 @@ before the ``VectorAssembler``. The assembler stores the feature order.
 """
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,28 +55,61 @@ def _fill_sql(feature_cols: Sequence[str]) -> str:
 
 def fit(features: DataFrame, feature_cols: Sequence[str], *, target_col: str = "target_30m",
         series_cols: Sequence[str] = ("series_id",), params: dict | None = None,
-        train_frac: float = 0.70, val_frac: float = 0.15) -> tuple[PipelineModel, DataFrame]:
-    """M1: fit on train, early-stop on val (``validationIndicatorCol``).
-    Returns the fitted pipeline and the split table (for metrics)."""
+        train_frac: float = 0.70, val_frac: float = 0.15, patience: int | None = None) -> tuple[PipelineModel, DataFrame]:
+    """M1: fit on train, stop early on val. Returns the fitted pipeline and the
+    split table (for metrics).
+
+    With ``patience``, all ``maxIter`` trees are grown on train, the mean absolute
+    error on val is taken after each, and the ensemble is cut at its best tree
+    before ``patience`` trees in a row that bring no better one; without,
+    Spark's own rule (``validationIndicatorCol``) holds."""
+    spark = features.sparkSession
     p = {**DEFAULT_PARAMS, **(params or {})}
-    sp = time_split(features, series_cols=series_cols, train_frac=train_frac, val_frac=val_frac)
-    # labelled rows are cut from the feature plan once (reliable checkpoint in
-    # the shared folder), so split counts, boosting passes and validation
-    # all read one materialised table instead of recomputing the features
-    checkpoint_dir(features.sparkSession)
-    lab = sp.filter(F.col(target_col).isNotNull()).checkpoint(eager=True)
+    # features are computed once into the shared folder; split counts, boosting
+    # passes and validation read that table
+    path = os.path.join(checkpoint_dir(spark), f"fit-{uuid.uuid4().hex}")
+    features.write.parquet(path)
+    sp = time_split(spark.read.parquet(path), series_cols=series_cols, train_frac=train_frac, val_frac=val_frac)
+    lab = sp.filter(F.col(target_col).isNotNull())
     counts = {r["split"]: r["n"] for r in lab.groupBy("split").agg(F.count("*").alias("n")).collect()}
     if any(counts.get(k, 0) == 0 for k in ("train", "val", "test")):
         raise ValueError(f"Empty split {counts}; not enough labelled rows")
     fitdata = lab.filter(F.col("split") != "test").withColumn("_is_val", F.col("split") == "val")
-    pipe = Pipeline(stages=[
-        SQLTransformer(statement=_fill_sql(feature_cols)),
-        VectorAssembler(inputCols=[f"_f_{c}" for c in feature_cols], outputCol="features",
-                        handleInvalid="keep"),
-        GBTRegressor(featuresCol="features", labelCol=target_col, predictionCol="prediction",
-                     validationIndicatorCol="_is_val", **p),
-    ])
-    return pipe.fit(fitdata), sp
+    gbt = GBTRegressor(featuresCol="features", labelCol=target_col, predictionCol="prediction", **p)
+    prepare = [SQLTransformer(statement=_fill_sql(feature_cols)),
+               VectorAssembler(inputCols=[f"_f_{c}" for c in feature_cols], outputCol="features", handleInvalid="keep")]
+    if patience is None:
+        return Pipeline(stages=[*prepare, gbt.setValidationIndicatorCol("_is_val")]).fit(fitdata), sp
+    model = Pipeline(stages=[*prepare, gbt]).fit(fitdata.filter("not _is_val"))
+    scored = PipelineModel(model.stages[:-1]).transform(fitdata.filter("_is_val")).select("features", target_col)
+    errors = model.stages[-1].evaluateEachIteration(scored, "absolute")
+    best = best_iteration(errors, patience)
+    return PipelineModel([*model.stages[:-1], first_trees(spark, model.stages[-1], best)]), sp
+
+
+def best_iteration(errors: Sequence[float], patience: int) -> int:
+    """Number of trees with the least error before ``patience`` ones without a better."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def first_trees(spark, model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The ensemble of the first ``n`` trees: the saved model with the other trees left out."""
+    path = os.path.join(checkpoint_dir(spark), f"gbt-{uuid.uuid4().hex}")
+    model.write().save(f"{path}/whole")
+    meta = json.loads(spark.read.text(f"{path}/whole/metadata").first()[0])
+    if "numTrees" not in meta:
+        raise ValueError("a saved ensemble without a tree count")
+    meta["numTrees"] = n
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/cut/metadata")
+    for part in ("data", "treesMetadata"):
+        spark.read.parquet(f"{path}/whole/{part}").filter(F.col("treeID") < n).write.parquet(f"{path}/cut/{part}")
+    return GBTRegressionModel.load(f"{path}/cut")
 
 
 def predict(model: PipelineModel, df: DataFrame, *, target_col: str | None = "target_30m",

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import minutes_between
@@ -97,6 +97,26 @@ def stage_counters(df: DataFrame, *, name: str, ts_col: str = "timestamp",
     return df.observe(obs, *exprs), obs
 
 
+def observed_stages(df: DataFrame, stages: dict[str, tuple[Column, Column]], *, name: str,
+                    ts_col: str = "timestamp") -> tuple[DataFrame, Observation]:
+    """A19 for all stages that are told apart by a condition on one input's rows:
+    ``stages`` has a row's condition and that of a carb-tagged row. The counters ride
+    on whatever action runs next; read them with ``stage_table`` after it."""
+    us = F.unix_micros(F.col(ts_col))
+    obs = Observation(name)
+    counts = [c.alias(f"{k}:{what}") for k, (row, tagged) in stages.items() for what, c in (
+        ("rows", F.count_if(row)), ("min", F.min(F.when(row, us))), ("max", F.max(F.when(row, us))), ("tagged", F.count_if(row & tagged)))]
+    return df.observe(obs, *counts), obs
+
+
+def stage_table(spark: SparkSession, obs: Observation, stages: Sequence[str]) -> DataFrame:
+    """The counters of ``observed_stages``: one row per stage."""
+    got = obs.get
+    rows = [(k, *[got[f"{k}:{what}"] for what in ("rows", "min", "max", "tagged")]) for k in stages]
+    d = spark.createDataFrame(rows, "stage string, rows long, lo long, hi long, carb_tagged long")
+    return d.select("stage", "rows", F.timestamp_micros("lo").alias("min_ts"), F.timestamp_micros("hi").alias("max_ts"), "carb_tagged")
+
+
 def date_filter(df: DataFrame, start_date: str, end_date: str, ts_col: str = "timestamp") -> DataFrame:
     """Both ends inclusive by UTC date: a range on ``ts_col`` that reaches
     the scan, and on a table with K1's ``date`` column also a range on that, so

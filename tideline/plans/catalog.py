@@ -258,6 +258,17 @@ def q_alerts(spark, sf):
                            F.get_json_object("detail", "$.last_seen").alias("detail_last_seen")))
 
 
+def q_alerts_by_series(spark, sf):
+    """R2: a thresholds table with some fields for some series, defaults elsewhere."""
+    f = st.forecast_rows(spark, sf)
+    u = F.col("user_id")
+    table = f.select(u).distinct().filter(u % 3 != 0).select(
+        u, (F.lit(40.0) + u % 50).alias("low_mg_dl"), F.when(u % 2 == 0, F.lit(100.0) + u % 70).alias("high_mg_dl"),
+        F.when(u % 5 == 0, F.lit(30)).alias("stale_minutes"), F.lit(20.0).alias("drop_mg_dl_30m"))
+    a = al.detect(f, keep_cols=["user_id", "event_id"], now="now", series_thresholds=table, series_cols=S)
+    return finish(a.select("user_id", "event_id", "alert_ix", "type", "severity", "message"))
+
+
 def q_alerts_retained(spark, sf):
     """K4 + R2: alerts under an overridden threshold; the newest 10 of each
     series stay, alerts of one time ranked by event and alert number."""
@@ -399,20 +410,13 @@ def q_first_truthy(spark, sf):
 
 
 def q_stage_counters(spark, sf):
-    """Per stage counters in one aggregation per input."""
-    ev = st.load_events(spark, sf)
-    r = st.readings(spark, sf)
-    p = st.pump_events(spark, sf)
-    a = ev.agg(F.lit("raw_events").alias("stage"), F.count("*").alias("rows"),
-               F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
-               F.count_if(F.col("event_type") == "error").alias("carb_tagged"))
-    b = r.agg(F.lit("clean_readings").alias("stage"), F.count("*").alias("rows"),
-              F.min("timestamp").alias("min_ts"), F.max("timestamp").alias("max_ts"),
-              F.lit(0).cast("long").alias("carb_tagged"))
-    c = p.agg(F.lit("pump_events").alias("stage"), F.count("*").alias("rows"),
-              F.min("timestamp").alias("min_ts"), F.max("timestamp").alias("max_ts"),
-              F.count_if((F.col("event_type") == "bolus") & (F.col("carbs_g") > 0)).alias("carb_tagged"))
-    return finish(a.unionByName(b).unionByName(c))
+    """Counters of three stages, observed while the readings are written (one scan)."""
+    et = F.col("event_type")
+    stages = {"raw_events": (F.lit(True), et == "error"), "clean_readings": (et == "view", F.lit(False)),
+              "pump_events": (et.isin("purchase", "click", "signup"), (et == "purchase") & (F.col("k") > 0))}
+    ev, obs = qa.observed_stages(st.load_events(spark, sf), stages, name="stages", ts_col="ts")
+    wr.write_parquet(ev.filter(et == "view"), _scratch(spark, "observed"), ts_col="ts")
+    return finish(qa.stage_table(spark, obs, list(stages)))
 
 
 QUERIES.update({
@@ -746,6 +750,27 @@ def q_refresh_late_pump(spark, sf):
 QUERIES["refresh_late_pump"] = q_refresh_late_pump
 
 
+def q_stream_forecast_truth(spark, sf):
+    """The forecast log and the truth, each landed and streamed, joined as they
+    arrive; with the forecasts that still wait they equal ``forecast_truth_join``."""
+    import uuid
+
+    from ..streaming import forecasts as fc
+
+    base = _scratch(spark, "forecasts")
+    dr.dedupe_log(st.prediction_log(spark, sf), series_cols=S).write.parquet(f"{base}/log")
+    tumbling_mean(st.readings(spark, sf), series_cols=S, freq_minutes=5).write.parquet(f"{base}/truth")
+    log, truth = spark.read.parquet(f"{base}/log"), spark.read.parquet(f"{base}/truth")
+    streams = [spark.readStream.schema(d.schema).parquet(f"{base}/{k}") for k, d in (("log", log), ("truth", truth))]
+    fc.start_forecast_truth(spark, *streams, f"{base}/joined", name=f"forecasts-{uuid.uuid4().hex}", series_cols=S,
+                            available_now=True).awaitTermination()
+    return finish(fc.forecast_truth_view(log, f"{base}/joined", series_cols=S).drop("seq"))
+
+
+QUERIES["stream_forecast_truth"] = q_stream_forecast_truth
+QUERIES["alerts_by_series"] = q_alerts_by_series
+
+
 # ============================================================ CSV path
 def q_export_csv_roundtrip(spark, sf):
     """K6 -> S1-S4 -> P1-P7 -> A16: readings written as a device-style CSV

@@ -648,6 +648,28 @@ for _name, _sql in {
 register("stream_equals_batch", resample_mean_sql(US5))
 register("refresh_equals_batch", ORACLE["features"])
 register("refresh_late_pump", ORACLE["features"])
+register("stream_forecast_truth", JOIN_SQL)
+register("alerts_by_series", with_ctes([EV], f"""SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id, event_id ORDER BY a.grp) - 1 AS BIGINT) AS alert_ix,
+  a.type, a.severity, a.message FROM (
+  SELECT user_id, event_id, unnest([
+    CASE WHEN cur <= 39 THEN {{'grp': 1, 'type': 'sensor_extreme', 'severity': 'critical', 'message': 'Sensor reads LOW (≤39 mg/dL). Confirm with a fingerstick.'}}
+         WHEN cur >= 401 THEN {{'grp': 1, 'type': 'sensor_extreme', 'severity': 'critical', 'message': 'Sensor reads HIGH (≥401 mg/dL). Confirm with a fingerstick.'}} END,
+    CASE WHEN age > stale THEN {{'grp': 2, 'type': 'stale_data', 'severity': 'warn',
+         'message': 'No CGM reading in ' || {f0('age')} || ' min — predictions are based on outdated data.'}} END,
+    CASE WHEN pred < low THEN {{'grp': 3, 'type': 'predicted_low', 'severity': 'critical',
+         'message': 'Predicted ' || {f0('pred')} || ' mg/dL in 30 min (below ' || low || '). Consider pre-treating.'}}
+         WHEN pred > high THEN {{'grp': 3, 'type': 'predicted_high', 'severity': 'warn',
+         'message': 'Predicted ' || {f0('pred')} || ' mg/dL in 30 min (above ' || high || '). Possible correction window.'}} END,
+    CASE WHEN delta <= -fall THEN {{'grp': 4, 'type': 'predicted_drop', 'severity': 'warn',
+         'message': 'Predicted drop of ' || {f0('-delta')} || ' mg/dL in the next 30 min. Watch for an oncoming low.'}}
+         WHEN delta >= 60 THEN {{'grp': 4, 'type': 'predicted_rise', 'severity': 'info',
+         'message': 'Predicted rise of ' || {f0('delta')} || ' mg/dL in the next 30 min. Likely a carb-driven spike.'}} END]) AS a
+  FROM (SELECT user_id, event_id, value AS cur, value * k / 50.0 AS pred, (value * k / 50.0) - value AS delta,
+               (epoch_us(ts + to_minutes(k)) - epoch_us(ts)) / 60000000.0 AS age,
+               CASE WHEN user_id % 3 <> 0 THEN 40 + user_id % 50 ELSE 70 END AS low,
+               CASE WHEN user_id % 3 <> 0 AND user_id % 2 = 0 THEN 100 + user_id % 70 ELSE 250 END AS high,
+               CASE WHEN user_id % 3 <> 0 AND user_id % 5 = 0 THEN 30 ELSE 15 END AS stale,
+               CASE WHEN user_id % 3 <> 0 THEN 20 ELSE 50 END AS fall FROM ev WHERE event_type = 'view')) WHERE a IS NOT NULL"""))
 
 register("export_csv_roundtrip", with_ctes(BASE, f"""SELECT user_id, timestamp,
   {r6("CASE WHEN seq % 3 = 0 THEN 200.0 + seq % 7 WHEN glucose_mg_dl < 40 THEN 39.0 WHEN glucose_mg_dl > 400 THEN 401.0 ELSE glucose_mg_dl END")}
