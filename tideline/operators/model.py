@@ -107,8 +107,9 @@ def first_trees(spark, model: GBTRegressionModel, n: int) -> GBTRegressionModel:
         raise ValueError("a saved ensemble without a tree count")
     meta["numTrees"] = n
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/cut/metadata")
-    for part in ("data", "treesMetadata"):
-        spark.read.parquet(f"{path}/whole/{part}").filter(F.col("treeID") < n).write.parquet(f"{path}/cut/{part}")
+    for part in ("data", "treesMetadata"):  # the first column is the tree's number
+        rows = spark.read.parquet(f"{path}/whole/{part}")
+        rows.filter(F.col(rows.columns[0]) < n).write.parquet(f"{path}/cut/{part}")
     return GBTRegressionModel.load(f"{path}/cut")
 
 

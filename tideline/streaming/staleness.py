@@ -41,7 +41,7 @@ class SilenceTimer(StatefulProcessor):
             yield pd.DataFrame(rows, columns=[*self.series_cols, "last_ms", "now_ms"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = [int(m) for m in (b["_ms"].max() for b in rows) if pd.notna(m)]
+        seen = [int(m) for m in (b["reading_ms"].max() for b in rows) if pd.notna(m)]
         before = self.newest.get()
         if seen and (before is None or max(seen) > before[0]):
             for t in list(self.handle.listTimers()):
@@ -67,7 +67,7 @@ def watch(readings: DataFrame, *, series_cols: Sequence[str] = ("series_id",), t
     stale = {**al.DEFAULT_THRESHOLDS, **(thresholds or {})}["stale_minutes"]
     if event_time:
         readings = readings.withWatermark("timestamp", delay)
-    d = readings.select(*s, "timestamp", F.unix_millis("timestamp").alias("_ms"))
+    d = readings.select(*s, "timestamp", F.unix_millis("timestamp").alias("reading_ms"))
     schema = T.StructType([*[d.schema[c] for c in s], T.StructField("last_ms", T.LongType()), T.StructField("now_ms", T.LongType())])
     silent = d.groupBy(*s).transformWithStateInPandas(
         SilenceTimer(s, int(stale * 60_000), event_time), schema, outputMode="Update", timeMode="EventTime" if event_time else "ProcessingTime")
