@@ -6,9 +6,9 @@ Plan shape (per call):
    aggregation, so a high-rate series-day is small before it is dealt out;
    these sums, pump events, intervals, decay horizons and the grid extent
    (A6) become block-level segments (sparse: they grow with events).
-2. ONE repartition by (series, block), without a fixed partition count, so
-   AQE may merge or split; bins are generated, aggregated and forward
-   filled inside each block.
+2. ONE repartition by (series, block) into ``spark.sql.shuffle.partitions``
+   tasks (not merged by size: the rows multiply after it); bins are generated,
+   aggregated and forward filled inside each block.
 3. unbounded forward fills (J3, A4/W10) are seeded per block from a carry
    table with one row per series-block.
 
@@ -47,6 +47,10 @@ def grid_extent(readings: DataFrame, pump: DataFrame | None, series_cols: Sequen
                  F.bool_or("_riob").alias("has_real_iob")).filter("lo_ts is not null"))
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def grid_blocks(extent: DataFrame, series_cols: Sequence[str], freq_minutes: int,
                 bins_per_block: int) -> DataFrame:
     """(series, blk, lo_bin, hi_bin) for every block a series' grid touches."""
@@ -55,7 +59,7 @@ def grid_blocks(extent: DataFrame, series_cols: Sequence[str], freq_minutes: int
     e = extent.select(*series_cols, "has_real_iob", lo.alias("_lo"), hi.alias("_hi"))
     blocks = e.select("*", F.explode(F.sequence(block_of("_lo", bins_per_block),
                                                 block_of("_hi", bins_per_block))).alias(BLK))
-    return blocks.repartition(*series_cols, BLK)
+    return blocks.repartition(_tasks(blocks), *series_cols, BLK)
 
 
 def grid_from_blocks(blocks: DataFrame, series_cols: Sequence[str], bins_per_block: int) -> DataFrame:
@@ -196,7 +200,9 @@ def timeline_blocks(readings: DataFrame, pump: DataFrame | None = None,
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p, allowMissingColumns=True)
-    u = u.repartition(*s, FBLK)
+    # a fixed count: the segments are tiny, and merged by their size they would
+    # leave all bins, which come after the exchange, to a few tasks
+    u = u.repartition(_tasks(u), *s, FBLK)
     x = u.select("*", F.explode(F.sequence("_s0", "_s1")).alias(BIN))
     left = decay("_dose", F.col(BIN) * F.lit(freq_minutes) - F.col("_tmin"), tau_min)
     aggs = [F.bool_or("_grid").alias("_grid"), F.bool_or("has_real_iob").alias("has_real_iob"),
