@@ -40,6 +40,28 @@ def test_warc_payloads_come_back(spark, compression):
     assert back == {r.page_id: (r.url, r.html) for r in pages.collect()}
 
 
+def test_warc_copies_across_files_without_a_payload_in_the_shuffle(spark):
+    ids = [*range(40), (1 << 53) + 1]
+    text = {i: "hot " * 50 if i % 3 == 0 else f"page {i % 7} " * 30 for i in ids}
+    pages = spark.createDataFrame([(i, f"u{i}", t) for i, t in text.items()], "page_id long, url string, html string").repartition(5)
+    raw, final = shared_path(spark, "t"), shared_path(spark, "t")
+    warc.write_warc(warc.records(pages), raw, records_per_file=3)
+    todo = warc.decided_files(spark, raw)
+    assert todo.columns == ["file", "copies"] and todo.count() >= 14
+    assert todo.filter("size(copies) > 3").count() == 0
+    warc.dedup_archive(spark, raw, final, records_per_file=3)
+    back = {r.page_id: r for r in warc.read_warc(spark, final).collect()}
+    first = {}
+    for i in ids:
+        first.setdefault(text[i], i)
+    assert set(back) == set(ids)
+    for i in ids:
+        own = first[text[i]]
+        assert (back[i].refers_to, back[i].refers_url) == ((None, None) if own == i else (own, f"u{own}"))
+        assert back[i].payload == (text[i] if own == i else None) and back[i].url == f"u{i}"
+        assert back[i].payload_digest == hashlib.sha256(text[i].encode()).hexdigest()
+
+
 def test_warc_damage_is_an_error():
     with pytest.raises(ValueError):
         list(warc.parse(io.BytesIO(b"HTTP/1.1 200\r\n\r\n")))

@@ -4,17 +4,21 @@
 back. Records are written by Spark's own text writer (its committer makes a
 lost executor harmless): a record is its header block, its payload bytes and
 the two line ends that close it. Files are gzip streams, or plain with
-``compression=None``, of at most ``records_per_file`` records, which bounds what one
-reading task holds. Reading goes by Content-Length, so payloads may contain
+``compression=None``, of at most ``records_per_file`` records. Spark lists the
+files and deals them to tasks; a task streams through a file, so neither its
+bytes nor its records bound what is held: that is one record, or a batch of
+``batch_bytes``. Reading goes by Content-Length, so payloads may contain
 anything, and checks each payload against its recorded digest.
 
 ``dedup_archive`` resolves revisits: the headers alone are shuffled by payload
 digest (the smallest page id of a digest is its original; partial sums come
-first, so a digest that holds a third of all records is no hot spot), records
-join their originals by digest, and a new archive is written with fresh headers:
-originals as responses with payload, the others as revisit records without.
-``resolve_revisits`` reads such an archive's headers back and joins each
-revisit with the response that it refers to.
+first, so a digest that holds a third of all records is no hot spot) and joined
+with their originals. No payload crosses the network: the decisions on copies
+are gathered for each file (at most ``records_per_file`` of them), and the task
+that streams the file again writes a new archive with fresh headers: originals
+as responses with payload, copies as revisit records without. ``resolve_revisits``
+reads such an archive's headers back and joins each revisit with the response
+that it refers to.
 
 Defined results: null html is an empty payload; null page ids rank last and
 come back as null; of rows that share the smallest page id one is the
@@ -26,13 +30,14 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
+from .common import mounted, shared_path, stored
 
 EOL = "\r\n"
 DATE = "2020-01-01T00:00:00Z"
@@ -110,42 +115,77 @@ def _page_seq(record_id: str | None) -> tuple[int | None, int | None]:
     return (int(page) if page else None), int(seq)
 
 
+_LONGS = ["page_id", "seq", "payload_bytes", "refers_to", "refers_seq"]
 _FIELDS = ["page_id", "seq", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "refers_seq", "refers_url"]
-_SCHEMA = ("page_id long, seq long, url string, record_type string, payload_digest string, payload_bytes long, "
-           "refers_to long, refers_seq long, refers_url string")
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True, batch_bytes: int = 8 << 20) -> DataFrame:
-    """Records of all archives under ``path``. A revisit has no payload and no
-    ``payload_bytes`` of its own (see ``resolve_revisits``)."""
-    fields = _FIELDS + ["payload"] * payloads
+def _schema(fields: list[str]) -> str:
+    return ", ".join(f"{c} {'long' if c in _LONGS else 'string'}" for c in fields)
+
+
+def _batch(rows: list[tuple], fields: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int64() if c in _LONGS else pa.string() for c in fields]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=fields)
+
+
+def _opened(path: str) -> io.BufferedIOBase:
+    """A file of the shared folder as a stream: a mounted one, or one in a store that Arrow reads."""
+    if re.match(r"(?!file:)[a-zA-Z][a-zA-Z0-9+.-]*:", path):
+        from pyarrow import fs
+        store, name = fs.FileSystem.from_uri(path)
+        f = io.BufferedReader(store.open_input_stream(name, compression=None), 1 << 20)
+    else:
+        f = open(mounted(path), "rb", 1 << 20)
+    return gzip.GzipFile(fileobj=f) if f.peek(2)[:2] == b"\x1f\x8b" else f
+
+
+def _file_records(path: str, copies: dict[int, tuple], payloads: bool) -> Iterator[tuple[tuple, int]]:
+    """(row of ``_FIELDS`` and payload, bytes of the block) of each record of a file;
+    ``copies`` (seq -> page id, seq and url of the original) come out as revisits."""
+    with _opened(path) as stream:
+        for head, block in parse(stream):
+            kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha256:")
+            own = kind != "revisit"
+            if own and hashlib.sha256(block).hexdigest() != digest:
+                raise ValueError(f"payload of {head['warc-record-id']} does not match its digest")
+            page, seq = _page_seq(head["warc-record-id"])
+            refers = (*_page_seq(head.get("warc-refers-to")), head.get("warc-refers-to-target-uri"))
+            if seq in copies:
+                kind, refers = "revisit", copies[seq]
+            row = (page, seq, head.get("warc-target-uri"), kind, digest, len(block) if own else None, *refers)
+            yield row + ((block.decode("utf-8", "replace") if kind != "revisit" else None,) if payloads else ()), len(block)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """The archives under ``path``; their content is not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("path").alias("file"))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(rows: list) -> pd.DataFrame:
-            f = pd.DataFrame(rows, columns=fields)
-            return f.astype({c: "Int64" for c in ("page_id", "seq", "payload_bytes", "refers_to", "refers_seq")})
+def _records_of(files: DataFrame, payloads: bool, keep_file: bool = False, batch_bytes: int = 8 << 20) -> DataFrame:
+    """Records of files, each with the decisions in its column ``copies`` where there is one."""
+    fields = _FIELDS + ["payload"] * payloads + ["file"] * keep_file
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b["content"]:
-                raw = io.BytesIO(content)
+            for f in b.to_pylist():
+                copies = {c["seq"]: (c["o_page"], c["o_seq"], c["o_url"]) for c in f.get("copies") or ()}
                 rows, held = [], 0
-                for head, block in parse(gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw):
-                    kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha256:")
-                    own = kind != "revisit"
-                    if own and hashlib.sha256(block).hexdigest() != digest:
-                        raise ValueError(f"payload of {head['warc-record-id']} does not match its digest")
-                    row = (*_page_seq(head["warc-record-id"]), head.get("warc-target-uri"), kind, digest,
-                           len(block) if own else None, *_page_seq(head.get("warc-refers-to")), head.get("warc-refers-to-target-uri"))
-                    rows.append(row + ((block.decode("utf-8", "replace") if own else None,) if payloads else ()))
-                    held += len(block)
+                for row, size in _file_records(f["file"], copies, payloads):
+                    rows.append(row + (f["file"],) * keep_file)
+                    held += size
                     if held > batch_bytes or len(rows) >= 10_000:
-                        yield frame(rows)
+                        yield _batch(rows, fields)
                         rows, held = [], 0
                 if rows:
-                    yield frame(rows)
+                    yield _batch(rows, fields)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInPandas(run, _SCHEMA + ", payload string" * payloads)
+    return files.mapInArrow(run, _schema(fields))
+
+
+def read_warc(spark: SparkSession, path: str, payloads: bool = True, batch_bytes: int = 8 << 20) -> DataFrame:
+    """Records of all archives under ``path``. A revisit has no payload and no
+    ``payload_bytes`` of its own (see ``resolve_revisits``)."""
+    return _records_of(_files(spark, path), payloads, batch_bytes=batch_bytes)
 
 
 def originals(headers: DataFrame, min_bytes: int = 100) -> DataFrame:
@@ -157,19 +197,22 @@ def originals(headers: DataFrame, min_bytes: int = 100) -> DataFrame:
     return first.select(F.col("payload_digest").alias("o_digest"), F.col("refers_seq").alias("o_seq"))
 
 
-def dedup_archive(spark: SparkSession, source: str, target: str, min_bytes: int = 100, **how) -> None:
-    """Rewrite an archive of responses: copies become revisits of their original."""
-    headers = stored(read_warc(spark, source, payloads=False), "warc-headers")
+def decided_files(spark: SparkSession, source: str, min_bytes: int = 100) -> DataFrame:
+    """(file, copies): an archive's files with what their copies refer to, from headers alone."""
+    headers = stored(_records_of(_files(spark, source), payloads=False, keep_file=True), "warc-headers")
     heads = headers.alias("h").join(
         originals(headers, min_bytes).alias("f"), (F.col("h.payload_digest") == F.col("f.o_digest")) & (F.col("h.seq") == F.col("f.o_seq"))).select(
         "f.o_digest", F.col("h.page_id").alias("o_page"), "f.o_seq", F.col("h.url").alias("o_url"))
-    r, o = read_warc(spark, source).alias("r"), heads.alias("o")
-    copy = F.col("o.o_seq").isNotNull() & (F.col("r.seq") != F.col("o.o_seq"))
-    out = r.join(o, F.col("r.payload_digest") == F.col("o.o_digest"), "left").select(
-        "r.page_id", "r.seq", "r.url", F.when(copy, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
-        "r.payload_digest", "r.payload_bytes", F.when(copy, F.col("o.o_page")).alias("refers_to"),
-        F.when(copy, F.col("o.o_seq")).alias("refers_seq"), F.when(copy, F.col("o.o_url")).alias("refers_url"), "r.payload")
-    write_warc(out, target, **how)
+    copies = headers.join(heads, (F.col("payload_digest") == F.col("o_digest")) & (F.col("seq") != F.col("o_seq")))
+    by_file = copies.groupBy("file").agg(F.collect_list(F.struct("seq", "o_page", "o_seq", "o_url")).alias("copies"))
+    # a row a file, dealt out evenly: rows this small would otherwise be merged into one task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _files(spark, source).join(by_file, "file", "left").repartition(tasks)
+
+
+def dedup_archive(spark: SparkSession, source: str, target: str, min_bytes: int = 100, **how) -> None:
+    """Rewrite an archive of responses: copies become revisits of their original."""
+    write_warc(_records_of(decided_files(spark, source, min_bytes), payloads=True), target, **how)
 
 
 def resolve_revisits(headers: DataFrame) -> DataFrame:
