@@ -81,6 +81,7 @@ from ..operators import model as md  # noqa: E402
 from ..operators import quality as qa  # noqa: E402
 from ..operators import whatif as wi  # noqa: E402
 from ..sinks import writers as wr  # noqa: E402
+from ..sinks.compaction import AppendLog  # noqa: E402
 from ..sources import readers as rd  # noqa: E402
 
 NOW = "2024-01-30 00:00:00"
@@ -810,3 +811,38 @@ def q_export_csv_roundtrip(spark, sf):
 
 
 QUERIES["export_csv_roundtrip"] = q_export_csv_roundtrip
+
+
+def _compacted(spark, log, parts):
+    """Batches landed in turn, folded after the third and the last, vacuumed; then the second, long folded, runs again."""
+    for i, d in enumerate(parts):
+        wr.write_batch(d, log.path, i)
+        if i in (2, len(parts) - 1):
+            log.compact(spark)
+            log.vacuum(spark)
+    wr.write_batch(parts[1], log.path, 1)
+    return log
+
+
+def q_compacted_upsert(spark, sf):
+    """K2: five landed batches of revised readings, folded into dated generations
+    in two runs; the newest batch's row of each (series, time)."""
+    r = st.readings(spark, sf)
+    seq, late = F.col("seq"), F.col("timestamp") >= F.lit("2024-01-15").cast("timestamp")
+    given = [F.col("timestamp") < F.lit("2024-01-20").cast("timestamp"), late, seq % 17 == 0, seq % 5 == 1, seq % 3 == 0]
+    parts = [r.filter(c).withColumn("glucose_mg_dl", F.col("glucose_mg_dl") + F.lit(float(i))) for i, c in enumerate(given)]
+    log = AppendLog(_scratch(spark, "readings-log"), key_cols=(*S, "timestamp"), order_cols=("batch", "seq"), series_cols=S)
+    return finish(_compacted(spark, log, parts).view(spark).drop("date", "seq"))
+
+
+def q_compacted_alerts(spark, sf):
+    """K4: the alerts of ``alerts_retained`` landed in four batches; the log itself keeps the newest 10 of each series."""
+    f = st.forecast_rows(spark, sf)
+    a = al.detect(f, keep_cols=["user_id", "event_id", "current_timestamp"], now="now", thresholds={"low_mg_dl": 80.0})
+    a = a.withColumn("timestamp", F.date_trunc("day", "current_timestamp"))
+    log = AppendLog(_scratch(spark, "alerts-log"), keep=10, order_cols=("timestamp", "event_id", "alert_ix"), series_cols=S)
+    parts = [a.filter(F.pmod("event_id", F.lit(4)) == i) for i in range(4)]
+    return finish(_compacted(spark, log, parts).view(spark).select(*S, "event_id", "alert_ix", "type"))
+
+
+QUERIES |= {"compacted_upsert": q_compacted_upsert, "compacted_alerts": q_compacted_alerts}

@@ -705,6 +705,14 @@ register("alerts_retained", with_ctes([EV], """SELECT user_id, event_id, alert_i
       WHERE event_type = 'view' AND value * k / 50.0 - value >= 60)))
 WHERE rn <= 10"""))
 
+register("compacted_alerts", ORACLE["alerts_retained"])
+_LANDED = ["timestamp < TIMESTAMP '2024-01-20'", "timestamp >= TIMESTAMP '2024-01-15'", "seq % 17 = 0", "seq % 5 = 1", "seq % 3 = 0"]
+register("compacted_upsert", with_ctes(BASE, f"""SELECT user_id, timestamp, {r6('glucose_mg_dl')} AS glucose_mg_dl,
+  {r6('trend_arrow_encoded')} AS trend_arrow_encoded, CAST(batch AS BIGINT) AS batch
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, timestamp ORDER BY batch DESC, seq DESC) AS rn FROM (
+  {" UNION ALL ".join(f"SELECT user_id, timestamp, glucose_mg_dl + {i} AS glucose_mg_dl, trend_arrow_encoded, seq, {i} AS batch FROM rd WHERE {c}" for i, c in enumerate(_LANDED))}))
+WHERE rn = 1"""))
+
 # ---------------------------------------------------------- model queries
 US6H = 6 * US60  # the model queries' grid; every event's value is a reading
 _DENSE = RD.replace(" WHERE event_type = 'view'", "")
