@@ -1,9 +1,12 @@
 """op4, op6 and op7 against plain versions: loops over characters, rows and readings."""
 import itertools
 import math
+import os
 import random
 import re
 import struct
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -216,3 +219,29 @@ def test_viterbi_against_all_readings(spark):
                     assert deobfuscate.viterbi(places, model) in best_reading(places, model)[1], (core, word)
                     tried += 1
     assert tried > 400
+
+
+# ------------------------------------------------------------ workers without the package
+def test_operators_as_a_library_from_another_folder(tmp_path):
+    """Workers that were not started from the repository's folder get the package from the operator."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from tideline.session import build_session
+from tideline.llm import importance, langid, simhash_vp
+spark = build_session(master="local[2]", shuffle_partitions=2)
+docs = spark.createDataFrame([(i, "the old town by the sea " * 3 if i % 2 else "der alte Fluss und das Tal " * 3, "en" if i % 2 else "de") for i in range(20)],
+                             "doc_id long, text string, lang string")
+step = sys.argv[1]
+if step == "langid":
+    print(langid.predicted(docs, langid.train(docs)).filter("lang = lang_pred").count())
+elif step == "simhash":
+    print(simhash_vp.fingerprints(docs).select("fp").distinct().count() * 10)
+else:
+    print(importance.hashed_features(docs).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for step in ("langid", "simhash", "importance"):
+        done = subprocess.run([sys.executable, "-c", code, step], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+        assert done.stdout.split()[-1:] == ["20"], done.stderr[-2000:]

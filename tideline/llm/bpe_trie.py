@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .common import byte_symbols, free_name, or_empty, split_words
 from .packing import default_tokenizer
 
@@ -260,6 +261,7 @@ def _chunks(texts: list[str], chars: int = 1 << 22) -> Iterator[tuple[int, int]]
 def bpe_coded(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text", ids: str = "ids",
               decoded: str = "decoded", max_nodes: int = 700_000, max_words: int = 400_000) -> DataFrame:
     """``docs`` with the ids of each text (little-endian 32-bit) and the text decoded from them."""
+    ship_package(docs.sparkSession)
     ids = free_name(docs, ids)
     decoded = free_name(docs.withColumn(ids, F.lit(0)), decoded)
     text = free_name(docs, "__text")

@@ -35,6 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import or_empty, stored
 
 # fixed values: what a symbol can stand for
@@ -63,6 +64,7 @@ CACHE_WORDS = 800_000
 # ------------------------------------------------------------ character model
 def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(code, n): counts of character trigrams of all texts, gaps merged."""
+    ship_package(docs.sparkSession)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(K ** 3, dtype=np.int64)
         for b in batches:
@@ -373,6 +375,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score of every whole text."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # K**3 floats and the units, both bounded
     state: dict[str, Scorer] = {}
 
@@ -387,6 +390,7 @@ def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name:
 
 def restored_text(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "restored") -> DataFrame:
     """``docs`` with the decoded words of every text."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.characters)
     state: dict[str, Restorer] = {}
 

@@ -35,6 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import or_empty, stored
 
 #: bytes of a slice above which an array would have hardly a row and thousands of columns
@@ -143,6 +144,7 @@ def _hashed(texts: list[str], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def hashed_features(docs: DataFrame, buckets: int = 10_000, text_col: str = "text", id_col: str | None = "doc_id") -> DataFrame:
     """(id, n_words, n_features, buckets of the features as 16- or 32-bit integers)."""
+    ship_package(docs.sparkSession)
     width = "<u2" if buckets <= 1 << 16 else "<u4"
     ids = [F.col(id_col).cast("long").alias("doc_id")] if id_col else []
     names = ["doc_id"] * len(ids) + ["n_words", "n_features", "buckets"]

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import free_name, own_columns, stored
 
 UNKNOWN = "und"
@@ -120,6 +121,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_
           dimensions: int = DIMENSIONS, iterations: int = 30) -> LanguageModel:
     """Fit on the labelled rows of ``docs``: about ``rows_per_language`` different
     texts of each language, each once however many copies it has."""
+    ship_package(docs.sparkSession)
     from pyspark.ml.classification import LinearSVC, LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
@@ -162,6 +164,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_
 
 def predicted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # dimensions * (families + pairs) floats
 
     @F.pandas_udf("lang_pred string, score double")

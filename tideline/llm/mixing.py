@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import WORD_GAP, free_name, numbered_rows, or_empty, own_columns, stored
 
 
@@ -99,6 +100,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
              source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, sources, draws): every document with its size and block; every
     source with its size and target; every block draw with its output shard."""
+    ship_package(docs.sparkSession)
     rows = numbered_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                                      word_count(or_empty(text_col)).alias("size"), block_of(id_col, blocks, seed).alias("block")), "row")
     cells = stored(rows.groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import free_name, mounted, or_empty, own_columns, shared_path, stored
 from .elias_fano import EliasFano
 
@@ -290,6 +291,7 @@ class Trie:
 
 def build_trie(docs: DataFrame, text_col: str = "text", shard_tokens: int = 4_000_000, shard_words: int = 400_000) -> Trie:
     """The trie over all rows of ``docs``, in the shared folder."""
+    ship_package(docs.sparkSession)
     spark = docs.sparkSession
     root = mounted(shared_path(spark, "lm-trie"))
     os.makedirs(root, exist_ok=True)
@@ -456,6 +458,7 @@ class OpenTrie:
 
 def scored(docs: DataFrame, trie: Trie, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
+    ship_package(docs.sparkSession)
     state: dict[str, OpenTrie] = {}
 
     @F.pandas_udf("n_tokens long, n_known long, base_score double, score double")

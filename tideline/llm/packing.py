@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import byte_symbols, numbered, or_empty, split_words, stored
 
 _PLAIN = re.compile(r"([!-/:-@\[-`{-~]*)([^\W\d_]+)([!-/:-@\[-`{-~]*)")
@@ -126,6 +127,7 @@ class WordEncoder:
 def token_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None,
                  keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's tokens and one end token, cut only where longer than ``capacity``."""
+    ship_package(docs.sparkSession)
     end, width = np.asarray([end_id], dtype="<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .common import free_name, or_empty
 
 CHUNK_WORDS = 300_000
@@ -210,6 +211,7 @@ def search(docs: list[list[bytes]], min_words: int = 12) -> list[np.ndarray]:
 def periodic_runs(docs: DataFrame, min_words: int = 12, text_col: str = "text", runs: str = "runs",
                   rest: str = "collapsed") -> DataFrame:
     """``docs`` with the runs of each text and the text without their repeats."""
+    ship_package(docs.sparkSession)
     runs = free_name(docs, runs)
     rest = free_name(docs.withColumn(runs, F.lit(0)), rest)
     text = free_name(docs, "__text")

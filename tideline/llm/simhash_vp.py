@@ -42,6 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import free_name, numbered_rows, or_empty, own_columns, stored
 
 CHUNK = 1 << 16
@@ -69,6 +70,7 @@ def fingerprint(text: str, words_in_shingle: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, words_in_shingle: int = 4, seed: int = 42, id_col: str = "doc_id",
                  text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, fp) with ``fp`` the fingerprint as a signed long."""
+    ship_package(docs.sparkSession)
     @F.pandas_udf("long")
     def fp(b: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words_in_shingle, seed) for t in b], dtype=np.uint64).view(np.int64))
@@ -166,6 +168,7 @@ def links(fps: DataFrame, max_bits: int = 4, parts: int | None = None, sample: i
           shard_rows: int = 4096, max_depth: int = 12, seed: int = 42) -> DataFrame:
     """Links (a, b), a < b, between distinct fingerprints of ``fps`` (column
     ``fp``): enough of them to connect all that differ in <= ``max_bits`` bits."""
+    ship_package(fps.sparkSession)
     parts = parts or max_bits + 1
     radius, masks = max_bits // parts, slices(parts)
     n = fps.count()

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import mounted, shared_path, stored
 
 EOL = "\r\n"
@@ -163,6 +164,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def _records_of(files: DataFrame, payloads: bool, keep_file: bool = False, batch_bytes: int = 8 << 20) -> DataFrame:
     """Records of files, each with the decisions in its column ``copies`` where there is one."""
+    ship_package(files.sparkSession)
     fields = _FIELDS + ["payload"] * payloads + ["file"] * keep_file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
