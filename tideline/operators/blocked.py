@@ -9,7 +9,7 @@ A series is never one window partition: rows are keyed by
   block. Copies are flagged and dropped after the window.
 * unbounded "last non-null so far" fills use a carry-in per block: last
   value per block (a small table) -> running last over blocks -> in-block
-  running last seeded with it (see ``timeline._fill_forward``).
+  running last seeded with it (see ``timeline._grid_segments``).
 * ``previous_in_series`` and ``series_positions`` give the previous row
   and the row position of irregular rows with the same block trick.
 """

@@ -10,6 +10,7 @@ Row frames equal time frames because the timeline is a gapless grid.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,24 +94,33 @@ def timeline_features(readings: DataFrame, pump: DataFrame | None = None, treatm
     is never shuffled; only sparse event rows cross the network. Blocks
     of 3 days keep the halo copies (96 + 12 bins) near 12 % of the rows
     while still splitting any long or hot series into many tasks."""
-    from .timeline import timeline_blocks
+    from .timeline import filled_values, running_fills, timeline_blocks
     s = list(series_cols)
     lookback, lookahead = halo_sizes(grid_minutes)
     tb = timeline_blocks(readings, pump, treatments, series_cols=s, freq_minutes=grid_minutes,
-                         block_minutes=block_minutes, lookback=lookback, lookahead=lookahead, **timeline_kw)
-    return feature_select(tb, s, "_bin", ts_col="timestamp", with_labels=with_labels, grid_minutes=grid_minutes)
+                         block_minutes=block_minutes, lookback=lookback, lookahead=lookahead, fill=False,
+                         **timeline_kw)
+    return feature_select(tb, s, "_bin", ts_col="timestamp", with_labels=with_labels, grid_minutes=grid_minutes,
+                          fills=running_fills(block_window(s, "_bin")), filled=filled_values())
 
 
 def feature_select(d: DataFrame, s: list[str], b: str, *, ts_col: str = "timestamp", with_labels: bool = True,
-                   grid_minutes: int = GRID_MINUTES) -> DataFrame:
+                   grid_minutes: int = GRID_MINUTES, fills: dict | None = None,
+                   filled: dict | None = None) -> DataFrame:
     """All window features over (series, block) ordered by bin, halo rows dropped.
 
     Rolling sums, counts and means are prefix-sum differences
     (``run(t) - lag(run, n)``): Spark re-aggregates a sliding frame for
     every row (O(rows x width)) but keeps running sums incrementally, so
     two windowed selects over the same spec (one sort) replace the wide
-    frames. Only the sample std keeps a sliding frame.
+    frames. The sample std comes from runs of the narrowest width: a frame's
+    squares about its mean are those of its runs about theirs plus
+    ``n_i * (mean_i - mean)^2``, all non-negative, so nothing cancels.
+
+    ``fills`` (name -> window column) are taken in the first of the two
+    selects; ``filled`` are the input columns made from them.
     """
+    filled = filled or {}
     g_min = grid_minutes
     w = block_window(s, b)
     run_w = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -118,9 +128,6 @@ def feature_select(d: DataFrame, s: list[str], b: str, *, ts_col: str = "timesta
     carbs = F.coalesce(F.col("carbs_g"), F.lit(0.0))
     bolus = F.coalesce(F.col("bolus_units"), F.lit(0.0))
 
-    def rows(n):
-        return w.rowsBetween(-(n - 1), 0)
-
     first = {
         "_cg": F.sum(F.coalesce(g, F.lit(0.0))).over(run_w),
         "_cn": F.count(g).over(run_w),
@@ -129,32 +136,52 @@ def feature_select(d: DataFrame, s: list[str], b: str, *, ts_col: str = "timesta
         "_lc": F.last(F.when(carbs > 0, F.col(b)), True).over(run_w),
         "_lb": F.last(F.when(bolus > 0, F.col(b)), True).over(run_w),
     }
-    for k in sorted(set(LAG_STEPS) | set(DELTA_STEPS) | {n - 1 for n in ROLLING_STEPS}):
+    unit = min(ROLLING_STEPS)
+    if any(n % unit for n in ROLLING_STEPS):
+        raise ValueError("rolling widths must be multiples of the narrowest")
+    for k in sorted(set(LAG_STEPS) | set(DELTA_STEPS) | {n - 1 for n in ROLLING_STEPS} | set(range(1, unit))):
         first[f"_lag{k}"] = F.lag(g, k).over(w)
-    for n in ROLLING_STEPS:
-        first[f"_sd{n}"] = F.stddev_samp(g).over(rows(n))
     if with_labels:
         for k in HORIZON_STEPS:
             first[f"_lead{k}"] = F.lead(g, k).over(w)
-    p1 = d.select(*s, FBLK_COL, ts_col, HALO_COL, b, *INPUT_COLS, *[c.alias(n) for n, c in first.items()])
+    first.update(fills or {})
+    p1 = d.select(*d.columns, *[c.alias(n) for n, c in first.items()])
+    p1 = p1.select(*s, FBLK_COL, ts_col, HALO_COL, b, *[filled.get(c, F.col(c)).alias(c) for c in INPUT_COLS],
+                   *[n for n in first if n not in (fills or {})])
+    # the run of `unit` bins that ends here: how many values, their mean, squares about it
+    run = [g] + [F.col(f"_lag{k}") for k in range(1, unit)]
+
+    def total(terms):
+        return reduce(lambda a, c: a + c, terms)
+
+    p1 = p1.withColumn("_n", total([F.when(v.isNotNull(), 1).otherwise(0) for v in run]))
+    p1 = p1.withColumn("_m", F.when(F.col("_n") > 0, total([F.coalesce(v, F.lit(0.0)) for v in run]) / F.col("_n")))
+    p1 = p1.withColumn("_q", total([F.coalesce((v - F.col("_m")) * (v - F.col("_m")), F.lit(0.0)) for v in run]))
+    runs = {c: [F.col(c)] + [F.lag(c, k).over(w) for k in range(unit, max(ROLLING_STEPS), unit)]
+            for c in ("_n", "_m", "_q")}
 
     def window_sum(col: str, n: int):
         return F.col(col) - F.coalesce(F.lag(col, n).over(w), F.lit(0))
 
-    cols = {}
+    cols, p2 = {}, {}
     for k in LAG_STEPS:
         cols[f"glucose_lag_{k * g_min}m"] = F.col(f"_lag{k}")
     for k in DELTA_STEPS:
         cols[f"glucose_delta_{k * g_min}m"] = g - F.col(f"_lag{k}")
     for n in ROLLING_STEPS:
-        cnt = window_sum("_cn", n)
-        gate = cnt >= max(2, n // 2)
-        cols[f"glucose_mean_{n * g_min}m"] = F.when(gate, window_sum("_cg", n) / cnt)
-        cols[f"glucose_std_{n * g_min}m"] = F.when(gate, F.col(f"_sd{n}"))
+        p2[f"_cnt{n}"] = window_sum("_cn", n)
+        p2[f"_sum{n}"] = window_sum("_cg", n)
+        cols[f"glucose_mean_{n * g_min}m"] = F.col(f"_mean{n}")
+        cols[f"glucose_std_{n * g_min}m"] = F.sqrt(total(
+            [F.coalesce(F.col(f"_q{i}") + F.col(f"_n{i}") * (F.col(f"_m{i}") - F.col(f"_mean{n}"))
+                        * (F.col(f"_m{i}") - F.col(f"_mean{n}")), F.lit(0.0)) for i in range(n // unit)])
+            / F.when(F.col(f"_mean{n}").isNotNull(), F.col(f"_cnt{n}") - 1))
         cols[f"glucose_slope_{n * g_min}m"] = (g - F.col(f"_lag{n - 1}")) / F.lit(float(max(n - 1, 1)))
+    p2 |= {f"{c}{i}": v for c, lags in runs.items() for i, v in enumerate(lags)}
     for src, pfx, last in (("_cc", "carbs", "_lc"), ("_cb", "bolus", "_lb")):
         for n in SUM_STEPS:
-            cols[f"{pfx}_sum_{n * g_min}m"] = window_sum(src, n)
+            p2[f"{src}{n}"] = window_sum(src, n)
+            cols[f"{pfx}_sum_{n * g_min}m"] = F.col(f"{src}{n}")
         cols[f"minutes_since_{pfx}"] = F.least(
             F.lit(RECENCY_CAP_MIN),
             F.coalesce(((F.col(b) - F.col(last)) * F.lit(g_min)).cast("double"), F.lit(RECENCY_NONE_MIN)))
@@ -163,8 +190,11 @@ def feature_select(d: DataFrame, s: list[str], b: str, *, ts_col: str = "timesta
     if with_labels:
         for k, name in zip(HORIZON_STEPS, label_names(g_min)):
             labels[name] = F.col(f"_lead{k}")
-    out = p1.select(
-        *s, ts_col, HALO_COL,
+    out = p1.select("*", *[c.alias(n) for n, c in p2.items()]).filter(~F.col(HALO_COL))
+    out = out.select("*", *[F.when(F.col(f"_cnt{n}") >= max(2, n // 2), F.col(f"_sum{n}") / F.col(f"_cnt{n}"))
+                            .alias(f"_mean{n}") for n in ROLLING_STEPS])
+    return out.select(
+        *s, ts_col,
         g, "trend_arrow_encoded", "iob_units", "bolus_units", "basal_rate",
         F.col("is_suspended").cast("byte").alias("is_suspended"),
         F.col("control_iq_active").cast("byte").alias("control_iq_active"),
@@ -173,4 +203,3 @@ def feature_select(d: DataFrame, s: list[str], b: str, *, ts_col: str = "timesta
         *[c.alias(n) for n, c in cal.items()],
         *[c.alias(n) for n, c in labels.items()],
     )
-    return out.filter(~F.col(HALO_COL)).drop(HALO_COL)

@@ -9,8 +9,9 @@ Plan shape (per call):
 2. ONE repartition by (series, block) into ``spark.sql.shuffle.partitions``
    tasks (not merged by size: the rows multiply after it); bins are generated,
    aggregated and forward filled inside each block.
-3. unbounded forward fills (J3, A4/W10) are seeded per block from a carry
-   table with one row per series-block.
+3. unbounded forward fills (J3, A4/W10) run inside a block and are seeded by
+   the last value of earlier blocks, which travels as one more segment at the
+   block's first own bin: the dense rows are joined to nothing.
 
 No theta join and no per-series task: as-of (J3), interval stab (J4/J5)
 and decay projection (J6) are rewritten as bin expansion plus equi-keys.
@@ -117,7 +118,8 @@ def timeline_blocks(readings: DataFrame, pump: DataFrame | None = None,
                     block_minutes: int = 1440, bin_mode: str = "floor",
                     tau_min: float = IOB_TAU_MIN, horizon_min: int = IOB_HORIZON_MIN,
                     seq_col: str | None = "seq", ts_col: str = "timestamp",
-                    lookback: int = 0, lookahead: int = 0, reported: DataFrame | None = None) -> DataFrame:
+                    lookback: int = 0, lookahead: int = 0, reported: DataFrame | None = None,
+                    fill: bool = True) -> DataFrame:
     """The unified timeline keyed (series, _fblk, _bin) with halo rows
     (``_halo``) around each block, partitioned by (series, _fblk).
 
@@ -126,7 +128,9 @@ def timeline_blocks(readings: DataFrame, pump: DataFrame | None = None,
     bins are generated, aggregated and forward-filled inside each block.
 
     ``reported`` (series..., has_real_iob) tells which series report IOB where
-    ``pump`` is only a part of their events.
+    ``pump`` is only a part of their events. With ``fill=False`` basal rate and
+    IOB are left to a caller that has its own pass over the blocks
+    (``running_fills``, ``filled_values``).
     """
     s = list(series_cols)
     B = max(1, block_minutes // freq_minutes)
@@ -140,13 +144,8 @@ def timeline_blocks(readings: DataFrame, pump: DataFrame | None = None,
     def point(df, b, payload):
         return seg(df, b, b, payload)
 
-    # Grid extent per series -> one segment per series
-    extent = grid_extent(readings, pump, s, ts_col)
-    if reported is not None:
-        extent = extent.drop("has_real_iob").join(reported, s, "left").withColumn(
-            "has_real_iob", F.coalesce("has_real_iob", F.lit(False)))
-    parts = [seg(extent, floor_bin("lo_ts", freq_minutes), ceil_bin("hi_ts", freq_minutes),
-                 {"_grid": F.lit(True), "has_real_iob": F.col("has_real_iob")})]
+    # The grid of each block, and what earlier blocks leave for it
+    parts = [_grid_segments(readings, pump, reported, s, B, L, H, freq_minutes, fb, seq_col, ts_col)]
     # A1 readings (mean = sum / count, NULLs skipped)
     g, t = null_if_nan(F.col("glucose_mg_dl").cast("double")), null_if_nan(F.col("trend_arrow_encoded").cast("double"))
     binned = readings.groupBy(*s, fb(ts, freq_minutes).alias(BIN)).agg(
@@ -155,7 +154,6 @@ def timeline_blocks(readings: DataFrame, pump: DataFrame | None = None,
     has_pump = pump is not None
     if has_pump:
         et = F.col("event_type")
-        bol = pump.filter(et == "bolus")
         # One pass over the pump table: every event becomes 0-2 segments
         # (an array of same-typed structs, exploded), instead of one scan
         # per event kind.
@@ -212,65 +210,111 @@ def timeline_blocks(readings: DataFrame, pump: DataFrame | None = None,
         aggs += [F.sum("bolus_sum").alias("bolus_sum"), F.max("iob_max").alias("iob_max"),
                  F.sum(left).alias("iob_decay"), F.max("basal_v").alias("basal_v"),
                  F.bool_or("basal_p").alias("basal_p"), F.bool_or("susp").alias("susp"),
-                 F.bool_or("ciq").alias("ciq")]
+                 F.bool_or("ciq").alias("ciq"), F.max("seed_v").alias("seed_v"),
+                 F.bool_or("seed_p").alias("seed_p"), F.max("seed_i").alias("seed_i")]
     if treatments is not None:
         aggs.append(F.sum("carbs_sum").alias("carbs_sum"))
     m = x.groupBy(*s, FBLK, BIN).agg(*aggs).filter(F.coalesce(F.col("_grid"), F.lit(False)))
     if has_pump:
-        # J3 / A4+W10 unbounded forward fill: running last inside the block
-        # (halo included), seeded with the last value of earlier blocks
-        m = _fill_forward(m, bas, bol, extent, s, B, L, H, freq_minutes, fb, ts_col)
-        iob = F.when(F.col("has_real_iob"), F.coalesce("iob_f", F.lit(0.0))) \
-            .otherwise(F.coalesce("iob_decay", F.lit(0.0)))
-        pump_cols = [iob.alias("iob_units"), F.coalesce("bolus_sum", F.lit(0.0)).alias("bolus_units"),
-                     F.col("basal_f").getField("v").alias("basal_rate"),
+        pump_cols = [F.coalesce("bolus_sum", F.lit(0.0)).alias("bolus_units"),
                      F.coalesce("susp", F.lit(False)).alias("is_suspended"),
-                     F.coalesce("ciq", F.lit(False)).alias("control_iq_active")]
+                     F.coalesce("ciq", F.lit(False)).alias("control_iq_active"),
+                     F.coalesce("iob_decay", F.lit(0.0)).alias("iob_decay"),
+                     F.coalesce("iob_max", "seed_i").alias("_iob"),
+                     F.when(F.col("basal_p"), F.struct(F.col("basal_v").alias("v")))
+                      .when(F.col("seed_p"), F.struct(F.col("seed_v").alias("v"))).alias("_basal")]
     else:
-        pump_cols = [F.lit(0.0).alias("iob_units"), F.lit(0.0).alias("bolus_units"),
-                     F.lit(None).cast("double").alias("basal_rate"),
-                     F.lit(False).alias("is_suspended"), F.lit(False).alias("control_iq_active")]
+        pump_cols = [F.lit(0.0).alias("bolus_units"), F.lit(False).alias("is_suspended"),
+                     F.lit(False).alias("control_iq_active"), F.lit(0.0).alias("iob_decay"),
+                     F.lit(None).cast("double").alias("_iob"),
+                     F.lit(None).cast("struct<v:double>").alias("_basal")]
     carbs = F.coalesce("carbs_sum", F.lit(0.0)) if treatments is not None else F.lit(0.0)
     halo = (F.col(BIN) < F.col(FBLK) * F.lit(B)) | (F.col(BIN) > F.col(FBLK) * F.lit(B) + F.lit(B - 1))
-    return m.select(
+    m = m.select(
         *s, FBLK, BIN, halo.alias(HALO),
         bin_to_ts(BIN, freq_minutes).alias("timestamp"),
         F.try_divide(F.col("g_sum"), F.col("g_cnt")).alias("glucose_mg_dl"),
         F.try_divide(F.col("t_sum"), F.col("t_cnt")).alias("trend_arrow_encoded"),
-        *pump_cols, carbs.alias("carbs_g"))
-
-
-def _fill_forward(m: DataFrame, bas: DataFrame, bol: DataFrame, extent: DataFrame, s, B, L, H,
-                  freq_minutes, fb, ts_col) -> DataFrame:
-    """Seed per block = last non-null value in any earlier block (a table
-    with one row per series-block); in-block running ``last`` covers the
-    halo, so own rows are exact."""
+        *pump_cols, "has_real_iob", carbs.alias("carbs_g"))
+    if not fill:
+        return m
+    f = m.select("*", *[c.alias(n) for n, c in running_fills(Window.partitionBy(*s, FBLK).orderBy(BIN)).items()])
+    v = filled_values()
+    return f.select(*s, FBLK, BIN, HALO, "timestamp", "glucose_mg_dl", "trend_arrow_encoded",
+                    v["iob_units"].alias("iob_units"), "bolus_units", v["basal_rate"].alias("basal_rate"),
+                    "is_suspended", "control_iq_active", "carbs_g")
+
+
+def running_fills(w) -> dict[str, Column]:
+    """J3 / A4+W10 inside a block of ``timeline_blocks(fill=False)``: the
+    running last basal sample and reported IOB over the block window ``w``
+    (series and block, by bin). Exact for a block's own rows."""
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    return {"_rb": F.last("_basal", True).over(run), "_ri": F.last("_iob", True).over(run)}
+
+
+def filled_values() -> dict[str, Column]:
+    """The timeline's two filled columns from those of ``running_fills``."""
+    return {"iob_units": F.when(F.col("has_real_iob"), F.coalesce("_ri", F.lit(0.0))).otherwise(F.col("iob_decay")),
+            "basal_rate": F.col("_rb").getField("v")}
+
+
+def _grid_segments(readings: DataFrame, pump: DataFrame | None, reported: DataFrame | None, s, B, L, H,
+                   freq_minutes, fb, seq_col, ts_col) -> DataFrame:
+    """One segment of grid bins for every block that a series' extent
+    touches, halo included, and for every block with an earlier basal sample
+    or IOB report one segment on its first own bin that holds the last of
+    each (``seed_*``).
+
+    The pump events are read once, down to a row per series-block (extent,
+    newest basal sample, last reported IOB: of several in a bin the largest);
+    a window over these rows gives each the state it leaves to the blocks up
+    to the series' next one with events.
+    """
     ts = F.col(ts_col)
-    pts = (bas.select(*s, block_of(BIN, B).alias(FBLK),
-                      F.struct(F.col(BIN).alias("b"), F.struct(F.col("basal_v").alias("v")).alias("x")).alias("bv"),
-                      F.lit(None).cast("struct<b:bigint,x:double>").alias("iv"))
-           .unionByName(bol.filter(F.col("iob_units").isNotNull()).select(
-               *s, block_of(fb(ts, freq_minutes), B).alias(FBLK),
-               F.lit(None).cast("struct<b:bigint,x:struct<v:double>>").alias("bv"),
-               F.struct(fb(ts, freq_minutes).alias("b"), F.col("iob_units").alias("x")).alias("iv"))))
-    # NB: several IOB reports in one bin -> the bin value is their max (A4)
-    summ = pts.groupBy(*s, FBLK).agg(F.max("bv").alias("bv"), F.max("iv").alias("iv_last"))
-    iob_bin = pts.filter(F.col("iv").isNotNull()).groupBy(*s, FBLK, F.col("iv.b").alias("_b")) \
-        .agg(F.max("iv.x").alias("_ix"))
-    last_iob = iob_bin.groupBy(*s, FBLK).agg(F.max(F.struct("_b", "_ix")).alias("il"))
-    blocks = extent.select(*s, F.explode(F.sequence(
-        block_of(floor_bin("lo_ts", freq_minutes) - F.lit(H), B),
-        block_of(ceil_bin("hi_ts", freq_minutes) + F.lit(L), B))).alias(FBLK))
-    wb = Window.partitionBy(*s).orderBy(FBLK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (blocks.join(summ.drop("iv_last"), s + [FBLK], "left").join(last_iob, s + [FBLK], "left")
-             .select(*s, FBLK, F.last(F.col("bv.x"), True).over(wb).alias("_cb"),
-                     F.last(F.col("il._ix"), True).over(wb).alias("_ci")))
-    w = Window.partitionBy(*s, FBLK).orderBy(BIN).rowsBetween(Window.unboundedPreceding, 0)
-    basal = F.when(F.col("basal_p"), F.struct(F.col("basal_v").alias("v")))
-    f = m.select("*", F.last(basal, True).over(w).alias("_rb"), F.last("iob_max", True).over(w).alias("_ri"))
-    f = f.join(carry, s + [FBLK], "left")
-    return f.select(*[c for c in m.columns], F.coalesce("_rb", "_cb").alias("basal_f"),
-                    F.coalesce("_ri", "_ci").alias("iob_f"))
+    known = readings.filter(ts.isNotNull()).groupBy(*s).agg(F.min(ts).alias("lo_ts"), F.max(ts).alias("hi_ts"))
+    lo, hi = floor_bin("lo_ts", freq_minutes), ceil_bin("hi_ts", freq_minutes)
+    if pump is None:
+        e = known.select(*s, lo.alias("_lo"), hi.alias("_hi"), F.lit(False).alias("_riob"))
+        spans = [F.struct(block_of("_lo", B).alias("f0"), block_of("_hi", B).alias("f1"), F.lit(True).alias("_grid"))]
+    else:
+        et = F.col("event_type")
+        basal, tells = et == "basal", (et == "bolus") & F.col("iob_units").isNotNull()
+        seq = F.col(seq_col) if seq_col and seq_col in pump.columns else F.lit(0).cast("long")
+        b = F.when(basal, ceil_bin(ts, freq_minutes)).otherwise(fb(ts, freq_minutes))
+        days = pump.filter(ts.isNotNull()).groupBy(*s, block_of(b, B).alias("_b")).agg(
+            F.min(ts).alias("lo_ts"), F.max(ts).alias("hi_ts"), F.bool_or(tells).alias("_riob"),
+            F.max(F.when(basal, F.struct(micros(ts).alias("us"), seq.alias("seq"), F.col("value").alias("v")))).alias("_bv"),
+            F.max(F.when(tells, F.struct(b.alias("b"), F.col("iob_units").alias("x")))).alias("_iv"))
+        d = days.unionByName(known, allowMissingColumns=True)
+        whole = Window.partitionBy(*s)
+        w = whole.orderBy("_b")  # the readings' row has no block and comes first
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        e = d.select(*s, "_b", F.lead("_b").over(w).alias("_next"), (F.row_number().over(w) == 1).alias("_first"),
+                     F.last("_bv", True).over(run).alias("_bv"), F.last("_iv", True).over(run).alias("_iv"),
+                     F.min("lo_ts").over(whole).alias("lo_ts"), F.max("hi_ts").over(whole).alias("hi_ts"),
+                     F.coalesce(F.bool_or("_riob").over(whole), F.lit(False)).alias("_riob"))
+        e = e.select("*", lo.alias("_lo"), hi.alias("_hi"))
+        last = block_of("_hi", B)
+        spans = [F.when(F.col("_first"), F.struct(block_of("_lo", B).alias("f0"), last.alias("f1"),
+                                                  F.lit(True).alias("_grid"))),
+                 F.when(F.col("_bv").isNotNull() | F.col("_iv").isNotNull(),
+                        F.struct((F.col("_b") + F.lit(1)).alias("f0"), F.coalesce("_next", last).alias("f1"),
+                                 F.lit(False).alias("_grid")))]
+    if reported is not None:
+        e = e.drop("_riob").join(reported.select(*s, F.col("has_real_iob").alias("_riob")), s, "left")
+    e = e.select("*", F.inline(F.array_compact(F.array(*spans)))).filter("f1 >= f0")
+    e = e.select("*", F.explode(F.sequence("f0", "f1")).alias(FBLK))
+    grid, first = F.col("_grid"), F.col(FBLK) * F.lit(B)
+    cols = [F.when(grid, F.greatest(F.col("_lo"), first - F.lit(L))).otherwise(first).alias("_s0"),
+            F.when(grid, F.least(F.col("_hi"), first + F.lit(B - 1 + H))).otherwise(first).alias("_s1"),
+            F.when(grid, F.lit(True)).alias("_grid"),
+            F.when(grid, F.coalesce("_riob", F.lit(False))).alias("has_real_iob")]
+    if pump is not None:
+        cols += [F.when(~grid, F.col("_bv.v")).alias("seed_v"),
+                 F.when(~grid & F.col("_bv").isNotNull(), F.lit(True)).alias("seed_p"),
+                 F.when(~grid, F.col("_iv.x")).alias("seed_i")]
+    return e.select(*s, FBLK, *cols)
 
 
 def unified_timeline(readings: DataFrame, pump: DataFrame | None = None,
