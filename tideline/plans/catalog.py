@@ -846,3 +846,90 @@ def q_compacted_alerts(spark, sf):
 
 
 QUERIES |= {"compacted_upsert": q_compacted_upsert, "compacted_alerts": q_compacted_alerts}
+
+
+# ============================================================ five-minute quality, stored and live forms
+def q_profile_nulls_5m(spark, sf):
+    """Null profile of the five-minute timeline."""
+    return finish(qa.profile(timeline(spark, sf).drop("user_id")))
+
+
+def q_activity_summary_5m(spark, sf):
+    """A9 per series over the five-minute timeline."""
+    return finish(qa.activity_summary(timeline(spark, sf), series_cols=S))
+
+
+def q_event_markers_5m(spark, sf):
+    """Five-minute bins with a bolus or a suspension."""
+    return finish(qa.event_markers(timeline(spark, sf)).select(*S, "timestamp", "bolus_units", "is_suspended"))
+
+
+def q_treatments_quarantine(spark, sf):
+    """K5: treatments with bad kinds, negative or missing carbs and missing times;
+    the valid ones come back from the table they were appended to."""
+    t, n = st.manual_treatments(spark, sf), F.col("seq")
+    t = t.withColumns({"timestamp": F.when(n % 11 != 0, F.col("timestamp")),
+                       "kind": F.when(n % 5 == 0, "walk").when(n % 13 != 0, F.col("kind")),
+                       "carbs_g": F.when(n % 7 == 0, -F.col("carbs_g")).when(n % 3 != 0, F.col("carbs_g"))})
+    path = _scratch(spark, "treatments")
+    bad = wr.append_treatments(t, path, now=F.lit("2024-02-01").cast("timestamp"))
+    both = spark.read.parquet(path).unionByName(bad, allowMissingColumns=True)
+    return finish(both.select(*S, "timestamp", "kind", "carbs_g", "reason", F.col("reason").isNull().alias("stored")))
+
+
+def q_stored_window(spark, sf):
+    """Readings stored as FLOAT, read back under their declared schema
+    beside a table that isn't there, the ten days before 20 January."""
+    from datetime import datetime
+
+    path = _scratch(spark, "readings-float")
+    small = wr.to_storage_types(st.readings(spark, sf))
+    small.write.parquet(path)
+    both = rd.read_parquet_or_empty(spark, path, small.schema).unionByName(
+        rd.read_parquet_or_empty(spark, f"{path}-absent", small.schema))
+    return finish(rd.in_window(both, *rd.window_bounds(end=datetime(2024, 1, 20), default_days=10)))
+
+
+def q_summary_lines(spark, sf):
+    """A text line for the newest forecast of each series, with its alerts."""
+    f = clean.keep_last(st.forecast_rows(spark, sf), S, ["current_timestamp", "event_id"])
+    a = al.detect(f, keep_cols=S, now="now")
+    none = al.alerts_frame(spark, S).withColumns({"user_id": F.col("user_id").cast("long"), "alert_ix": F.lit(None).cast("long")})
+    a = a.unionByName(none.select(*a.columns))
+    return al.summary_line(f.withColumn("as_of", F.col("current_timestamp")), a, S)
+
+
+def q_stream_stale_series(spark, sf):
+    """The readings streamed past a timer for each series; the series that
+    stopped more than 15 minutes before the newest reading of all."""
+    from ..streaming import staleness
+
+    raw = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema) \
+        .option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = raw.filter(F.col("event_type") == "view").select("user_id", F.col("ts").cast("timestamp").alias("timestamp"))
+    out = _scratch(spark, "stale")
+    alerts = staleness.watch(stream, series_cols=S, event_time=True)
+    q = alerts.writeStream.outputMode("update").foreachBatch(
+        lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).option(
+        "checkpointLocation", _scratch(spark, "stale-log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).select(*S, "type", "severity", "message")
+
+
+def q_model_reload_check(spark, sf):
+    """M4: the saved and reloaded pipeline keeps the feature order and predicts every row alike."""
+    model, cols, _ = fitted_model(spark, sf)
+    path = _scratch(spark, "model")
+    md.save(model, path)
+    again = md.load(path)
+    x = model.transform(model_features(spark, sf)).withColumnRenamed("prediction", "_before").drop(
+        "features", *[f"_f_{c}" for c in cols])
+    y = again.transform(x)
+    return finish(y.groupBy(*S).agg(F.count("*").alias("n_rows"), F.count_if(F.col("prediction") == F.col("_before")).alias("n_same"),
+                                    F.first(F.lit(md.model_feature_cols(again) == cols)).alias("same_features")))
+
+
+QUERIES |= {"profile_nulls_5m": q_profile_nulls_5m, "activity_summary_5m": q_activity_summary_5m,
+            "event_markers_5m": q_event_markers_5m, "treatments_quarantine": q_treatments_quarantine,
+            "stored_window": q_stored_window, "summary_lines": q_summary_lines,
+            "stream_stale_series": q_stream_stale_series, "model_reload_check": q_model_reload_check}

@@ -257,21 +257,23 @@ FROM rd GROUP BY user_id""")
 _PROFILE_COLS = ["timestamp"] + TL_COLS
 
 
-def profile_sql() -> str:
+def profile_sql(us: int = US60) -> str:
     aggs = ", ".join(f"count({c}) AS c{i}" for i, c in enumerate(_PROFILE_COLS))
     parts = [f"SELECT n AS n_rows, CAST({len(_PROFILE_COLS)} AS BIGINT) AS n_columns, mn AS min_ts, mx AS max_ts, "
              f"'{c}' AS column_name, n - c{i} AS null_count, c{i} AS non_null FROM a"
              for i, c in enumerate(_PROFILE_COLS)]
-    return with_ctes(timeline_ctes(US60) + [
+    return with_ctes(timeline_ctes(us) + [
         f"a AS (SELECT count(*) AS n, min(timestamp) AS mn, max(timestamp) AS mx, {aggs} FROM tl)"],
         "\nUNION ALL\n".join(parts))
 
 
-ACTIVITY_SQL = with_ctes(timeline_ctes(US60), f"""SELECT user_id, {r6('sum(bolus_units)')} AS total_bolus_units,
+def activity_sql(us: int = US60) -> str:
+    return with_ctes(timeline_ctes(us), f"""SELECT user_id, {r6('sum(bolus_units)')} AS total_bolus_units,
   {r6('max(iob_units)')} AS max_iob_units, CAST(count_if(is_suspended) AS BIGINT) AS suspended_bins,
   CAST(count_if(control_iq_active) AS BIGINT) AS control_iq_bins
 FROM tl GROUP BY user_id""")
 
+
 VALUE_COUNTS_SQL = with_ctes(BASE, """SELECT 'event_type' AS field, event_type AS value, count(*) AS n FROM pump GROUP BY ALL
 UNION ALL SELECT 'source', source, count(*) FROM tr GROUP BY ALL""")
 
@@ -540,8 +542,13 @@ TOPK_SERIES_SQL = with_ctes(BASE, f"""SELECT {_RD_OUT}, rank FROM (
 WHERE rank <= 3""")
 DATE_FILTER_SQL = with_ctes(BASE, f"""SELECT {_RD_OUT} FROM rd
 WHERE timestamp >= TIMESTAMP '2024-01-10' AND timestamp < TIMESTAMP '2024-01-13'""")
-MARKERS_SQL = with_ctes(timeline_ctes(US60), f"""SELECT user_id, timestamp, {r6('bolus_units')} AS bolus_units, is_suspended
+
+
+def markers_sql(us: int = US60) -> str:
+    return with_ctes(timeline_ctes(us), f"""SELECT user_id, timestamp, {r6('bolus_units')} AS bolus_units, is_suspended
 FROM tl WHERE bolus_units > 0 OR is_suspended""")
+
+
 DERIVE_SQL = with_ctes(BASE, f"""SELECT user_id, timestamp, 'meal' AS kind, {r6('carbs_g')} AS carbs_g, '' AS notes,
   'tandem_bolus' AS source FROM pump WHERE event_type = 'bolus' AND carbs_g IS NOT NULL AND carbs_g > 0""")
 
@@ -614,7 +621,7 @@ for _name, _sql in {
     "grid_regularity": REGULARITY_SQL,
     "time_in_range": TIR_SQL,
     "profile_nulls": profile_sql(),
-    "activity_summary": ACTIVITY_SQL,
+    "activity_summary": activity_sql(),
     "value_counts": VALUE_COUNTS_SQL,
     "keep_last_dedupe": KEEP_LAST_SQL,
     "keep_first_dedupe": KEEP_FIRST_SQL,
@@ -637,7 +644,7 @@ for _name, _sql in {
     "topk_recent": TOPK_SQL,
     "topk_recent_per_series": TOPK_SERIES_SQL,
     "date_filter": DATE_FILTER_SQL,
-    "event_markers": MARKERS_SQL,
+    "event_markers": markers_sql(),
     "derive_treatments": DERIVE_SQL,
     "union_pump_streams": PUMP_STREAMS_SQL,
     "first_truthy": FIRST_TRUTHY_SQL,
@@ -754,3 +761,39 @@ ORDER BY md5('0|' || user_id || '|' || epoch_us(timestamp)), user_id, timestamp
 register("drift_from_metrics", with_ctes(DRIFT_BASE + [TRAILING], f"""SELECT user_id, n_scored, {r6('mae_24h')} AS mae_24h,
   (__N_TEST__) AS n_test, true AS trained, true AS ratio_adds_up FROM tm""").replace("__N_TEST__", with_ctes(
       MODEL_FT + [_PARTS], "SELECT count(target_30m) FROM parts WHERE split = 'test'")))
+
+register("profile_nulls_5m", profile_sql(US5))
+register("activity_summary_5m", activity_sql(US5))
+register("event_markers_5m", markers_sql(US5))
+
+register("treatments_quarantine", with_ctes([EV], f"""SELECT user_id, timestamp, kind, {r6('carbs_g')} AS carbs_g, reason, reason IS NULL AS stored
+FROM (SELECT *, CASE WHEN kind IS NULL OR kind = 'walk' THEN 'bad_kind' WHEN carbs_g < 0 THEN 'negative_carbs' END AS reason
+      FROM (SELECT user_id, CASE WHEN event_id % 11 = 0 THEN TIMESTAMP '2024-02-01' ELSE ts END AS timestamp,
+                   CASE WHEN event_id % 5 = 0 THEN 'walk' WHEN event_id % 13 <> 0 THEN 'snack' END AS kind,
+                   coalesce(CASE WHEN event_id % 7 = 0 THEN -value WHEN event_id % 3 <> 0 THEN value END, 0.0) AS carbs_g
+            FROM ev WHERE event_type = 'error'))"""))
+
+register("stored_window", with_ctes(BASE, f"""SELECT user_id, timestamp, {r6('CAST(glucose_mg_dl AS FLOAT)')} AS glucose_mg_dl,
+  {r6('trend_arrow_encoded')} AS trend_arrow_encoded, seq
+FROM rd WHERE timestamp >= TIMESTAMP '2024-01-10' AND timestamp <= TIMESTAMP '2024-01-20'"""))
+
+# the newest forecast of each series in one line, with what the alerts oracle says of it
+register("summary_lines", f"""SELECT user_id, 'as_of=' || {TS_TEXT} || '  current=' || {f0('cur')} || '  predict_30m=' || {f0('pred')}
+    || '  Δ=' || CASE WHEN pred - cur >= 0 THEN '+' ELSE '' END || {f0('pred - cur')}
+    || coalesce('  alerts: ' || (SELECT string_agg(severity || ':' || type, ', ' ORDER BY alert_ix)
+                                 FROM ({ORACLE["alerts"]}) a WHERE a.user_id = n.user_id AND a.event_id = n.event_id), '') AS summary
+FROM (SELECT user_id, event_id, ts AS cts, value AS cur, value * k / 50.0 AS pred,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+      FROM (SELECT event_id, user_id, event_type, value, CAST(ts AS TIMESTAMP) AS ts,
+                   TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+      WHERE event_type = 'view') n
+WHERE rn = 1""")
+
+register("stream_stale_series", with_ctes([EV], f"""SELECT user_id, 'stale_data' AS type, 'warn' AS severity,
+  'No CGM reading in ' || {f0('(now_ms - last_ms) / 60000.0')} || ' min — predictions are based on outdated data.' AS message
+FROM (SELECT user_id, epoch_ms(max(ts)) AS last_ms, (SELECT epoch_ms(max(ts)) FROM ev WHERE event_type = 'view') AS now_ms
+      FROM ev WHERE event_type = 'view' GROUP BY user_id)
+WHERE last_ms + 15 * 60000 < now_ms"""))
+
+register("model_reload_check", with_ctes(MODEL_FT, """SELECT user_id, count(*) AS n_rows, count(*) AS n_same, true AS same_features
+FROM ft GROUP BY user_id"""))
