@@ -133,3 +133,33 @@ def test_series_are_independent(spark):
                               "trend_arrow_encoded double, seq long")
     out = unified_timeline(r).groupBy("series_id").count().collect()
     assert {x["series_id"]: x["count"] for x in out} == {"a": 1, "b": 1}
+
+
+def test_fills_cross_blocks_without_events(spark):
+    """Basal (a NULL newest sample included) and reported IOB reach blocks days after
+    the last event; of several reports in one bin the largest is carried."""
+    day = 1440
+    r = readings(spark, [(0, 0, 100.0), (9 * day, 0, 110.0)])
+    p = pump(spark, [(10, 0, "basal", 0.8, 5.0, None), (2 * day, 0, "basal", None, 5.0, None),
+                     (day + 1, 0, "bolus", 1.0, 0.0, 3.5), (day + 2, 0, "bolus", 1.0, 0.0, 2.0),
+                     (6 * day, 0, "basal", 1.1, 5.0, None), (3 * day, 0, "suspend", 0.0, 20.0, None)])
+    for block in (120, 1440, 4320):
+        out = tl_dict(unified_timeline(r, p, block_minutes=block))
+        assert len(out) == 9 * day // 5 + 1
+        assert [out[ts(m)]["basal_rate"] for m in (5, 10, 2 * day - 5, 2 * day, 5 * day, 6 * day, 9 * day)] == [
+            None, 0.8, 0.8, None, None, 1.1, 1.1]
+        assert [out[ts(m)]["iob_units"] for m in (0, day - 5, day, 4 * day, 9 * day)] == [0.0, 0.0, 3.5, 3.5, 3.5]
+
+
+def test_dense_rows_are_joined_to_nothing(spark, tmp_path):
+    """The grid has one exchange and no join; each of the inputs is scanned for its
+    own aggregates only (readings 2, pump 3, treatments 1)."""
+    r = readings(spark, [(0, 0, 100.0), (600, 0, 110.0)])
+    p = pump(spark, [(10, 0, "basal", 0.8, 5.0, None), (20, 0, "bolus", 1.0, 0.0, None)])
+    t = r.selectExpr("series_id", "timestamp", "glucose_mg_dl AS carbs_g")
+    ins = []
+    for name, df in (("r", r), ("p", p), ("t", t)):
+        df.write.parquet(str(tmp_path / name))
+        ins.append(spark.read.parquet(str(tmp_path / name)))
+    plan = unified_timeline(*ins)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan parquet") == 6

@@ -109,13 +109,13 @@ def feature_select(d: DataFrame, s: list[str], b: str, *, ts_col: str = "timesta
                    filled: dict | None = None) -> DataFrame:
     """All window features over (series, block) ordered by bin, halo rows dropped.
 
-    Rolling sums, counts and means are prefix-sum differences
-    (``run(t) - lag(run, n)``): Spark re-aggregates a sliding frame for
-    every row (O(rows x width)) but keeps running sums incrementally, so
-    two windowed selects over the same spec (one sort) replace the wide
-    frames. The sample std comes from runs of the narrowest width: a frame's
-    squares about its mean are those of its runs about theirs plus
-    ``n_i * (mean_i - mean)^2``, all non-negative, so nothing cancels.
+    Spark re-aggregates a sliding frame for every row (O(rows x width)), so
+    two windowed selects over the same spec (one sort) replace the frames.
+    Rolling sums of carbs and boluses are prefix-sum differences
+    (``run(t) - lag(run, n)``). Means and sample stds come from lagged runs of
+    the narrowest width: a frame's squares about its mean are those of its
+    runs about theirs plus ``n_i * (mean_i - mean)^2``, all non-negative, so
+    nothing cancels.
 
     ``fills`` (name -> window column) are taken in the first of the two
     selects; ``filled`` are the input columns made from them.
@@ -129,8 +129,6 @@ def feature_select(d: DataFrame, s: list[str], b: str, *, ts_col: str = "timesta
     bolus = F.coalesce(F.col("bolus_units"), F.lit(0.0))
 
     first = {
-        "_cg": F.sum(F.coalesce(g, F.lit(0.0))).over(run_w),
-        "_cn": F.count(g).over(run_w),
         "_cc": F.sum(carbs).over(run_w),
         "_cb": F.sum(bolus).over(run_w),
         "_lc": F.last(F.when(carbs > 0, F.col(b)), True).over(run_w),
@@ -148,17 +146,18 @@ def feature_select(d: DataFrame, s: list[str], b: str, *, ts_col: str = "timesta
     p1 = d.select(*d.columns, *[c.alias(n) for n, c in first.items()])
     p1 = p1.select(*s, FBLK_COL, ts_col, HALO_COL, b, *[filled.get(c, F.col(c)).alias(c) for c in INPUT_COLS],
                    *[n for n in first if n not in (fills or {})])
-    # the run of `unit` bins that ends here: how many values, their mean, squares about it
+    # the run of `unit` bins that ends here: how many values, their sum, squares about their mean
     run = [g] + [F.col(f"_lag{k}") for k in range(1, unit)]
 
     def total(terms):
         return reduce(lambda a, c: a + c, terms)
 
     p1 = p1.withColumn("_n", total([F.when(v.isNotNull(), 1).otherwise(0) for v in run]))
-    p1 = p1.withColumn("_m", F.when(F.col("_n") > 0, total([F.coalesce(v, F.lit(0.0)) for v in run]) / F.col("_n")))
+    p1 = p1.withColumn("_s", total([F.coalesce(v, F.lit(0.0)) for v in run]))
+    p1 = p1.withColumn("_m", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")))
     p1 = p1.withColumn("_q", total([F.coalesce((v - F.col("_m")) * (v - F.col("_m")), F.lit(0.0)) for v in run]))
     runs = {c: [F.col(c)] + [F.lag(c, k).over(w) for k in range(unit, max(ROLLING_STEPS), unit)]
-            for c in ("_n", "_m", "_q")}
+            for c in ("_n", "_s", "_q")}
 
     def window_sum(col: str, n: int):
         return F.col(col) - F.coalesce(F.lag(col, n).over(w), F.lit(0))
@@ -169,13 +168,11 @@ def feature_select(d: DataFrame, s: list[str], b: str, *, ts_col: str = "timesta
     for k in DELTA_STEPS:
         cols[f"glucose_delta_{k * g_min}m"] = g - F.col(f"_lag{k}")
     for n in ROLLING_STEPS:
-        p2[f"_cnt{n}"] = window_sum("_cn", n)
-        p2[f"_sum{n}"] = window_sum("_cg", n)
+        off = [F.col(f"_s{i}") / F.col(f"_n{i}") - F.col(f"_mean{n}") for i in range(n // unit)]
+        squares = total([F.when(F.col(f"_n{i}") > 0, F.col(f"_q{i}") + F.col(f"_n{i}") * d * d).otherwise(0.0)
+                         for i, d in enumerate(off)])
         cols[f"glucose_mean_{n * g_min}m"] = F.col(f"_mean{n}")
-        cols[f"glucose_std_{n * g_min}m"] = F.sqrt(total(
-            [F.coalesce(F.col(f"_q{i}") + F.col(f"_n{i}") * (F.col(f"_m{i}") - F.col(f"_mean{n}"))
-                        * (F.col(f"_m{i}") - F.col(f"_mean{n}")), F.lit(0.0)) for i in range(n // unit)])
-            / F.when(F.col(f"_mean{n}").isNotNull(), F.col(f"_cnt{n}") - 1))
+        cols[f"glucose_std_{n * g_min}m"] = F.sqrt(squares / F.when(F.col(f"_mean{n}").isNotNull(), F.col(f"_cnt{n}") - 1))
         cols[f"glucose_slope_{n * g_min}m"] = (g - F.col(f"_lag{n - 1}")) / F.lit(float(max(n - 1, 1)))
     p2 |= {f"{c}{i}": v for c, lags in runs.items() for i, v in enumerate(lags)}
     for src, pfx, last in (("_cc", "carbs", "_lc"), ("_cb", "bolus", "_lb")):
@@ -191,8 +188,10 @@ def feature_select(d: DataFrame, s: list[str], b: str, *, ts_col: str = "timesta
         for k, name in zip(HORIZON_STEPS, label_names(g_min)):
             labels[name] = F.col(f"_lead{k}")
     out = p1.select("*", *[c.alias(n) for n, c in p2.items()]).filter(~F.col(HALO_COL))
-    out = out.select("*", *[F.when(F.col(f"_cnt{n}") >= max(2, n // 2), F.col(f"_sum{n}") / F.col(f"_cnt{n}"))
-                            .alias(f"_mean{n}") for n in ROLLING_STEPS])
+    parts = {n: range(n // unit) for n in ROLLING_STEPS}
+    out = out.select("*", *[total([F.coalesce(f"_n{i}", F.lit(0)) for i in of]).alias(f"_cnt{n}") for n, of in parts.items()])
+    out = out.select("*", *[F.when(F.col(f"_cnt{n}") >= max(2, n // 2), total(
+        [F.coalesce(f"_s{i}", F.lit(0.0)) for i in of]) / F.col(f"_cnt{n}")).alias(f"_mean{n}") for n, of in parts.items()])
     return out.select(
         *s, ts_col,
         g, "trend_arrow_encoded", "iob_units", "bolus_units", "basal_rate",
