@@ -359,7 +359,7 @@ COMPLETE_COLS = ["glucose_mg_dl", "iob_units", "basal_rate", "carbs_sum_120m", "
 
 def q_latest_complete_row(spark, sf):
     """Newest row per series complete in the given columns."""
-    f = features(spark, sf).select(*S, "timestamp", *COMPLETE_COLS)
+    f = features(spark, sf, COMPLETE_COLS).select(*S, "timestamp", *COMPLETE_COLS)
     return finish(md.latest_complete(f, COMPLETE_COLS, series_cols=S))
 
 
