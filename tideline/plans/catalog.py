@@ -849,6 +849,10 @@ QUERIES |= {"compacted_upsert": q_compacted_upsert, "compacted_alerts": q_compac
 
 
 # ============================================================ five-minute quality, stored and live forms
+ACTIVITY_COLS = ["bolus_units", "iob_units", "is_suspended", "control_iq_active"]
+MARKER_COLS = ["bolus_units", "is_suspended"]
+
+
 def q_profile_nulls_5m(spark, sf):
     """Null profile of the five-minute timeline."""
     return finish(qa.profile(timeline(spark, sf).drop("user_id")))
@@ -856,7 +860,7 @@ def q_profile_nulls_5m(spark, sf):
 
 def q_activity_summary_5m(spark, sf):
     """A9 per series over the five-minute timeline."""
-    return finish(qa.activity_summary(timeline(spark, sf), series_cols=S))
+    return finish(qa.activity_summary(timeline(spark, sf, columns=ACTIVITY_COLS), series_cols=S))
 
 
 def q_event_markers_5m(spark, sf):
