@@ -865,7 +865,7 @@ def q_activity_summary_5m(spark, sf):
 
 def q_event_markers_5m(spark, sf):
     """Five-minute bins with a bolus or a suspension."""
-    return finish(qa.event_markers(timeline(spark, sf)).select(*S, "timestamp", "bolus_units", "is_suspended"))
+    return finish(qa.event_markers(timeline(spark, sf, columns=MARKER_COLS)).select(*S, "timestamp", *MARKER_COLS))
 
 
 def q_treatments_quarantine(spark, sf):
