@@ -89,7 +89,7 @@ TRAINED_MAE = 25.0
 
 
 def _tl_cols(spark, sf, freq, cols, where=None):
-    t = timeline(spark, sf, freq_minutes=freq)
+    t = timeline(spark, sf, freq_minutes=freq, columns=cols)
     if where is not None:
         t = t.filter(where)
     return finish(t.select(*S, "timestamp", *cols))
