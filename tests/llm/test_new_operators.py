@@ -8,6 +8,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -231,6 +232,32 @@ def test_resampling_equals_a_plain_one(spark):
     assert resampled(spark, [], target, **how) == []
 
 
+def test_hashed_features_wait_in_no_queue(spark):
+    """Counts and weights read Arrow batches, a slice at a time, beside a plain sum."""
+    rng = np.random.default_rng(5)
+    rows = [(i, 3, n, rng.integers(0, 90, n).astype("<u2").tobytes()) for i, n in enumerate([0, 1, 700, 2, 0, 0, 65, 64, 5000, 0])]
+    features = spark.createDataFrame(rows, "doc_id long, n_words long, n_features long, buckets binary").coalesce(1)
+    gain = rng.integers(-2000, 2000, 90)
+    found = [np.frombuffer(r[3], "<u2") for r in rows]
+    assert importance.bucket_counts(features, 90).tolist() == np.bincount(np.concatenate(found), minlength=90).tolist()
+    out = importance.weighted(features, gain)
+    assert out.columns == ["doc_id", "n_words", "n_features", "weight"]
+    assert sorted(tuple(r) for r in out.collect()) == [(*r[:3], int(gain[x].sum()) // len(x) if len(x) else 0) for r, x in zip(rows, found)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("kind", ["binary", "large_binary"])
+def test_slices_of_hashed_features(monkeypatch, kind):
+    monkeypatch.setattr(importance, "CHUNK_FEATURES", 6)
+    rows = [[], [1, 2], [3, 4, 5, 6], [], [7] * 9, [8], [], [9, 9]]
+    column = pa.array([np.array(r, "<u2").tobytes() for r in rows], getattr(pa, kind)())
+    for from_row in range(len(rows) + 1):
+        got = [(x.tolist(), ends.tolist()) for x, ends in importance._slices(column.slice(from_row), "<u2")]
+        assert [x[i:j] for x, ends in got for i, j in zip(ends, ends[1:])] == rows[from_row:]
+        assert all(len(x) <= 6 or len(ends) == 2 for x, ends in got)
+
+
 def test_repeated_rows_are_drawn_each(spark):
     text = " ".join(f"q{i}" for i in range(25))
     got = resampled(spark, [(5, text)] * 4 + [(6, text)] * 4, ["q1 q2"], buckets=100, percent=50)
