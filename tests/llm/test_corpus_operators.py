@@ -389,3 +389,50 @@ def test_markers_in_a_text_are_one_id():
         ids = plain.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(own.encode(t), dtype="<u4").tolist() == ids
     assert np.frombuffer(own.encode("Hello <|endoftext|> world"), dtype="<u4").tolist() == [3306, 49407, 1002]
+
+
+def test_words_are_looked_up_once_for_all_texts():
+    """Whatever the number of words, Python asks for each distinct run once."""
+    class Asked(dict):
+        times = 0
+
+        def get(self, key, default=None):
+            Asked.times += 1
+            return super().get(key, default)
+
+    from tokenizers import Tokenizer
+    plain, own = Tokenizer.from_file(packing.default_tokenizer()), packing.WordEncoder(None)
+    own.runs, own.marks, own.odd = Asked(own.runs), Asked(own.marks), Asked(own.odd)
+    texts = ["One two, (two) x-1 " * 2000, "two two one. " * 3000, ""]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in own.encode_all(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert Asked.times < 20
+    assert own.encode_all([]) == [] and own.encode_all(["", ""]) == [b"", b""]
+
+
+def test_letters_and_signs_below_256_as_the_library():
+    """All characters below U+0100 alone, in words, and between punctuation, and some above."""
+    from tokenizers import Tokenizer
+    plain, own = Tokenizer.from_file(packing.default_tokenizer()), packing.WordEncoder(None)
+    signs = [chr(i) for i in range(256)] + list("ŸßẞİıſΣς\u0301\u2028\u3000日") + ["'s", "'", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = [f"{c} a{c} {c}a x{c}y ({c}) '{c}, {c}'. {c}{c}! ab{c}'s .{c}a" for c in signs]
+    texts += ["é" * 3000 + "!" * 3000, "a\u0085b \xa0c\u3000d \x1c\x1d e\x00", " \t\r\n lead trail \x0b\x0c "]
+    assert own.quick
+    for cache in (packing._CACHE_WORDS, 5):
+        packing._CACHE_WORDS, keep = cache, packing._CACHE_WORDS
+        try:
+            for t, x in zip(texts * 2, packing.WordEncoder(None).encode_all(texts * 2), strict=True):
+                assert np.frombuffer(x, dtype="<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+        finally:
+            packing._CACHE_WORDS = keep
+    own.quick = False  # as with another kind of tokenizer
+    assert own.encode_all(texts) == packing.WordEncoder(None).encode_all(texts)
+
+
+def test_slices_by_bytes(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(packing, "_TEXT_BYTES", 10)
+    rows = ["a" * 4, "b" * 6, "c" * 30, "", "", "d" * 10, "e"]
+    b = pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["t"])
+    for k in range(len(rows) + 1):
+        got = [p.column("t").to_pylist() for p in packing._slices(b.slice(k))]
+        assert sum(got, []) == rows[k:] and all(len(p) == 1 or sum(map(len, p)) <= 10 for p in got)
