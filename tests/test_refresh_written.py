@@ -76,3 +76,17 @@ def test_rows_come_by_generated_joins_and_leave_nothing_behind(spark):
     got = values(out)
     assert len(got) == out.count() == 288
     assert all(got[T0 + timedelta(minutes=m)] == 100.0 + m % 50 + (5.0 if 600 <= m < 660 else 0.0) for m in range(0, 1440, 5))
+
+
+def test_inputs_of_a_rebuild_are_computed_once(spark, monkeypatch):
+    """The layout reads readings and pump events several times: it finds them joined and ranked."""
+    seen = []
+    keep = rf.timeline_features
+    monkeypatch.setattr(rf, "timeline_features", lambda *a, **k: (seen.extend(d._jdf.queryExecution().optimizedPlan().toString() for d in a[:2]), keep(*a, **k))[1])
+    pump = spark.createDataFrame([("a", T0 + timedelta(minutes=7 * m), ["bolus", "basal"][m % 2], 1.0, 0.0, None, 10.0, m) for m in range(40)],
+                                 "series_id string, timestamp timestamp, event_type string, value double, duration_minutes double, "
+                                 "iob_units double, carbs_g double, seq long")
+    cycle = rf.RefreshCycle(scratch(spark, "cycle"))
+    cycle(rf.feeds(landed(spark, range(0, 300, 5)), pump), 0)
+    assert len(seen) == 2 and not any(node in plan for plan in seen for node in ("Join", "Window", "Union"))
+    assert cycle.features(spark).count() == 60
